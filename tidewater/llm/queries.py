@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewater.llm import backtrack_bpe, bestfit_packing, content_store, shuffle_shards
+from tidewater.llm import backtrack_bpe, bestfit_packing, content_store, langid, lm_score, multi_index, secret_crf, shuffle_shards, simhash, winnowing
 from tidewater.llm.common import fresh_path, tune
 
 JSON_VOCABULARY = "byte_bpe_50k.json"
@@ -41,11 +41,41 @@ def op6_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("held_out", langid.held_out(F.col("doc_id")))
+    model = langid.train(docs, ~F.col("held_out"))
+    return langid.predict(docs, model, ["doc_id", "held_out"])
+
+
+def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.compare_with_edits(documents(spark, sf_dir))
+
+
+def op7_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op8_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = lm_score.labelled(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return lm_score.score_documents(docs, F.col("is_target"))
+
+
+def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op10_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return secret_crf.scan(docs, secret_crf.train(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_content_store": op1_content_store,
-    "op2_backtracking_bpe": op2_backtracking_bpe,
-    "op5_bestfit_packing": op5_bestfit_packing,
-    "op6_hypergeometric_shards": op6_hypergeometric_shards,
-}
+    f.__name__: f
+    for f in (
+        op1_content_store, op2_backtracking_bpe, op3_language_id, op4_winnowing, op5_bestfit_packing, op6_hypergeometric_shards,
+        op7_multi_index_hashing, op8_cross_entropy_difference, op9_simhash_components, op10_secret_crf,
+    )
+}
 
 ORACLES: dict[str, str] = {}
