@@ -141,8 +141,8 @@ def compare_with_edits(docs: DataFrame, stretches: int | None = None) -> DataFra
     spark = docs.sparkSession
     tune(spark)
     n = stretches or 3 * max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).first()[0] or []
-    bounds = [-float("inf"), *sorted({float(x) + 0.5 for x in found}), float("inf")]
+    found = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 20 * n)).first()[0] or []
+    bounds = [-float("inf"), *sorted({float(x) + 0.5 for x in found} or {0.5}), float("inf")]
     cut = Bucketizer(splits=bounds, inputCol="_id", outputCol="_b", handleInvalid="keep")
 
     def with_stretch(df):
