@@ -163,9 +163,12 @@ def train(docs: DataFrame, allowed: Column, s: Settings | None = None) -> Model:
     s = s or Settings()
     tune(docs.sparkSession)
     labelled = docs.filter(allowed & F.col("lang").isNotNull())
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1))).collect()  # a row for each class of the model
+    if not sizes:
+        return fit([], s)
+    share = F.create_map(*[F.lit(x) for lang, n in sizes for x in (lang, float(s.rows_per_language) / n)])
     draw = F.pmod(F.xxhash64(F.lit(s.seed), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = labelled.select("doc_id", "text", "lang").join(sizes, "lang").filter(draw < F.lit(float(s.rows_per_language)) / F.col("_n"))
+    chosen = labelled.filter(draw < F.try_element_at(share, F.col("lang"))).select("doc_id", "text", "lang")
     schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("found", pa.list_(pa.int64())), ("share", pa.list_(pa.float64()))])
 
     def features(source):

@@ -13,7 +13,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewater.llm.common import materialize, tune
 from tidewater.llm.components import components
@@ -53,8 +53,8 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits((2 * counts > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id and fp (the fingerprint's 64 bits as a signed long) of every whole text.
+def fingerprints(docs: DataFrame, width: int = 3, mark: Column | None = None) -> DataFrame:
+    """doc_id, fp (the fingerprint's 64 bits as a signed long) and, where given, mark (a long) of every whole text.
 
     A-Z are lower-cased; words end at spaces and the characters U+0009 to U+000D. Null texts and texts without words
     have fingerprint zero. Repeated rows have a row each; extra columns are ignored.
@@ -66,9 +66,11 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 fps = np.array([fingerprint(shingle_hashes(t, width)) for t in part.column("text").to_pylist()], U)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(fps.view(np.int64)), *(part.column(c) for c in more)], ["doc_id", "fp", *more])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    more = [] if mark is None else ["mark"]
+    columns = ["doc_id", "text"] + ([] if mark is None else [mark.alias("mark")])
+    return docs.select(*columns).mapInArrow(run, "doc_id long, fp long" + (", mark long" if more else ""))
 
 
 def bit_planes(fps: np.ndarray) -> np.ndarray:
@@ -212,6 +214,13 @@ def linked_pairs(distinct: DataFrame) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_edges, "a long, b long")
 
 
+def named_components(own: DataFrame) -> DataFrame:
+    """fp and root (one fingerprint for each component) of every distinct fingerprint of own, a written table."""
+    distinct = materialize(own.select("fp").distinct(), "distinct")
+    edges = materialize(linked_pairs(distinct), "links")
+    return distinct.join(components(edges).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id that links lead to, itself included) of every row.
 
@@ -219,14 +228,27 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     their fingerprint and never name it (null if all are null). An empty table gives none.
     """
     own = materialize(fingerprints(docs, width), "fingerprints")
-    distinct = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    edges = materialize(linked_pairs(distinct), "links")
-    nodes = distinct.join(components(edges).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    smallest = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    nodes = named_components(own).join(smallest, "fp")
     names = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
     named = nodes.join(names, "root").select("fp", "component_id")
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
+    """docs with one row of each component: the smallest doc_id (null last), of equal ones that with the smallest hash of its text.
+
+    Other columns stay as they are; of rows that repeat both id and text any one stays.
+    """
+    own = materialize(fingerprints(docs, width, F.xxhash64("text")), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("f")
+    nodes = named_components(own).join(own.groupBy("fp").agg(first), "fp")
+    stay = nodes.groupBy("root").agg(F.min("f").alias("f")).select(F.col("f.doc_id").alias("_id"), F.col("f.mark").alias("_mark"))
+    marked = docs.withColumn("_mark_of", F.xxhash64("text"))
+    kept = marked.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark_of") == F.col("_mark")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_mark_of"]).select(*docs.columns)
+
+
 def as_hex(fp):
     """16 lowercase hexadecimal digits of a column of 64 bits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
