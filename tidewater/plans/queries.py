@@ -39,7 +39,7 @@ STAND_IN = {
     "battery_mean": "CASE WHEN event_id % 7 = 0 THEN NULL ELSE ln(1e0 + value) END",
     "low_battery_ratio": "(event_id % 17) / 17e0",
     "robot_utilization": "(event_id % 13) / 13e0",
-    "robot_charging": "(event_id % 5) * 1.037194e0",
+    "robot_charging": "(event_id % 5) * 1.037194e0 + value / 917.36e0",
     "congestion_score": "value / 437.1934717e0",
     "pack_utilization": "((event_id * 7) % 101) / 100.73918273e0",
     "backorder_ratio": "CASE WHEN value > 300e0 THEN (value - 300e0) / 203.71938e0 ELSE 0e0 END",
