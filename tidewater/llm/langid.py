@@ -208,6 +208,22 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
+def recognised(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of docs whose language is predicted with a score of at least `least`; null texts and texts without a letter go."""
+    tune(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(source):
+        model = shared.value
+        for batch in source:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                found = [model.predict(t) for t in part.column("text").to_pylist()]
+                yield part.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """The rows whose labels are never learnt from: CRC-32 of the id as text leaves 2 when divided by 4. A null id isn't held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

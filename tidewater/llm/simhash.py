@@ -243,10 +243,10 @@ def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
     own = materialize(fingerprints(docs, width, F.xxhash64("text")), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("f")
     nodes = named_components(own).join(own.groupBy("fp").agg(first), "fp")
-    stay = nodes.groupBy("root").agg(F.min("f").alias("f")).select(F.col("f.doc_id").alias("_id"), F.col("f.mark").alias("_mark"))
-    marked = docs.withColumn("_mark_of", F.xxhash64("text"))
-    kept = marked.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark_of") == F.col("_mark")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_mark_of"]).select(*docs.columns)
+    stay = nodes.groupBy("root").agg(F.min("f").alias("f")).select(F.col("f.doc_id").alias("_keep_id"), F.col("f.mark").alias("_keep_mark"))
+    marked = docs.withColumn("_keep_of", F.xxhash64("text"))
+    kept = marked.join(stay, F.col("doc_id").eqNullSafe(F.col("_keep_id")) & (F.col("_keep_of") == F.col("_keep_mark")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_keep_of"]).select(*docs.columns)
 
 
 def as_hex(fp):
