@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.ml import models
+from tidewater.ml import evaluate, models
 from tidewater.pipeline import Settings, TARGET, run
 
 
@@ -67,3 +67,25 @@ def test_pipeline_end_to_end(spark, tmp_path):
     got = run(spark, str(tmp_path), s)
     assert got.count() == 40 and got.filter(F.col(TARGET) < 0).count() == 0 and got.columns == ["ID", TARGET]
     assert spark.read.parquet(f"{tmp_path}/out/bin_report").count() == 5
+
+
+def test_dual_validation_writes_all_reports(spark, data, tmp_path):
+    df = data.withColumn("g", F.col("ID") % 20).drop("fold").withColumnRenamed("y", "t")
+    fits = {"a": models.linear_model(["x"], "t"), "b": models.linear_model(["z"], "t")}
+    got = {(r.model_name, r.validation): r for r in evaluate.dual(df, fits, "t", "g", str(tmp_path), folds=2).collect()}
+    assert set(got) == {(m, v) for m in "ab" for v in (evaluate.GROUPED, evaluate.HOLDOUT)}
+    assert got["a", evaluate.GROUPED].n_rows == 600 and got["a", evaluate.HOLDOUT].n_rows == 120
+    assert got["a", evaluate.GROUPED].mae < got["b", evaluate.GROUPED].mae
+    assert spark.read.parquet(f"{tmp_path}/bin_report").count() == 20 and spark.read.parquet(f"{tmp_path}/fold_report").count() == 4
+
+
+def test_window_search_remembers(spark, tmp_path):
+    r = np.random.default_rng(2)
+    names = ("order_inflow_15m", "battery_mean", "congestion_score", "pack_utilization", "backorder_ratio", "low_battery_ratio", "robot_utilization", "robot_charging", "robot_shortage_ratio", "order_per_pack_station", "pack_station_count")
+    rows = [(i, f"s{i // 12}", i % 12, float(r.exponential(20)), *map(float, r.uniform(0, 1, len(names)))) for i in range(120)]
+    panel = spark.createDataFrame(rows, "ID int, scenario_id string, timeslot int, y double, " + ", ".join(f"{n} double" for n in names))
+    path = f"{tmp_path}/history"
+    best = evaluate.window_search(panel, "y", (2, 3), (1,), 3, path, models.Trees(rounds=1, depth=1))
+    assert spark.read.parquet(path).count() == 3 and set(best[1]) <= {2, 3}
+    assert evaluate.window_search(panel, "y", (2, 3), (1,), 3, path, models.Trees(rounds=1, depth=1)) == best
+    assert spark.read.parquet(path).count() == 3

@@ -49,7 +49,23 @@ def test_folds_keep_groups_and_balance(spark):
     got = split.group_kfold(df, "g", 5)
     assert got.groupBy("g").agg(F.countDistinct("fold").alias("n")).filter("n > 1").count() == 0
     assert {r["count"] for r in got.groupBy("fold").count().collect()} == {60}
-    assert split.fold_of_groups([("a", 5), ("b", 3), ("c", 3), ("d", 1)], 2) == [("a", 0), ("c", 1), ("b", 1), ("d", 0)]
+    assert split.fold_pattern({5: 1, 3: 2, 1: 1}, 2) == {5: ([], [0, 1]), 3: ([1], [1, 0]), 1: ([0], [0, 1])}
+
+
+def test_fold_patterns_equal_one_by_one():
+    r = random.Random(3)
+    for _ in range(60):
+        sizes, k = {r.randint(1, 40): r.randint(1, 30) for _ in range(6)}, r.randint(2, 6)
+        loads, want = [0] * k, []
+        for size in sorted(sizes, reverse=True):
+            for _ in range(sizes[size]):
+                f = loads.index(min(loads))
+                loads[f] += size
+                want.append(f)
+        got = []
+        for size, (start, cycle) in split.fold_pattern(sizes, k).items():
+            got += [start[i] if i < len(start) else cycle[(i - len(start)) % k] for i in range(sizes[size])]
+        assert got == want
 
 
 def test_holdout_draws_whole_groups(spark):

@@ -2,36 +2,55 @@
 
 from __future__ import annotations
 
-import heapq
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from tidewater.operators.ranks import group_buckets, ranked
 from tidewater.operators.reports import group_statistics
 
 
-def fold_of_groups(sizes: list[tuple[str, int]], n_folds: int) -> list[tuple[str, int]]:
-    """Largest group first, each to the lightest fold; ties by group (descending) and by fold (ascending)."""
-    loads = [(0, f) for f in range(n_folds)]
-    out = []
-    for group, n in sorted(sorted(sizes, key=lambda s: s[0], reverse=True), key=lambda s: -s[1]):
-        load, fold = heapq.heappop(loads)
-        heapq.heappush(loads, (load + n, fold))
-        out.append((group, fold))
+def fold_pattern(sizes: dict[int, int], n_folds: int) -> dict[int, tuple[list[int], list[int]]]:
+    """Largest group first, each to the lightest fold (ties: the first): for each size the folds that its groups get in turn.
+
+    sizes: how many groups have each size. Once loads differ by less than the size, folds take turns for good, so a
+    size is given by a start and a cycle, however many groups have it.
+    """
+    loads = [0] * n_folds
+    out = {}
+    for size in sorted(sizes, reverse=True):
+        start, left = [], sizes[size]
+        while left and max(loads) - min(loads) >= size:
+            f = loads.index(min(loads))
+            loads[f] += size
+            start.append(f)
+            left -= 1
+        cycle = sorted(range(n_folds), key=lambda f: (loads[f], f))
+        for i, f in enumerate(cycle):
+            loads[f] += size * (left // n_folds + (i < left % n_folds))
+        out[size] = (start, cycle)
     return out
 
 
 def group_kfold(df: DataFrame, group: str, n_folds: int = 5) -> DataFrame:
-    """df with fold; no group is in two folds.
+    """df with fold; no group is in two folds, and folds are as balanced as greedy assignment makes them.
 
-    Groups are assigned on the driver, from a row for each group; the assignment comes back as a frame and is joined
-    in whatever way its size allows.
+    Groups of equal size are taken in the order of a hash. The driver gets a row for each distinct size; ranks within
+    a size are computed in parts, and the assignment is joined in whatever way its size allows.
     """
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    spark, kind = df.sparkSession, df.schema[group].dataType.simpleString()
-    assigned = fold_of_groups([(r[0], r[1]) for r in sizes.collect()], n_folds)
-    return df.join(spark.createDataFrame(assigned, f"{group} {kind}, fold int"), group)
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_size")).withColumn("_h", F.xxhash64(group))
+    counts = {r[0]: r[1] for r in sizes.groupBy("_size").count().collect()}
+    if not counts:
+        return df.withColumn("fold", F.lit(0))
+    pattern = [(s, a, c) for s, (a, c) in fold_pattern(counts, n_folds).items()]
+    folds = df.sparkSession.createDataFrame(pattern, "_size long, _first array<int>, _cycle array<int>")
+    most = group_buckets(max(counts.values()))
+    placed = ranked(sizes, ["_size"], [F.col("_h"), F.col(group)], F.pmod(F.shiftright("_h", 20), F.lit(most)), "_at").join(folds, "_size")
+    n = F.size("_first")
+    later = F.get("_cycle", F.pmod(F.col("_at") - n, F.lit(n_folds)).cast("int"))
+    fold = F.when(F.col("_at") < n, F.get("_first", F.col("_at").cast("int"))).otherwise(later)
+    return df.join(placed.select(group, fold.alias("fold")), group)
 
 
 def hashed_group_kfold(df: DataFrame, group: str, n_folds: int = 5) -> DataFrame:

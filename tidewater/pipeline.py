@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import argparse
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -125,3 +126,20 @@ def run(spark: SparkSession, directory: str, s: Settings, template: str | None =
     tables.publish(out, at("submission"))
     tables.write_json(spark, {"weights": {k: w[k] for k in ("w_best", "w_lgbm", "w_xgb", "w_cat")}, "ridge_alpha": stack.alpha, "rows": out.count()}, at("manifest.json"))
     return spark.read.parquet(at("submission"))
+
+
+def main() -> None:
+    p = argparse.ArgumentParser(description="Run the prediction pipeline over train, test and layout_info below a folder.")
+    p.add_argument("input")
+    p.add_argument("output")
+    p.add_argument("--template", help="a CSV or Parquet file that fixes which rows are predicted, and their order")
+    p.add_argument("--reference", help="earlier predictions (ID and the target) to compare with")
+    a = p.parse_args()
+    spark = SparkSession.builder.appName("tidewater").getOrCreate()
+    out = run(spark, a.input, Settings(a.output), a.template)
+    if a.reference:
+        reports.compare(tables.read_table(spark, a.reference), out, TARGET).show(truncate=False)
+
+
+if __name__ == "__main__":
+    main()

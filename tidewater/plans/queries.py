@@ -508,9 +508,10 @@ def sample_weights(spark, sf):
 @query("""WITH RECURSIVE s AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id), o AS (SELECT *, row_number() OVER (ORDER BY n DESC, user_id DESC) AS i FROM s),
 a(i, user_id, n, loads, fold) AS (SELECT 0::BIGINT, NULL::BIGINT, 0::BIGINT, [0, 0, 0, 0, 0]::BIGINT[], 0
  UNION ALL SELECT o.i, o.user_id, o.n, list_transform(a.loads, lambda x, k: CASE WHEN k = list_position(a.loads, list_min(a.loads)) THEN x + o.n ELSE x END), (list_position(a.loads, list_min(a.loads)) - 1)::INTEGER FROM a JOIN o ON o.i = a.i + 1)
-SELECT user_id AS scenario_id, CAST(fold AS INTEGER) AS fold, CAST(n AS BIGINT) AS n FROM a WHERE i > 0""")
+SELECT CAST(fold AS INTEGER) AS fold, CAST(n AS BIGINT) AS group_size, CAST(count(*) AS BIGINT) AS n_groups FROM a WHERE i > 0 GROUP BY fold, n""")
 def group_kfold(spark, sf):
-    return split.group_kfold(panel(spark, sf), "scenario_id").groupBy("scenario_id", "fold").agg(F.count(F.lit(1)).alias("n"))
+    groups = split.group_kfold(panel(spark, sf), "scenario_id").groupBy("scenario_id", "fold").agg(F.count(F.lit(1)).alias("group_size"))
+    return groups.groupBy("fold", "group_size").agg(F.count(F.lit(1)).alias("n_groups"))
 
 
 @query()
