@@ -7,11 +7,9 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import DataFrame, SparkSession
 
-#: Rows that one window group holds on average when a rank is computed.
-ROWS_PER_GROUP = 500_000
+from tidewater.operators.ranks import group_buckets, ranked  # noqa: F401  used by the operators
 
 
 def tune(spark: SparkSession) -> None:
@@ -53,30 +51,6 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def group_buckets(n_rows: int) -> int:
-    return max(16, -(-n_rows // ROWS_PER_GROUP))
-
-
-def ranked(df: DataFrame, groups: list[str], order: list[Column], bucket: Column, out: str) -> DataFrame:
-    """A gapless rank from 0 within each combination of groups, without one task for each group.
-
-    bucket splits a group into ordered parts; a part's rows are numbered by a window of its own and start where
-    the parts before it end. df has to be cheap to read twice (a written table). The counts of the parts are one
-    small row each and their running sum is taken by a window over the parts of a group.
-    """
-    keyed = df.withColumn("_part", bucket)
-    counts = keyed.groupBy(*groups, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*groups, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    rank = F.row_number().over(Window.partitionBy(*groups, "_part").orderBy(*order)) - 1
-    numbered = keyed.withColumn("_rank", rank)
-    keys = [*groups, "_part"]
-    right = starts.select(*[F.col(k).alias(f"_r_{k}") for k in keys], "_start")
-    same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
-    joined = numbered.join(right, same, "left")
-    return joined.withColumn(out, (F.col("_rank") + F.col("_start")).cast("long")).drop("_part", "_rank", "_start", *[f"_r_{k}" for k in keys])
-
-
 def batches(source: Iterable[pa.RecordBatch], column: str, rows: int = 500) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Slices of Arrow batches with one column as Python values."""
     for batch in source:
