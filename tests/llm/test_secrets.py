@@ -79,14 +79,14 @@ def test_runs_decode_like_whole_texts(model):
 
     tagger = crf.Tagger(model)
     for text in [t for t in corpus() if t and t.split()]:
-        words = text.split()
+        words = crf.split_words(text)
         rows = tagger.row_of(words)
         files = np.repeat(model.file[list(crf.file_slots(text))].sum(axis=0)[None], len(words), axis=0)
         e = tagger.scores(rows, np.array([0]), files)
         for i in range(len(words)):  # scores one by one
-            mine = [model.own[[crf._slot(x) for x in crf.signature(words[i])]].sum(axis=0), files[i]]
-            mine += [model.before[[crf._slot(x) for x in crf.signature(words[i - 1])]].sum(axis=0)] if i else []
-            mine += [model.after[[crf._slot(x) for x in crf.signature(words[i + 1])]].sum(axis=0)] if i + 1 < len(words) else []
+            mine = [model.own[[crf._slot(x) for x in crf.signature(words[i], model.lexicon)]].sum(axis=0), files[i]]
+            mine += [model.before[[crf._slot(x) for x in crf.signature(words[i - 1], model.lexicon)]].sum(axis=0)] if i else []
+            mine += [model.after[[crf._slot(x) for x in crf.signature(words[i + 1], model.lexicon)]].sum(axis=0)] if i + 1 < len(words) else []
             assert np.allclose(e[i], sum(mine), atol=1e-4)
         tags, spans = whole_viterbi(e, model.pairs), tagger.tag(pa.array([text, None, "", text]))
         n = sum(t == crf.BEGIN or (t == crf.INSIDE and (i == 0 or tags[i - 1] == crf.OUT)) for i, t in enumerate(tags))

@@ -30,7 +30,7 @@ HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 KINDS = ("assign", "access", "hex", "crf")
 
-_HINTS = re.compile(r"password|passwd|secret|token|api", re.IGNORECASE | re.ASCII)
+_HINTS = (b"passw", b"secret", b"token", b"api")
 _IS_HEX = bytes(ord("1") if chr(b) in "0123456789abcdef" else ord("0") for b in range(256))
 
 OUT, BEGIN, INSIDE = 0, 1, 2
@@ -43,11 +43,13 @@ Span = tuple[str, int, int]
 def base_spans(text: str) -> list[Span]:
     """Matches of the fixed patterns, leftmost and not overlapping within a kind, by start and then kind."""
     out: list[Span] = []
-    if _HINTS.search(text):
+    raw = text.encode("utf-8", "surrogatepass")
+    lowered = raw.lower()  # A-Z only
+    if any(hint in lowered for hint in _HINTS):
         out += [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]]
-    if "AKIA" in text:
+    if b"AKIA" in raw:
         out += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST["access"]]
-    if b"1" * LEAST["hex"] in text.encode("utf-8", "surrogatepass").translate(_IS_HEX):
+    if b"1" * LEAST["hex"] in raw.translate(_IS_HEX):
         out += [("hex", m.start(), m.end()) for m in HEX.finditer(text) if m.end() - m.start() >= LEAST["hex"]]
     return in_order(out)
 
@@ -70,35 +72,67 @@ def _slot(name: str) -> int:
 _RUNS = ((re.compile("[A-Z]+"), "A"), (re.compile("[a-z]+"), "a"), (re.compile("[0-9]+"), "0"), (re.compile(r"[^\x00-\x7f]+"), "u"))
 _CLASSES = re.compile(r"[A-Z]+|[a-z]+|[0-9]+|[^A-Za-z0-9]+")
 _BODY = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
+_STEM = re.compile(r"[\"'(]*([A-Za-z_-]{1,14})[\"']*[:=]")
 
 
 def _length(n: int) -> int:
     return min(n, 8) if n <= 8 else 9 + sum(n > k for k in (12, 16, 20, 28, 40))
 
 
-def signature(word: str) -> tuple[str, ...]:
-    """Names of a word's features: its shape, length and mixture of characters, and the word itself if it is short."""
-    if word.isalpha() and word.isascii() and (word.islower() or word[1:].islower()):
-        plain = word.lower()
-        return ("plain", f"n{_length(len(word))}", f"w{plain}" if len(plain) <= 9 else "w")
+def split_words(text: str) -> list[str]:
+    """Runs without ASCII white space."""
+    return [w.decode("utf-8", "surrogatepass") for w in text.encode("utf-8", "surrogatepass").split()]
+
+
+def is_plain(word: str) -> bool:
+    """A word of letters, but perhaps for a stop or comma at its end, in lower case but perhaps for its first letter."""
+    body = word[:-1] if word[-1:] in (".", ",") else word
+    return body.isalpha() and (body.islower() or body[1:].islower())
+
+
+def lexical(word: str) -> str:
+    return word.strip(".,;()\"'").lower()[:16]
+
+
+def signature(word: str, lexicon: frozenset[str] | set[str]) -> tuple[str, ...]:
+    """Names of a word's features: its shape, length and mixture of characters, and the word itself if the lexicon has it."""
+    known = lexical(word)
+    known = f"w{known}" if known in lexicon else "w"
+    if is_plain(word):
+        return ("plain", f"n{_length(len(word))}", known)
     shape = word[:64]
     for pattern, mark in _RUNS:
         shape = pattern.sub(mark, shape)
     bodies = _BODY.findall(word)
     body = max(bodies, key=len) if bodies else ""
     digits = sum(map(str.isdigit, body))
-    stem = re.match(r"[\"'(]*([A-Za-z_-]{1,14})[\"']*[:=]", word)
+    stem = _STEM.match(word)
+    stem = stem[1].lower() if stem else ""
     return (
         f"s{shape[:10]}",
         f"n{_length(len(word))}",
         f"b{_length(len(body))}" + ("d" if digits else "") + ("m" if 0 < digits < len(body) else ""),
         f"c{min(len(_CLASSES.findall(body)), 12)}",
-        f"x{int(bool(re.fullmatch('[0-9a-f]+', body)))}{_length(len(body))}",
-        f"k{stem[1].lower()}" if stem else "k",
-        f"w{word.strip('.,;:()').lower()}" if len(word) <= 9 else "w",
+        f"x{int(bool(body) and not body.strip('0123456789abcdef'))}{_length(len(body))}",
+        f"k{stem}" if stem in lexicon else "k+" if stem else "k",
+        known,
     )
 
 
+def lexicon_of(sample: list[list[tuple[str, int]]], least: int = 3) -> frozenset[str]:
+    """Words and stems of assignments that stand in or beside secrets of the sample, and those often enough elsewhere."""
+    found: dict[str, int] = {}
+    for words in sample:
+        tagged = [i for i, (_, t) in enumerate(words) if t != OUT]
+        near = {j for i in tagged for j in (i - 1, i, i + 1) if 0 <= j < len(words)}
+        for j in near:
+            w = words[j][0]
+            stem = _STEM.match(w)
+            for x in {lexical(w), stem[1].lower() if stem else ""} - {""}:
+                found[x] = found.get(x, 0) + 1
+    return frozenset(x for x, n in found.items() if n >= least)
+
+
 def file_slots(text: str) -> tuple[int, ...]:
     """Features of the file: how often it assigns, and its length."""
     signs = text.count("=") + text.count('":')
@@ -109,6 +143,7 @@ def file_slots(text: str) -> tuple[int, ...]:
 class Model:
     """Weights of a word's own features, of those of the word before and after, of the file's, and of tag pairs."""
 
+    lexicon: frozenset[str]
     own: np.ndarray
     before: np.ndarray
     after: np.ndarray
@@ -142,7 +177,7 @@ def tagged_words(text: str, spans: list[Span]) -> list[tuple[str, int]]:
         else:
             merged.append([a, b])
     started = -1
-    for word in text.split():
+    for word in split_words(text):
         a = text.index(word, at)
         at = a + len(word)
         while k < len(merged) and merged[k][1] <= a:
@@ -217,6 +252,7 @@ def enrich(sample: list[list[tuple[str, int]]], seed: int) -> list[list[tuple[st
 def fit(sample: list[tuple[list[tuple[str, int]], tuple[int, ...]]], s: Settings) -> Model:
     """Maximum likelihood with an L2 penalty, by AdaGrad over all stretches at once."""
     sample = [x for x in sample if x[0]]
+    lexicon = lexicon_of([x[0] for x in sample])
     n, width = len(sample), max((len(x[0]) for x in sample), default=1)
     gold, there = np.zeros((n, width), np.int64), np.zeros((n, width), bool)
     slots: dict[str, tuple[int, ...]] = {}
@@ -225,7 +261,7 @@ def fit(sample: list[tuple[list[tuple[str, int]], tuple[int, ...]]], s: Settings
         names = []
         for j, (w, tag) in enumerate(words):
             if w not in slots:
-                slots[w] = tuple(map(_slot, signature(w)))
+                slots[w] = tuple(map(_slot, signature(w, lexicon)))
             names.append(slots[w])
             gold[i, j], there[i, j] = tag, True
         for j in range(len(words)):
@@ -250,7 +286,7 @@ def fit(sample: list[tuple[list[tuple[str, int]], tuple[int, ...]]], s: Settings
         square_p += gp * gp
         w -= s.rate * gw / np.sqrt(square_w)
         pairs -= s.rate * gp / np.sqrt(square_p)
-    return Model(w[:SIZE], w[SIZE : 2 * SIZE], w[2 * SIZE : 3 * SIZE], w[3 * SIZE :], pairs)
+    return Model(lexicon, w[:SIZE], w[SIZE : 2 * SIZE], w[2 * SIZE : 3 * SIZE], w[3 * SIZE :], pairs)
 
 
 def _marginals(e: np.ndarray, pairs: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -308,20 +344,18 @@ def train(docs: DataFrame, s: Settings | None = None) -> Model:
 class Tagger:
     """Decodes texts; scores of a word's features are kept for a bounded number of words."""
 
-    LIMIT = 300_000
+    LIMIT = 400_000
 
     def __init__(self, model: Model):
         self.m = model
         self.reach = 2 * float(model.pairs.max() - model.pairs.min())
-        self._start()
-
-    def _start(self) -> None:
         self.rows: dict[str, int] = {}
         self.signatures: dict[tuple[str, ...], int] = {}
+        self.plain: dict[tuple[int, str], int] = {}
         self.table = np.zeros((1024, 9), np.float32)
 
     def _row(self, word: str) -> int:
-        names = signature(word)
+        names = signature(word, self.m.lexicon)
         row = self.signatures.get(names)
         if row is None:
             row = self.signatures[names] = len(self.signatures)
@@ -332,13 +366,26 @@ class Tagger:
         return row
 
     def row_of(self, words: list[str]) -> np.ndarray:
+        """The row of the table with each word's scores. Rows are few: one for each combination of features."""
         if len(self.rows) + len(words) > self.LIMIT:
-            self._start()
-        rows, out = self.rows, []
+            self.rows.clear()
+        if len(self.signatures) > self.LIMIT:
+            self.signatures.clear()
+            self.rows.clear()
+            self.plain.clear()
+        rows, plain, lexicon, out = self.rows, self.plain, self.m.lexicon, []
         for w in words:
             r = rows.get(w)
             if r is None:
-                r = rows[w] = self._row(w)
+                if is_plain(w):  # all plain words of a length that aren't in the lexicon are alike
+                    known = w.strip(".,").lower()
+                    key = (len(w), known if known in lexicon else "")
+                    r = plain.get(key)
+                    if r is None:
+                        r = plain[key] = self._row(w)
+                else:
+                    r = self._row(w)
+                rows[w] = r
             out.append(r)
         return np.array(out, np.int64)
 
@@ -373,7 +420,7 @@ class Tagger:
     def tag(self, texts: pa.Array) -> list[list[tuple[int, int]]]:
         """For each text the spans (start, end) of code points that the field tags."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        split = pc.utf8_split_whitespace(texts)
+        split = pc.ascii_split_whitespace(texts)
         offsets = split.offsets.to_numpy()
         values = split.values.slice(offsets[0], offsets[-1] - offsets[0])
         starts = offsets - offsets[0]
