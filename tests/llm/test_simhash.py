@@ -97,3 +97,55 @@ def test_long_chain_is_one_component(spark):
     got = {r.node: r.root for r in components(edges).collect()}
     assert got == {i: 0 for i in range(201)} | {500: 500, 501: 500}
     assert components(edges.filter("a < 0")).count() == 0
+
+
+def similar(seed=2, n=25):
+    r, rows = random.Random(seed), []
+    for i in range(n):
+        words = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(r.randint(120, 300))]
+        rows.append((10 * i, " ".join(words)))
+        for k in range(1, 4):
+            changed = list(words)
+            for at in r.sample(range(len(words)), max(1, len(words) // 100)):
+                changed[at] = "zz"
+            rows.append((10 * i + k, " ".join(changed)))
+        half = words[: len(words) // 2] + ["".join(r.choice("klmnop") for _ in range(5)) for _ in range(len(words) // 2)]
+        rows.append((10 * i + 5, " ".join(half)))
+    return rows
+
+
+def test_one_of_each_similar_group_stays(spark):
+    rows = similar()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    kept = sorted(r.doc_id for r in simhash.keep_one(docs).collect())
+    assert kept == sorted(d for d, _ in rows if d % 10 in (0, 5))
+
+
+def test_wide_links_equal_brute_force_within_buckets(spark, monkeypatch):
+    rows = similar(5, 12)
+    texts = [t for _, t in rows]
+    wide = simhash.wide_fingerprints([simhash.shingle_hashes(t, 5) for t in texts] + [np.zeros(0, np.uint64)])
+    assert not wide[-1].any()
+    distance = lambda i, j: sum((int(a) ^ int(b)).bit_count() for a, b in zip(wide[i], wide[j]))
+    for ends in (np.array([len(texts)]), np.array([20, 33, len(texts)])):
+        a, b = simhash.links_in_buckets(wide[: len(texts)], ends, simhash.WIDE_RADIUS)
+        root = list(range(len(texts)))
+        for i in range(len(texts)):
+            for j in range(i):
+                if np.searchsorted(ends, i, side="right") == np.searchsorted(ends, j, side="right") and distance(i, j) <= simhash.WIDE_RADIUS:
+                    x, y = sorted((root[i], root[j]))
+                    root = [x if v == y else v for v in root]
+        assert {(int(x), int(y)) for x, y in zip(a, b)} == {(i, v) for i, v in enumerate(root) if v != i}
+    frame = spark.createDataFrame([(i, *(int(w) - (1 << 64) if int(w) >> 63 else int(w) for w in row)) for i, row in enumerate(wide[:-1])], "mark long, w0 long, w1 long, w2 long, w3 long")
+    for hot in (4096, 2):
+        monkeypatch.setattr(simhash, "HOT", hot)
+        assert all(distance(r.a, r.b) <= 3 * simhash.WIDE_RADIUS for r in simhash.wide_links(frame).collect())
+
+
+def test_wide_bits_are_majorities():
+    h = simhash.shingle_hashes("one two three four five six seven eight nine", 5)
+    assert (simhash.wide_fingerprints([h, h])[0] == simhash.wide_fingerprints([h])[0]).all()
+    one = simhash.wide_fingerprints([h[:1]])[0]
+    x = int(h[0]) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
+    x = (x ^ x >> 29) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
+    assert int(one[0]) == x ^ x >> 32

@@ -74,10 +74,11 @@ def fingerprints(docs: DataFrame, width: int = 3, mark: Column | None = None) ->
 
 
 def bit_planes(fps: np.ndarray) -> np.ndarray:
-    """Row b holds bit b of all fingerprints, 64 to a word; lane i of word w is fingerprint 64 w + i."""
-    padded = np.zeros(-(-len(fps) // 64) * 64, "<u8")
-    padded[: len(fps)] = fps
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    """Row b holds bit b of all fingerprints (of one word or a row of words each), 64 to a word; lane i of word w is fingerprint 64 w + i."""
+    words = fps.reshape(len(fps), -1)
+    padded = np.zeros((-(-len(fps) // 64) * 64, words.shape[1]), "<u8")
+    padded[: len(fps)] = words
+    bits = np.unpackbits(padded.view(np.uint8).reshape(len(padded), -1), axis=1, bitorder="little")
     return np.packbits(bits.T.copy(), axis=1, bitorder="little").view("<u8").astype(U)
 
 
@@ -86,9 +87,11 @@ def near_lanes(fps: np.ndarray, planes: np.ndarray, row: np.ndarray, word: np.nd
     depth = int(radius + 1).bit_length()
     counters = [np.zeros(len(row), U) for _ in range(depth)]
     over = np.zeros(len(row), U)
-    mine, full = fps[row], U(0xFFFFFFFFFFFFFFFF)
-    for b in range(64):
-        carry = planes[b][word] ^ (U(0) - (mine >> U(b) & U(1)))
+    words, full = fps.reshape(len(fps), -1), U(0xFFFFFFFFFFFFFFFF)
+    for b in range(len(planes)):
+        if b % 64 == 0:
+            mine = words[row, b // 64]
+        carry = planes[b][word] ^ (U(0) - (mine >> U(b % 64) & U(1)))
         for k in range(depth):
             carry, counters[k] = counters[k] & carry, counters[k] ^ carry
         over |= carry
@@ -235,15 +238,119 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
-    """docs with one row of each component: the smallest doc_id (null last), of equal ones that with the smallest hash of its text.
+# ---- wide fingerprints: similarity from 0.8 on
 
-    Other columns stay as they are; of rows that repeat both id and text any one stays.
+#: Words of a wide fingerprint; tables and sampled bits of the candidate search; bits that linked fingerprints may differ in.
+WIDE, WIDE_TABLES, WIDE_KEY, WIDE_RADIUS = 4, 32, 16, 42
+
+_BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
+
+
+def wide_fingerprints(hashes: list[np.ndarray]) -> np.ndarray:
+    """WIDE words for each set of shingle hashes, from as many hashes derived from each; all zero without shingles."""
+    sizes = np.array([len(h) for h in hashes], np.int64)
+    flat, of = np.concatenate([*hashes, np.zeros(0, U)]), np.repeat(np.arange(len(hashes)), sizes)
+    out = np.zeros((len(hashes), WIDE), U)
+    for w in range(WIDE):
+        x = (flat ^ U(w)) * U(0x9E3779B97F4A7C15 + 2 * w)
+        x = (x ^ (x >> U(29))) * U(0xBF58476D1CE4E5B9)
+        parts = (x ^ (x >> U(32))).astype("<u8").view(np.uint8).reshape(-1, 8)
+        for byte in range(8):  # counts of byte values stand for counts of bits
+            seen = np.bincount(of * 256 + parts[:, byte], minlength=256 * len(hashes)).reshape(-1, 256)
+            bits = np.packbits(2 * (seen @ _BITS_OF_BYTE) > sizes[:, None], axis=1, bitorder="little")[:, 0]
+            out[:, w] |= bits.astype(U) << U(8 * byte)
+    return out
+
+
+def _wide_edges(source):
+    """Edges of buckets that arrive sorted by key; a bucket is compared as in links_in_buckets, over all words."""
+    names = [f"w{i}" for i in range(WIDE)]
+
+    def edges(key, mark, fps):
+        if not len(key):
+            return None
+        ends = np.concatenate([np.flatnonzero(np.diff(key)) + 1, [len(key)]])
+        sizes = np.diff(np.concatenate([[0], ends]))
+        keep = np.repeat(sizes > 1, sizes)
+        if not keep.any():
+            return None
+        a, b = links_in_buckets(fps[keep], np.cumsum(sizes[sizes > 1]), WIDE_RADIUS)
+        mark = mark[keep]
+        return pa.RecordBatch.from_arrays([pa.array(mark[a]), pa.array(mark[b])], ["a", "b"]) if len(a) else None
+
+    held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, WIDE), U))
+    for batch in source:
+        new = (batch.column("key").to_numpy(), batch.column("mark").to_numpy(), np.column_stack([batch.column(n).to_numpy().view(U) for n in names]))
+        key, mark, fps = (np.concatenate(x) for x in zip(held, new))
+        cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
+        if (out := edges(key[:cut], mark[:cut], fps[:cut])) is not None:
+            yield out
+        held = key[cut:], mark[cut:], fps[cut:]
+    if (out := edges(*held)) is not None:
+        yield out
+
+
+def _sampled(seed: int, n: int) -> list[int]:
+    """A mask for each word that together have n bits set."""
+    bits = np.random.default_rng(seed).choice(64 * WIDE, n, replace=False)
+    masks = [0] * WIDE
+    for b in bits.tolist():
+        masks[b // 64] |= 1 << (b % 64)
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def _wide_key(seed: int, n: int, *first):
+    return F.xxhash64(F.lit(seed), *first, *[F.col(f"w{i}").bitwiseAND(F.lit(m)) for i, m in enumerate(_sampled(seed, n)) if m])
+
+
+def wide_links(texts: DataFrame) -> DataFrame:
+    """Edges (a, b) between marks of texts whose wide fingerprints differ in at most WIDE_RADIUS bits.
+
+    texts: a written table of mark and w0 to w3. Candidates agree in WIDE_KEY sampled bits of one of WIDE_TABLES
+    tables; all pairs of a bucket are compared by bit planes and a spanning set of its links is returned. A bucket of
+    over HOT texts is dealt out by as many bits again.
+    """
+    keys = F.array(*[_wide_key(t, WIDE_KEY) for t in range(WIDE_TABLES)])
+    first = texts.select("mark", *[f"w{i}" for i in range(WIDE)], F.explode(keys).alias("key"))
+    hot = first.groupBy("key").count().filter(F.col("count") > HOT).select("key", F.lit(True).alias("hot"))
+    again = F.when(F.col("hot"), _wide_key(WIDE_TABLES, WIDE_KEY, "key")).otherwise(F.col("key"))
+    keyed = first.join(hot, "key", "left").withColumn("key", again).drop("hot")
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_wide_edges, "a long, b long")
+
+
+def _both_fingerprints(source):
+    names = ["doc_id", "mark", "fp", *[f"w{i}" for i in range(WIDE)]]
+    for batch in source:
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            texts = part.column("text").to_pylist()
+            fps = np.array([fingerprint(shingle_hashes(t, 3)) for t in texts], U)
+            wide = wide_fingerprints([shingle_hashes(t, 5) for t in texts])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("mark"), pa.array(fps.view(np.int64)), *(pa.array(np.ascontiguousarray(wide[:, i]).view(np.int64)) for i in range(WIDE))], names)
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs with one row of each group of near duplicates: the smallest doc_id (null last), of equal ones that with the smallest hash of its text.
+
+    Texts are linked if their fingerprints over three words differ in at most two bits, or if those of WIDE words over
+    five words differ in at most WIDE_RADIUS of 256, which stands for a similarity of about 0.8; groups are what links
+    connect. Other columns stay as they are; of rows that repeat both id and text any one stays.
     """
-    own = materialize(fingerprints(docs, width, F.xxhash64("text")), "fingerprints")
+    spark = docs.sparkSession
+    tune(spark)
+    schema = "doc_id long, mark long, fp long, " + ", ".join(f"w{i} long" for i in range(WIDE))
+    own = materialize(docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(_both_fingerprints, schema), "fingerprints")
+    texts = materialize(own.drop("doc_id").dropDuplicates(["mark"]), "texts")
+    reps = materialize(texts.groupBy("fp").agg(F.min("mark").alias("rep")), "distinct")
+    same = texts.join(reps, "fp").select(F.col("mark").alias("a"), F.col("rep").alias("b"))
+    near = linked_pairs(reps.select("fp"))
+    for end in ("a", "b"):
+        near = near.join(reps.select(F.col("fp").alias(end), F.col("rep").alias(f"r{end}")), end)
+    edges = same.unionByName(near.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).unionByName(wide_links(texts))
+    roots = components(edges).withColumnRenamed("node", "mark")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("f")
-    nodes = named_components(own).join(own.groupBy("fp").agg(first), "fp")
-    stay = nodes.groupBy("root").agg(F.min("f").alias("f")).select(F.col("f.doc_id").alias("_keep_id"), F.col("f.mark").alias("_keep_mark"))
+    named = own.groupBy("mark").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("d")).select("mark", "d.doc_id").join(roots, "mark", "left")
+    stay = named.withColumn("root", F.coalesce("root", "mark")).groupBy("root").agg(first).select(F.col("f.doc_id").alias("_keep_id"), F.col("f.mark").alias("_keep_mark"))
     marked = docs.withColumn("_keep_of", F.xxhash64("text"))
     kept = marked.join(stay, F.col("doc_id").eqNullSafe(F.col("_keep_id")) & (F.col("_keep_of") == F.col("_keep_mark")), "left_semi")
     return kept.dropDuplicates(["doc_id", "_keep_of"]).select(*docs.columns)
