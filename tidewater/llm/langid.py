@@ -85,7 +85,7 @@ def ngrams(text: str, bits: int, skip: int = 0) -> list[np.ndarray]:
 def sparse(text: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Features of a text and the share of its n-grams that each has."""
     found, counts = np.unique(np.concatenate(ngrams(text.lower(), bits)), return_counts=True)
-    return found.astype(np.int64), counts / counts.sum()
+    return found.astype(np.int32), (counts / counts.sum()).astype(np.float32)
 
 
 def snippets(text: str, n: int, seed: int) -> list[str]:
@@ -169,7 +169,7 @@ def train(docs: DataFrame, allowed: Column, s: Settings | None = None) -> Model:
     share = F.create_map(*[F.lit(x) for lang, n in sizes for x in (lang, float(s.rows_per_language) / n)])
     draw = F.pmod(F.xxhash64(F.lit(s.seed), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     chosen = labelled.filter(draw < F.try_element_at(share, F.col("lang"))).select("doc_id", "text", "lang")
-    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("found", pa.list_(pa.int64())), ("share", pa.list_(pa.float64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("found", pa.list_(pa.int32())), ("share", pa.list_(pa.float32()))])
 
     def features(source):
         for batch in source:
@@ -180,10 +180,20 @@ def train(docs: DataFrame, allowed: Column, s: Settings | None = None) -> Model:
             columns = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    sample = chosen.select("doc_id", "text", "lang").mapInArrow(features, "doc_id long, lang string, found array<long>, share array<double>").toArrow()
-    rows = [(d, g, np.array(f, np.int64), np.array(v)) for d, g, f, v in zip(*(sample.column(c).to_pylist() for c in ("doc_id", "lang", "found", "share")))]
-    rows.sort(key=lambda x: (x[0] is None, x[0] or 0, x[1], len(x[2]), x[2].tobytes()))
-    return fit([(f, v, g) for _, g, f, v in rows], s)
+    sample = chosen.mapInArrow(features, "doc_id long, lang string, found array<int>, share array<float>").toArrow().combine_chunks()
+    ids, langs = sample.column("doc_id").to_pylist(), sample.column("lang").to_pylist()
+    found, share_of = _lists(sample, "found"), _lists(sample, "share")
+    order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, langs[i], len(found[i]), found[i].tobytes()))
+    return fit([(found[i], share_of[i], langs[i]) for i in order], s)
+
+
+def _lists(table: pa.Table, name: str) -> list[np.ndarray]:
+    """The lists of a column as views of one array."""
+    out: list[np.ndarray] = []
+    for chunk in table.column(name).chunks:
+        offsets, values = chunk.offsets.to_numpy(), chunk.values.to_numpy(zero_copy_only=False)
+        out += [values[a:b] for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
+    return out
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
