@@ -142,6 +142,21 @@ def test_wide_links_equal_brute_force_within_buckets(spark, monkeypatch):
         assert all(distance(r.a, r.b) <= 3 * simhash.WIDE_RADIUS for r in simhash.wide_links(frame).collect())
 
 
+def test_large_buckets_are_taken_apart(monkeypatch):
+    import pyarrow as pa
+
+    r = np.random.default_rng(1)
+    base = r.integers(0, 1 << 63, (6, 4)).astype(np.uint64)
+    rows = [(k, f, 100 * k + 10 * f + i, base[2 * k + f]) for k in range(3) for f in range(2) for i in range(4)]
+    for hot in (100, 7, 3):
+        monkeypatch.setattr(simhash, "HOT", hot)
+        for size in (1, 5, 24):
+            parts = [rows[i : i + size] for i in range(0, len(rows), size)]
+            batches = [pa.RecordBatch.from_pydict({"key": [p[0] for p in x], "fine": [p[1] for p in x], "mark": [p[2] for p in x]} | {f"w{i}": pa.array(np.array([p[3][i] for p in x], np.uint64).view(np.int64)) for i in range(4)}) for x in parts]
+            got = {e for b in simhash._wide_edges(iter(batches)) for e in zip(b.column("a").to_pylist(), b.column("b").to_pylist())}
+            assert got == {(100 * k + 10 * f + i, 100 * k + 10 * f) for k in range(3) for f in range(2) for i in range(1, 4)}
+
+
 def test_wide_bits_are_majorities():
     h = simhash.shingle_hashes("one two three four five six seven eight nine", 5)
     assert (simhash.wide_fingerprints([h, h])[0] == simhash.wide_fingerprints([h])[0]).all()

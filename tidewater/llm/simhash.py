@@ -263,13 +263,20 @@ def wide_fingerprints(hashes: list[np.ndarray]) -> np.ndarray:
 
 
 def _wide_edges(source):
-    """Edges of buckets that arrive sorted by key; a bucket is compared as in links_in_buckets, over all words."""
+    """Edges of buckets that arrive sorted by key and finer key; a bucket is compared as in links_in_buckets, over all words.
+
+    A bucket of over HOT rows is taken apart by the finer key, as it comes, so that no more than that is held.
+    """
     names = [f"w{i}" for i in range(WIDE)]
+    apart = None  # the key of a bucket that was found too large before its end
 
-    def edges(key, mark, fps):
+    def edges(key, fine, mark, fps):
         if not len(key):
             return None
-        ends = np.concatenate([np.flatnonzero(np.diff(key)) + 1, [len(key)]])
+        new = np.diff(key) != 0
+        sizes = np.diff(np.concatenate([[0], np.flatnonzero(new) + 1, [len(key)]]))
+        large = np.repeat(sizes > HOT, sizes) | (key == apart if apart is not None else False)
+        ends = np.concatenate([np.flatnonzero(new | (large[1:] & (np.diff(fine) != 0))) + 1, [len(key)]])
         sizes = np.diff(np.concatenate([[0], ends]))
         keep = np.repeat(sizes > 1, sizes)
         if not keep.any():
@@ -278,14 +285,22 @@ def _wide_edges(source):
         mark = mark[keep]
         return pa.RecordBatch.from_arrays([pa.array(mark[a]), pa.array(mark[b])], ["a", "b"]) if len(a) else None
 
-    held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, WIDE), U))
+    held = (*(np.zeros(0, np.int64) for _ in range(3)), np.zeros((0, WIDE), U))
     for batch in source:
-        new = (batch.column("key").to_numpy(), batch.column("mark").to_numpy(), np.column_stack([batch.column(n).to_numpy().view(U) for n in names]))
-        key, mark, fps = (np.concatenate(x) for x in zip(held, new))
-        cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
-        if (out := edges(key[:cut], mark[:cut], fps[:cut])) is not None:
+        if not batch.num_rows:
+            continue
+        new = (*(batch.column(n).to_numpy() for n in ("key", "fine", "mark")), np.column_stack([batch.column(n).to_numpy().view(U) for n in names]))
+        held = tuple(np.concatenate(x) for x in zip(held, new))
+        cut = int(np.searchsorted(held[0], held[0][-1]))
+        if (out := edges(*(x[:cut] for x in held))) is not None:
             yield out
-        held = key[cut:], mark[cut:], fps[cut:]
+        held = tuple(x[cut:] for x in held)
+        if len(held[0]) > HOT:
+            apart = held[0][-1]
+            cut = int(np.searchsorted(held[1], held[1][-1]))
+            if (out := edges(*(x[:cut] for x in held))) is not None:
+                yield out
+            held = tuple(x[cut:] for x in held)
     if (out := edges(*held)) is not None:
         yield out
 
@@ -299,8 +314,8 @@ def _sampled(seed: int, n: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def _wide_key(seed: int, n: int, *first):
-    return F.xxhash64(F.lit(seed), *first, *[F.col(f"w{i}").bitwiseAND(F.lit(m)) for i, m in enumerate(_sampled(seed, n)) if m])
+def _wide_key(seed: int, n: int):
+    return F.xxhash64(F.lit(seed), *[F.col(f"w{i}").bitwiseAND(F.lit(m)) for i, m in enumerate(_sampled(seed, n)) if m])
 
 
 def wide_links(texts: DataFrame) -> DataFrame:
@@ -308,14 +323,11 @@ def wide_links(texts: DataFrame) -> DataFrame:
 
     texts: a written table of mark and w0 to w3. Candidates agree in WIDE_KEY sampled bits of one of WIDE_TABLES
     tables; all pairs of a bucket are compared by bit planes and a spanning set of its links is returned. A bucket of
-    over HOT texts is dealt out by as many bits again.
+    over HOT texts is taken apart by as many bits again.
     """
     keys = F.array(*[_wide_key(t, WIDE_KEY) for t in range(WIDE_TABLES)])
-    first = texts.select("mark", *[f"w{i}" for i in range(WIDE)], F.explode(keys).alias("key"))
-    hot = first.groupBy("key").count().filter(F.col("count") > HOT).select("key", F.lit(True).alias("hot"))
-    again = F.when(F.col("hot"), _wide_key(WIDE_TABLES, WIDE_KEY, "key")).otherwise(F.col("key"))
-    keyed = first.join(hot, "key", "left").withColumn("key", again).drop("hot")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_wide_edges, "a long, b long")
+    keyed = texts.select("mark", *[f"w{i}" for i in range(WIDE)], _wide_key(WIDE_TABLES, WIDE_KEY).alias("fine"), F.explode(keys).alias("key"))
+    return keyed.repartition("key").sortWithinPartitions("key", "fine").mapInArrow(_wide_edges, "a long, b long")
 
 
 def _both_fingerprints(source):
