@@ -18,11 +18,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidewater.llm.common import group_buckets, materialize, ranked, tune
+from tidewater.llm.common import group_buckets, materialize, ranked, release, tune
 from tidewater.llm.wordpieces import library_encoder
 
 
-def cut_pieces(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 1024) -> DataFrame:
+def cut_pieces(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 1024, memory: int = 500_000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document's ids with end_id appended.
 
     A document of more than capacity ids is cut into pieces of exactly capacity, the remainder being the first. Null
@@ -32,18 +32,21 @@ def cut_pieces(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int
     end = int(end_id).to_bytes(4, "little")
 
     def run(source):
-        enc = library_encoder(vocabulary)
+        enc = library_encoder(vocabulary, memory)
         for batch in source:
             rows: list[tuple] = []
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), enc.encode_array(batch.column("text"))):
-                ids += end
-                n = len(ids) // 4
-                first = n % capacity or min(n, capacity)
-                cuts = [0, *range(first, n + 1, capacity)]
-                rows += [(doc, k, a, b - a, zlib.crc32(memoryview(ids)[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+            for at in range(0, batch.num_rows, 1500):
+                part = batch.slice(at, 1500)
+                for doc, ids in zip(part.column("doc_id").to_pylist(), enc.encode_array(part.column("text"))):
+                    ids += end
+                    n = len(ids) // 4
+                    first = n % capacity or min(n, capacity)
+                    cuts = [0, *range(first, n + 1, capacity)]
+                    rows += [(doc, k, a, b - a, zlib.crc32(memoryview(ids)[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
             columns = list(zip(*rows)) or [()] * 5
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
@@ -123,6 +126,6 @@ def pack(pieces: DataFrame, capacity: int = 1024, order: tuple[str, ...] = ("doc
     return placed.select(*pieces.columns, sequence.cast("long").alias("sequence_id"), offset.cast("long").alias("offset"))
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 1024) -> DataFrame:
-    """Cut and pack all documents; see cut_pieces and pack."""
-    return pack(materialize(cut_pieces(docs, vocabulary, end_id, capacity), "pieces"), capacity)
+def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 1024, memory: int = 500_000) -> DataFrame:
+    """Cut and pack all documents; see cut_pieces and pack. memory: pieces of text whose ids a worker keeps."""
+    return pack(materialize(cut_pieces(docs, vocabulary, end_id, capacity, memory), "pieces"), capacity)

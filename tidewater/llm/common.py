@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,9 +51,8 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def batches(source: Iterable[pa.RecordBatch], column: str, rows: int = 500) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Slices of Arrow batches with one column as Python values."""
-    for batch in source:
-        for at in range(0, batch.num_rows, rows):
-            part = batch.slice(at, rows)
-            yield part, part.column(column).to_pylist()
+def release() -> None:
+    """Give memory that a task no longer needs back to the system; Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

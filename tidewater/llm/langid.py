@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tidewater.llm.common import tune
+from tidewater.llm.common import release, tune
 
 #: Prediction for texts that are null or have no letter.
 UNDETERMINED = "und"
@@ -230,6 +230,7 @@ def recognised(docs: DataFrame, model: Model, least: float) -> DataFrame:
                 part = batch.slice(at, 500)
                 found = [model.predict(t) for t in part.column("text").to_pylist()]
                 yield part.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score in found], pa.bool_()))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from tidewater.llm.common import tune
+from tidewater.llm.common import release, tune
 
 #: The base patterns, and the least number of characters (of group 2 for assign).
 ASSIGN = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
@@ -344,7 +344,7 @@ def train(docs: DataFrame, s: Settings | None = None) -> Model:
 class Tagger:
     """Decodes texts; scores of a word's features are kept for a bounded number of words."""
 
-    LIMIT = 400_000
+    LIMIT, AT_ONCE = 150_000, 500
 
     def __init__(self, model: Model):
         self.m = model
@@ -418,7 +418,10 @@ class Tagger:
         return tags[::-1]
 
     def tag(self, texts: pa.Array) -> list[list[tuple[int, int]]]:
-        """For each text the spans (start, end) of code points that the field tags."""
+        """For each text the spans (start, end) of code points that the field tags; some hundred texts at a time."""
+        return [spans for at in range(0, len(texts), self.AT_ONCE) for spans in self._tag(texts.slice(at, self.AT_ONCE))]
+
+    def _tag(self, texts: pa.Array) -> list[list[tuple[int, int]]]:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         split = pc.ascii_split_whitespace(texts)
         offsets = split.offsets.to_numpy()
@@ -430,7 +433,7 @@ class Tagger:
         coded = values.dictionary_encode()
         rows = self.row_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy(zero_copy_only=False)]
         plain = texts.to_pylist()
-        files = np.array([self.m.file[list(file_slots(t))].sum(axis=0) for t in plain])
+        files = np.array([self.m.file[list(file_slots(t))].sum(axis=0) for t in plain], np.float32)
         e = self.scores(rows, starts[:-1], np.repeat(files, np.diff(starts), axis=0))
         unsure = np.flatnonzero(e[:, OUT] - np.maximum(e[:, BEGIN], e[:, INSIDE]) <= self.reach)
         if not len(unsure):
@@ -543,5 +546,6 @@ def mask(docs: DataFrame, model: Model) -> DataFrame:
             texts = batch.column("text").to_pylist()
             new = [None if t is None else redact(t, all_spans(t, tagged)[1]) for t, tagged in zip(texts, tagger.tag(batch.column("text")))]
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if c == "text" else batch.column(c) for c in names], names)
+        release()
 
     return docs.mapInArrow(run, docs.schema)

@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewater.llm.common import materialize, tune
+from tidewater.llm.common import materialize, release, tune
 from tidewater.llm.components import components
 
 SEED = 42
@@ -303,6 +303,7 @@ def _wide_edges(source):
             held = tuple(x[cut:] for x in held)
     if (out := edges(*held)) is not None:
         yield out
+    release()
 
 
 def _sampled(seed: int, n: int) -> list[int]:
@@ -339,6 +340,7 @@ def _both_fingerprints(source):
             fps = np.array([fingerprint(shingle_hashes(t, 3)) for t in texts], U)
             wide = wide_fingerprints([shingle_hashes(t, 5) for t in texts])
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("mark"), pa.array(fps.view(np.int64)), *(pa.array(np.ascontiguousarray(wide[:, i]).view(np.int64)) for i in range(WIDE))], names)
+    release()
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -143,15 +143,15 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
+_ENCODERS: dict[tuple[str, int], PieceEncoder] = {}
 
 
-def library_encoder(vocabulary: str) -> PieceEncoder:
+def library_encoder(vocabulary: str, limit: int = 500_000) -> PieceEncoder:
     """An encoder over a file of the tokenizers library, one for each Python worker.
 
-    Every id comes from the library's model. Special strings in a text are ordinary text.
+    Every id comes from the library's model. Special strings in a text are ordinary text. limit: pieces that are kept.
     """
-    if vocabulary not in _ENCODERS:
+    if (vocabulary, limit) not in _ENCODERS:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(vocabulary)
@@ -170,5 +170,5 @@ def library_encoder(vocabulary: str) -> PieceEncoder:
         def whole(text: str) -> bytes:
             return little_endian(tokenizer.encode(text, add_special_tokens=False).ids)
 
-        _ENCODERS[vocabulary] = PieceEncoder(word, whole)
-    return _ENCODERS[vocabulary]
+        _ENCODERS[vocabulary, limit] = PieceEncoder(word, whole, limit)
+    return _ENCODERS[vocabulary, limit]
