@@ -12,13 +12,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewater.llm.common import materialize, release, tune
 from tidewater.llm.components import components
+from tidewater.llm.similar import shingle_hashes, similar_links
 
-SEED = 42
 RADIUS = 2
 #: Buckets of more distinct fingerprints are split by further blocks, which bounds them by 2^16.
 HOT = 4096
@@ -28,20 +27,6 @@ TASKS = 1 << 15
 U = np.uint64
 
 
-def shingle_hashes(text: str | None, width: int = 3) -> np.ndarray:
-    """XXH64 of each run of `width` words, repeats included; of the whole sequence if it is shorter; none without words."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, U)
-    joined = b" ".join(words)
-    if len(words) <= width:
-        return np.array([xxhash.xxh64_intdigest(joined, SEED)], U)
-    ends = (np.cumsum([len(w) + 1 for w in words]) - 1).tolist()
-    starts = [0, *(e + 1 for e in ends[:-width])]
-    h = xxhash.xxh64_intdigest
-    return np.array([h(joined[a:b], SEED) for a, b in zip(starts, ends[width - 1 :])], U)
-
-
 def fingerprint(hashes: np.ndarray) -> int:
     """Bit i is 1 if it is set in over half the hashes."""
     if not len(hashes):
@@ -238,7 +223,7 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-# ---- wide fingerprints: similarity from 0.8 on
+# ---- wide fingerprints: an estimate of similarity from 0.8 on; keep_one takes the exact links of tidewater.llm.similar
 
 #: Words of a wide fingerprint; tables and sampled bits of the candidate search; bits that linked fingerprints may differ in.
 WIDE, WIDE_TABLES, WIDE_KEY, WIDE_RADIUS = 4, 32, 16, 42
@@ -331,37 +316,23 @@ def wide_links(texts: DataFrame) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key", "fine").mapInArrow(_wide_edges, "a long, b long")
 
 
-def _both_fingerprints(source):
-    names = ["doc_id", "mark", "fp", *[f"w{i}" for i in range(WIDE)]]
-    for batch in source:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            texts = part.column("text").to_pylist()
-            fps = np.array([fingerprint(shingle_hashes(t, 3)) for t in texts], U)
-            wide = wide_fingerprints([shingle_hashes(t, 5) for t in texts])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("mark"), pa.array(fps.view(np.int64)), *(pa.array(np.ascontiguousarray(wide[:, i]).view(np.int64)) for i in range(WIDE))], names)
-    release()
-
-
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of near duplicates: the smallest doc_id (null last), of equal ones that with the smallest hash of its text.
 
-    Texts are linked if their fingerprints over three words differ in at most two bits, or if those of WIDE words over
-    five words differ in at most WIDE_RADIUS of 256, which stands for a similarity of about 0.8; groups are what links
-    connect. Other columns stay as they are; of rows that repeat both id and text any one stays.
+    Texts are linked if their fingerprints over three words differ in at most two bits, or if the Jaccard similarity of
+    their sets of five-word shingles is 0.8 or more; groups are what links connect. Other columns stay as they are; of
+    rows that repeat both id and text any one stays.
     """
-    spark = docs.sparkSession
-    tune(spark)
-    schema = "doc_id long, mark long, fp long, " + ", ".join(f"w{i} long" for i in range(WIDE))
-    own = materialize(docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(_both_fingerprints, schema), "fingerprints")
+    tune(docs.sparkSession)
+    own = materialize(fingerprints(docs, mark=F.xxhash64("text")), "fingerprints")
     texts = materialize(own.drop("doc_id").dropDuplicates(["mark"]), "texts")
     reps = materialize(texts.groupBy("fp").agg(F.min("mark").alias("rep")), "distinct")
     same = texts.join(reps, "fp").select(F.col("mark").alias("a"), F.col("rep").alias("b"))
     near = linked_pairs(reps.select("fp"))
     for end in ("a", "b"):
         near = near.join(reps.select(F.col("fp").alias(end), F.col("rep").alias(f"r{end}")), end)
-    edges = same.unionByName(near.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).unionByName(wide_links(texts))
-    roots = components(edges).withColumnRenamed("node", "mark")
+    edges = materialize(same.unionByName(near.select(F.col("ra").alias("a"), F.col("rb").alias("b"))), "links")
+    roots = components(edges.unionByName(similar_links(docs, F.xxhash64("text"), edges))).withColumnRenamed("node", "mark")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("f")
     named = own.groupBy("mark").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("d")).select("mark", "d.doc_id").join(roots, "mark", "left")
     stay = named.withColumn("root", F.coalesce("root", "mark")).groupBy("root").agg(first).select(F.col("f.doc_id").alias("_keep_id"), F.col("f.mark").alias("_keep_mark"))
