@@ -102,3 +102,15 @@ def test_prefix_puts_common_shingles_last():
     assert similar.prefix(s, common, np.array([2, 0, 1])).tolist() == [12, 13, 14]
     assert similar.prefix(s, np.zeros(0, np.uint64), np.zeros(0, np.int64)).tolist() == [10, 11, 12]
     assert similar.prefix(s[:1], common, np.array([2, 0, 1])).tolist() == [10]
+
+
+def test_stage_links_large_groups_whatever_a_bucket_holds(spark, monkeypatch):
+    from tests.llm.test_simhash import brute_fingerprint
+
+    texts = large_group(120)
+    prints = [brute_fingerprint(t) for t in texts]
+    want = groups([(i, j) for i, j in combinations(range(len(texts)), 2) if jaccard(texts[i], texts[j]) >= 0.8 or (prints[i] ^ prints[j]).bit_count() <= 2], len(texts))
+    monkeypatch.setattr(simhash, "HOT", 16)
+    monkeypatch.setattr(similar, "CELL", 30)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(set(want))

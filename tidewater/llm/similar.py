@@ -21,6 +21,8 @@ WIDTH = 5
 PARTS, WHOLE = 4, 5
 #: Larger buckets are first held against one of their texts, and then compared in cells of about so many.
 SMALL, CELL = 16, 2048
+#: Rounds in which texts of a large bucket are held against its largest group before all of its pairs are.
+STRAY_ROUNDS = 1
 #: A shingle in so many texts of a batch is reported; so many reported ones at most are put last. Neither changes the links.
 SEEN, COMMON = 2, 1 << 20
 #: Places of the filter by which the texts of candidates are picked out before they are shuffled.
@@ -202,13 +204,31 @@ def _cells(source):
     release()
 
 
+def with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    known = rows.join(roots.withColumnRenamed("node", "mark"), "mark", "left").withColumn("root", F.coalesce("root", "mark"))
+    return materialize(known.dropDuplicates(["key", "mark"]), "buckets")
+
+
+def stray_pairs(rows: DataFrame, roots: DataFrame, salt: int = 0) -> DataFrame:
+    """Candidates (a, b) of each text with one of the largest group of its bucket, another one in each bucket.
+
+    They are as many as rows at most. What they link needs no comparison of all pairs.
+    """
+    known = with_roots(rows, roots)
+    groups = known.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("key", "mark", F.lit(salt)), "mark", "n", "pos")).alias("one"))
+    largest = groups.groupBy("key").agg(F.max(F.struct("size", "root", "one")).alias("g")).select("key", "g.root", "g.one").withColumnRenamed("root", "_root")
+    strays = known.join(largest, "key").filter("root <> _root")
+    most = F.least(F.col("n") - F.col("pos"), F.col("one.n") - F.col("one.pos"))
+    fit = strays.filter((PARTS + WHOLE) * most >= PARTS * (F.col("n") + F.col("one.n")))
+    return fit.select(F.least("mark", "one.mark").alias("a"), F.greatest("mark", "one.mark").alias("b")).distinct()
+
+
 def cross_pairs(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """Candidates (a, b) of the larger buckets whose texts aren't connected yet.
 
     rows: key, mark, n, pos; roots: node and root. A bucket of c cells' worth of texts is dealt out to c (c + 1) / 2 cells.
     """
-    known = rows.join(roots.withColumnRenamed("node", "mark"), "mark", "left").withColumn("root", F.coalesce("root", "mark"))
-    known = materialize(known.dropDuplicates(["key", "mark"]), "buckets")
+    known = with_roots(rows, roots)
     mixed = known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count(F.lit(1)) / CELL).cast("long").alias("parts")).filter("lo < hi").select("key", "parts")
     dealt = known.join(mixed, "key").withColumn("part", F.pmod(F.xxhash64("mark", "key"), "parts"))
     cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
@@ -269,6 +289,9 @@ def similar_links(docs: DataFrame, mark: Column, known: DataFrame) -> DataFrame:
     later = found.filter("b is null").select("key", F.col("a").alias("mark"), "n", "pos")
     if later.isEmpty():
         return links
-    roots = components(known.unionByName(links))
-    more = materialize(cross_pairs(later, roots).distinct(), "pairs")
-    return links if more.isEmpty() else links.unionByName(materialize(checked(more, marked), "similar"))
+    for salt in range(STRAY_ROUNDS + 1):  # the last round compares all that is left
+        roots = components(known.unionByName(links))
+        more = materialize((stray_pairs(later, roots, salt) if salt < STRAY_ROUNDS else cross_pairs(later, roots)).distinct(), "pairs")
+        if not more.isEmpty():
+            links = links.unionByName(materialize(checked(more, marked), "similar"))
+    return links
