@@ -123,3 +123,25 @@ def test_score_tells_target_like_texts(spark):
     got = {r.doc_id: r.score for r in lm_score.score_documents(docs, (F.col("doc_id") % 2 == 1) & (F.col("doc_id") < 100)).collect()}
     assert got[100] < got[101]
     assert lm_score.score_documents(docs.limit(0), F.lit(True)).count() == 0
+
+
+def test_every_ngram_has_its_own_loss():
+    keys = np.random.default_rng(1).integers(0, 1 << 63, 3_000_000).astype(np.uint64)
+    keys = np.unique(np.concatenate([keys, np.zeros(1, np.uint64)]))
+    table = lm_score.Losses(keys, np.arange(len(keys)) % 65_521, np.arange(len(keys)) % 251)
+    at = table.find(keys)
+    assert (table.loss[0, at] == np.arange(len(keys)) % 65_521).all() and (table.loss[1, at] == np.arange(len(keys)) % 251).all()
+    assert (table.find(keys[1:1000] + np.uint64(1 << 63)) == -1).all()
+    assert lm_score.Losses(keys[:0], np.zeros(0), np.zeros(0)).find(keys[:5]).tolist() == [-1] * 5
+
+
+def test_scores_in_parts_equal_scores_at_once(spark, monkeypatch):
+    docs = fixtures.frame(spark, [t if t is None else t[:400] for t in fixtures.texts(15)])
+    scores = lambda: {r.doc_id: r for r in lm_score.score_documents(docs, F.col("doc_id") % 2 == 1).collect()}
+    whole = scores()
+    monkeypatch.setattr(lm_score, "HELD", 700)
+    parts = scores()
+    assert set(whole) == set(parts)
+    for d, r in whole.items():
+        assert r.n_tokens == parts[d].n_tokens and (r.score is None) == (parts[d].score is None)
+        assert r.score is None or abs(r.score - parts[d].score) < 1e-9

@@ -15,8 +15,8 @@ from pyspark.sql.window import Window
 from tidewater.llm.common import materialize, tune
 
 ORDER = 4
-#: Losses are looked up by a hash of the n-gram in a table of 2^SLOT_BITS places, which bounds what workers hold.
-SLOT_BITS = 22
+#: Workers hold the losses of about so many n-grams at a time; more are taken in parts, with a pass over the texts for each.
+HELD = 1 << 21
 #: Weight of the lower order in each order's estimate, in tokens.
 WEIGHT = 4.0
 #: Texts are turned into n-grams in blocks of about so many code points.
@@ -47,10 +47,39 @@ def ngram_keys(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return keys[own], np.array(ends, np.int64)
 
 
-def slots(keys: np.ndarray) -> np.ndarray:
-    x = keys * U(0x9E3779B97F4A7C15)
-    x ^= x >> U(32)
-    return ((x * U(0xD6E8FEB86659FD93)) >> U(64 - SLOT_BITS)).astype(np.int64)
+class Losses:
+    """Losses by n-gram key: a hash table of at least twice as many places as keys, searched from place to place."""
+
+    def __init__(self, keys: np.ndarray, loss_t: np.ndarray, loss_b: np.ndarray):
+        self.bits = max(1, int(2 * len(keys)).bit_length())
+        self.keys, self.taken = np.zeros(1 << self.bits, U), np.zeros(1 << self.bits, bool)
+        self.loss = np.zeros((2, 1 << self.bits), np.float32)
+        left, at = np.arange(len(keys)), self._place(keys)
+        while len(left):
+            free = np.flatnonzero(~self.taken[at])
+            one = free[np.unique(at[free], return_index=True)[1]]
+            self.keys[at[one]], self.taken[at[one]] = keys[left[one]], True
+            self.loss[0, at[one]], self.loss[1, at[one]] = loss_t[left[one]], loss_b[left[one]]
+            rest = np.ones(len(left), bool)
+            rest[one] = False
+            left, at = left[rest], at[rest] + 1 & (1 << self.bits) - 1
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        x = keys * U(0x9E3779B97F4A7C15)
+        x ^= x >> U(32)
+        return ((x * U(0xD6E8FEB86659FD93)) >> U(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key; -1 where it has none."""
+        at = self._place(keys)
+        wrong = np.flatnonzero((self.keys[at] != keys) | ~self.taken[at])
+        while len(wrong):
+            none = ~self.taken[at[wrong]]
+            at[wrong[none]] = -1
+            wrong = wrong[~none]
+            at[wrong] = at[wrong] + 1 & (1 << self.bits) - 1
+            wrong = wrong[(self.keys[at[wrong]] != keys[wrong]) | ~self.taken[at[wrong]]]
+        return at
 
 
 def _blocks(texts: list, *others: list):
@@ -102,49 +131,53 @@ def losses(counts: DataFrame) -> DataFrame:
     return lower.select("key", "c_b", (-F.log("p_t")).alias("loss_t"), (-F.log("p_b")).alias("loss_b"))
 
 
-def loss_table(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Target and background losses by slot. N-grams that share a slot have the mean of their losses by background count."""
-    def place(source):
+def loss_table(found: DataFrame) -> Losses:
+    rows = found.select("key", F.col("loss_t").cast("float"), F.col("loss_b").cast("float")).toArrow()
+    return Losses(rows.column("key").to_numpy().view(U), rows.column("loss_t").to_numpy(), rows.column("loss_b").to_numpy())
+
+
+def _sums(rows: DataFrame, shared) -> DataFrame:
+    """row, doc_id, n and the sums of those losses of each text that are in the shared table."""
+    def run(source):
+        table = shared.value
         for batch in source:
-            yield pa.RecordBatch.from_arrays([pa.array(slots(batch.column("key").to_numpy().view(U))), *(batch.column(c) for c in ("c_b", "loss_t", "loss_b"))], ["slot", "c_b", "loss_t", "loss_b"])
+            at = 0
+            for (texts,) in _blocks(batch.column("text").to_pylist()):
+                keys, ends = ngram_keys(texts)
+                place, starts = table.find(keys), np.concatenate([[0], ends[:-1]]).astype(np.int64)
+                known, bounds = place >= 0, np.concatenate([starts, ends[-1:]])
+                sums = [np.diff(np.concatenate([[0.0], np.cumsum(t[place] * known, dtype=np.float64)])[bounds]) for t in table.loss]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, len(texts)).cast(pa.int64()) for c in ("row", "doc_id")), pa.array(ends - starts), *map(pa.array, sums)], ["row", "doc_id", "n", "s_t", "s_b"])
+                at += len(texts)
 
-    means = [(F.sum(F.col(f"loss_{m}") * F.col("c_b")) / F.sum("c_b")).cast("float").alias(f"loss_{m}") for m in "tb"]
-    rows = losses(counts).mapInArrow(place, "slot long, c_b long, loss_t double, loss_b double").groupBy("slot").agg(*means).toArrow()
-    out = [np.zeros(1 << SLOT_BITS, np.float32) for _ in range(2)]
-    for table, name in zip(out, ("loss_t", "loss_b")):
-        table[rows.column("slot").to_numpy()] = rows.column(name).to_numpy()
-    return out[0], out[1]
+    return rows.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, n long, s_t double, s_b double")
 
 
 def score_documents(docs: DataFrame, target: Column) -> DataFrame:
     """doc_id, n_tokens, loss_target, loss_background and score (their difference) of every whole text.
 
     target: a condition on columns of docs; null is false. Counts come from all documents, whole, by a shuffle of
-    n-grams with map-side sums; the driver and the workers hold a table of losses of fixed size. Null and empty texts
-    have no tokens and null losses and score. Without target documents the target model is uniform. Repeated rows
-    count each; an empty table gives none.
+    n-grams with map-side sums. Every n-gram has its own loss; where there are over HELD, the texts are passed over
+    once for each part of them, and the driver and the workers hold one part. Null and empty texts have no tokens and
+    null losses and score. Without target documents the target model is uniform. Repeated rows count each; an empty
+    table gives none.
     """
     spark = docs.sparkSession
     tune(spark)
-    shared = spark.sparkContext.broadcast(loss_table(materialize(count_ngrams(docs, target), "ngrams")))
-
-    def run(source):
-        loss_t, loss_b = shared.value
-        for batch in source:
-            ids = batch.column("doc_id").cast(pa.int64())
-            at = 0
-            for (texts,) in _blocks(batch.column("text").to_pylist()):
-                keys, ends = ngram_keys(texts)
-                place, starts = slots(keys), np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                n = ends - starts
-                sums = [np.diff(np.concatenate([[0.0], np.cumsum(t[place], dtype=np.float64)])[np.concatenate([starts, ends[-1:]])]) for t in (loss_t, loss_b)]
-                none = n == 0
-                t, b = (pa.array(s / np.maximum(n, 1), mask=none) for s in sums)
-                d = pa.array((sums[0] - sums[1]) / np.maximum(n, 1), mask=none)
-                yield pa.RecordBatch.from_arrays([ids.slice(at, len(texts)), pa.array(n), t, b, d], ["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
-                at += len(texts)
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
+    found = materialize(losses(materialize(count_ngrams(docs, target), "ngrams")), "losses")
+    parts = max(1, -(-found.count() // HELD))
+    if parts == 1:
+        sums = _sums(docs.select(F.lit(0).cast("long").alias("row"), "doc_id", "text"), spark.sparkContext.broadcast(loss_table(found)))
+    else:
+        rows, sums = materialize(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "rows"), None
+        for k in range(parts):
+            shared = spark.sparkContext.broadcast(loss_table(found.filter(F.pmod(F.xxhash64("key"), F.lit(parts)) == k)))
+            part = materialize(_sums(rows, shared), "sums")
+            shared.destroy()
+            sums = part if sums is None else sums.unionByName(part)
+        sums = sums.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n").alias("n"), F.sum("s_t").alias("s_t"), F.sum("s_b").alias("s_b"))
+    mean = lambda c: F.when(F.col("n") > 0, c / F.col("n"))
+    return sums.select("doc_id", F.col("n").alias("n_tokens"), mean(F.col("s_t")).alias("loss_target"), mean(F.col("s_b")).alias("loss_background"), mean(F.col("s_t") - F.col("s_b")).alias("score"))
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
