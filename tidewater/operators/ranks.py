@@ -13,6 +13,14 @@ def group_buckets(n_rows: int) -> int:
     return max(16, -(-n_rows // ROWS_PER_GROUP))
 
 
+def free_name(taken: list[str], wanted: str) -> str:
+    """wanted, lengthened until it is none of the names taken (upper and lower case are one)."""
+    low = {c.lower() for c in taken}
+    while wanted.lower() in low:
+        wanted += "_"
+    return wanted
+
+
 def ranked(df: DataFrame, groups: list[str], order: list[Column], bucket: Column, out: str) -> DataFrame:
     """A gapless rank from 0 within each combination of groups, without one task for each group.
 
@@ -20,14 +28,13 @@ def ranked(df: DataFrame, groups: list[str], order: list[Column], bucket: Column
     the parts before it end. df has to be cheap to read twice (a written table). The counts of the parts are one
     small row each and their running sum is taken by a window over the parts of a group.
     """
-    keyed = df.withColumn("_part", bucket)
-    counts = keyed.groupBy(*groups, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*groups, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    rank = F.row_number().over(Window.partitionBy(*groups, "_part").orderBy(*order)) - 1
-    numbered = keyed.withColumn("_rank", rank)
-    keys = [*groups, "_part"]
-    right = starts.select(*[F.col(k).alias(f"_r_{k}") for k in keys], "_start")
-    same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
-    joined = numbered.join(right, same, "left")
-    return joined.withColumn(out, (F.col("_rank") + F.col("_start")).cast("long")).drop("_part", "_rank", "_start", *[f"_r_{k}" for k in keys])
+    part, rank, start = (free_name([*df.columns, out], n) for n in ("_part", "_rank", "_start"))
+    keyed = df.withColumn(part, bucket)
+    counts = keyed.groupBy(*groups, part).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*groups).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    keys = [*groups, part]
+    right = counts.select(*[F.col(k).alias(f"_r{i}") for i, k in enumerate(keys)], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(start))
+    numbered = keyed.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    same = [numbered[k].eqNullSafe(right[f"_r{i}"]) for i, k in enumerate(keys)]
+    joined = numbered.join(right, same, "left").withColumn(rank, (F.col(rank) + right[start]).cast("long"))
+    return joined.select(*[numbered[c] for c in df.columns if c != out], F.col(rank).alias(out))
