@@ -1,9 +1,11 @@
 from collections import Counter
+from itertools import combinations, permutations
 
 import numpy as np
+import pytest
 
 from tests.llm import fixtures
-from tidewater.llm.shuffle_shards import _corrected_multinomial, communication_matrix, shuffle_into_shards
+from tidewater.llm.shuffle_shards import communication_matrix, hypergeometric, shuffle_into_shards
 
 
 def test_matrix_has_exact_margins_and_the_hypergeometric_mean():
@@ -16,10 +18,46 @@ def test_matrix_has_exact_margins_and_the_hypergeometric_mean():
     assert np.allclose(total / 200, np.array(counts)[:, None] / 7, atol=1.5)
 
 
-def test_large_matrix_is_corrected_to_exact_margins():
-    counts, sizes = [4_000_000, 1_000_001, 7], np.array([1_250_002] * 4)
-    m = _corrected_multinomial(np.random.default_rng(1), counts, sizes, 1)
-    assert m.sum(axis=1).tolist() == counts and m.sum(axis=0).tolist() == sizes.tolist() and m.min() >= 0
+def arrangements(counts, sizes):
+    """The law of the matrix by listing every arrangement of the rows."""
+    part_of = [i for i, n in enumerate(counts) for _ in range(n)]
+    shard_of = [j for j, n in enumerate(sizes) for _ in range(n)]
+    law = Counter()
+    for order in permutations(range(len(shard_of))):
+        m = np.zeros((len(counts), len(sizes)), int)
+        np.add.at(m, (part_of, [shard_of[k] for k in order]), 1)
+        law[tuple(m.ravel().tolist())] += 1
+    total = sum(law.values())
+    return {k: n / total for k, n in law.items()}
+
+
+@pytest.mark.parametrize("counts, shards", [([2, 2], 2), ([2, 1, 1], 2), ([3, 3], 3), ([1, 4, 2], 2)])
+def test_matrix_has_the_law_of_all_arrangements(counts, shards):
+    n = 6000
+    seen = Counter(tuple(communication_matrix(counts, shards, seed).ravel().tolist()) for seed in range(n))
+    whole, more = divmod(sum(counts), shards)
+    law = Counter()
+    larger = list(combinations(range(shards), more))
+    for chosen in larger:
+        for k, p in arrangements(counts, [whole + (j in chosen) for j in range(shards)]).items():
+            law[k] += p / len(larger)
+    assert set(seen) <= set(law)
+    chi = sum((seen[k] - n * p) ** 2 / (n * p) for k, p in law.items())
+    assert chi < len(law) - 1 + 5 * (2 * (len(law) - 1)) ** 0.5
+
+
+def test_draws_agree_with_numpy_and_work_for_any_number():
+    rng, other = np.random.default_rng(1), np.random.default_rng(2)
+    for good, bad, draws in ((5, 9, 6), (300, 20, 100), (40_000, 60_000, 900)):
+        own = np.array([hypergeometric(rng, good, bad, draws) for _ in range(4000)])
+        theirs = other.hypergeometric(good, bad, draws, 4000)
+        assert abs(own.mean() - theirs.mean()) < 5 * theirs.std() / 4000**0.5 * 2**0.5 and 0.9 < own.std() / theirs.std() < 1.1
+    n = 10**12
+    own = np.array([hypergeometric(rng, n // 40, n - n // 40, 10**9) for _ in range(500)])
+    mean, std = 10**9 / 40, (10**9 / 40 * 39 / 40 * (1 - 10**9 / n)) ** 0.5
+    assert abs(own.mean() - mean) < 5 * std / 500**0.5 and 0.85 < own.std() / std < 1.15
+    m = communication_matrix([3 * 10**10, 10**10 + 1], 4, 3)
+    assert m.sum(axis=1).tolist() == [3 * 10**10, 10**10 + 1] and np.ptp(m.sum(axis=0)) <= 1
 
 
 def test_shards_are_exact_gapless_and_keep_rows(spark):
@@ -44,3 +82,10 @@ def test_order_is_shuffled(spark):
     got = shuffle_into_shards(ids, 4, ["doc_id"]).orderBy("shard", "slot").collect()
     x = np.array([r.doc_id for r in got], float)
     assert abs(np.corrcoef(x[:-1], x[1:])[0, 1]) < 0.08 and abs(np.corrcoef(x, [r.shard for r in got])[0, 1]) < 0.08
+
+
+def test_clashing_names_are_kept_or_replaced(spark):
+    df = spark.createDataFrame([(i, i, i, i, i, i, i) for i in range(40)], "doc_id long, _cell long, _key long, _part long, _bounds long, _place long, slot long")
+    got = shuffle_into_shards(df, 4, ["doc_id"]).collect()
+    assert all(r._cell == r._key == r._part == r._bounds == r._place == r.doc_id for r in got)
+    assert {(r.shard, r.slot) for r in got} == {(s, k) for s in range(4) for k in range(10)}

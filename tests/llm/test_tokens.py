@@ -19,7 +19,6 @@ JSON, RANKS = P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken")
 @pytest.fixture(scope="module")
 def library():
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -46,9 +45,18 @@ def test_pieces_equal_the_library(library):
         assert np.frombuffer(ids, "<u4").tolist() == library(text), text
 
 
+def test_special_strings_are_single_ids(library):
+    enc = wordpieces.library_encoder(JSON)
+    mark = "<|endoftext|>"
+    values = [mark, f"a {mark} b", f"a{mark}{mark} 's  b", f" {mark}", f"{mark} ", "<|endoftext", f"日本{mark}é x <|endof", f"a  {mark}  b\n{mark}"]
+    for text, ids in zip(values, enc.encode(values)):
+        assert np.frombuffer(ids, "<u4").tolist() == library(text), text
+    assert 50256 in library(values[1])
+
+
 def test_memory_of_two_generations_keeps_results(library):
     enc = wordpieces.library_encoder(JSON)
-    small = wordpieces.PieceEncoder(enc.encode_word, enc.whole, limit=8)
+    small = wordpieces.PieceEncoder(enc.encode_word, enc.whole, limit=8, special=enc.special)
     values = fixtures.texts()
     for at in range(0, len(values), 3):
         part = values[at : at + 3]
@@ -102,6 +110,33 @@ def test_store_notices_a_changed_chunk(spark):
         content_store.read_index(spark, path).collect()
 
 
+TAMPERED = {
+    "reversed digests": ("recipes", {"digests": "reverse(digests)"}),
+    "a changed tail": ("recipes", {"tails": "transform(tails, (x, i) -> if(i = 0, x + 1, x))"}),
+    "a changed length": ("recipes", {"n_tokens": "n_tokens + 1"}),
+    "a changed root": ("recipes", {"root": "unhex(repeat('00', 16))"}),
+    "a changed document": ("recipes", {"digests": "slice(digests, 1, 1)", "tails": "array(0L)", "root": "digests[0]"}),
+    "another order": ("recipes", {"entry": "-entry"}),
+    "a part's root": ("manifest", {"root": "unhex(repeat('00', 16))"}),
+    "a part's start": ("manifest", {"start": "start + 5"}),
+}
+
+
+@pytest.mark.parametrize("name", sorted(TAMPERED))
+def test_store_notices_what_was_changed(spark, name):
+    path, (table, changes) = fresh_path(spark, "store"), TAMPERED[name]
+    r = random.Random(5)
+    texts = [" ".join(str(r.random()) for _ in range(400)), "three", "four five"]
+    content_store.write_store(fixtures.frame(spark, texts, parts=1), path, JSON)
+    before = spark.read.parquet(f"{path}/{table}").collect()
+    assert table == "manifest" or max(len(x.digests) for x in before) > 3
+    schema = spark.read.parquet(f"{path}/{table}").schema
+    changed = spark.createDataFrame(before, schema).selectExpr(*[f"{changes[c]} AS {c}" if c in changes else c for c in schema.names])
+    changed.write.mode("overwrite").parquet(f"{path}/{table}")
+    with pytest.raises(Exception, match="differs from|can't be put together"):
+        content_store.read_index(spark, path).collect()
+
+
 def test_store_of_nothing(spark):
     path = fresh_path(spark, "store")
     content_store.write_store(fixtures.empty(spark), path, JSON)

@@ -7,9 +7,10 @@ import ctypes
 import tempfile
 import uuid
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
-from tidewater.operators.ranks import group_buckets, ranked  # noqa: F401  used by the operators
+from tidewater.operators.ranks import free_name, group_buckets, ranked  # noqa: F401  used by the operators
 
 
 def tune(spark: SparkSession) -> None:
@@ -21,13 +22,17 @@ def tune(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which all executors see.
 
-    Where it is unset, a local master gets a temporary folder and a cluster a folder in the warehouse.
+    Where it is unset, a local master gets a temporary folder and a cluster a folder in the warehouse, unless that is
+    a local path, which executors don't share: then an error is raised.
     """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
         local = sc.master.startswith("local[") or sc.master == "local"
-        found = tempfile.mkdtemp(prefix="tidewater-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if not local and (warehouse.startswith("file:") or "://" not in warehouse):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="tidewater-") if local else f"{warehouse}/_shared"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -42,7 +47,15 @@ def materialize(df: DataFrame, name: str, path: str | None = None, codec: str =
     spark = df.sparkSession
     path = path or fresh_path(spark, name)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize wrote, once nothing that is still to run reads them."""
+    for t in tables:
+        remove(t.sparkSession, t.written)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -56,3 +69,25 @@ def release() -> None:
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def bounded_sample(rows: DataFrame, identity: list[Column], limit: int, seed: int, by: str | None = None, classes: int = 256) -> DataFrame:
+    """At most `limit` rows, or as many of each value of the column `by`: those with the smallest hash of `identity`.
+
+    Rows that agree in identity count as one, so copies can neither fill the sample nor keep others out, and a table
+    with rows always gives some. A first pass counts different rows, which bounds what the second one shuffles; the
+    limit itself is a window's, which every task applies to its own rows first. More than `classes` values raise an error.
+    """
+    drawn, place = free_name(rows.columns, "_draw"), free_name(rows.columns, "_place")
+    marked = rows.withColumn(drawn, F.xxhash64(F.lit(seed), *identity))
+    key = F.col(by) if by else F.lit("")
+    sizes = marked.groupBy(key.alias("_by")).agg(F.approx_count_distinct(drawn)).take(classes + 1)
+    if len(sizes) > classes:
+        raise ValueError(f"more than {classes} different values of {by}")
+    if not sizes:
+        return rows.limit(0)
+    share = F.create_map(*[F.lit(x) for value, n in sizes for x in (value, 1.5 * limit / max(n, 1) + 1e-6)])
+    unit = F.pmod(F.col(drawn), F.lit(1 << 30)) / float(1 << 30)
+    some = marked.filter(unit < F.try_element_at(share, key)).dropDuplicates([drawn, *([by] if by else [])])
+    order = Window.partitionBy(key).orderBy(drawn)
+    return some.withColumn(place, F.row_number().over(order)).filter(F.col(place) <= limit).drop(drawn, place)

@@ -134,6 +134,26 @@ def _stage(vocabulary: str, end_id: int, width: int):
     return run
 
 
+def part_roots(recipes: DataFrame) -> DataFrame:
+    """part, first_doc, n_docs, n_tokens, root (the Merkle root of its documents' roots, in their order) and start (ids before it) of every part."""
+    def roots(source):
+        part, leaves = None, []
+        for batch in source:
+            for p, root in zip(batch.column("part").to_pylist(), batch.column("root").to_pylist()):
+                if p != part and leaves:
+                    yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "root": pa.array([merkle(leaves)], pa.binary())})
+                    leaves = []
+                part = p
+                leaves.append(root)
+        if leaves:
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "root": pa.array([merkle(leaves)], pa.binary())})
+
+    tree = recipes.select("part", "entry", "root").repartition("part").sortWithinPartitions("part", "entry").select("part", "root").mapInArrow(roots, "part int, root binary")
+    sums = recipes.groupBy("part").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part, not for each document
+    return sums.join(tree, "part").withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+
+
 def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, width: int = 2) -> None:
     """Encode every whole text, append end_id to each, and write the store below path.
 
@@ -148,36 +168,23 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, wi
     chunks = staged.filter("kind = 1").select("digest", "payload").dropDuplicates(["digest"])
     chunks.write.option("compression", "zstd").parquet(f"{path}/chunks")
     recipes = staged.filter("kind = 0").select("doc_id", "n_tokens", "digests", "tails", "root")
-    placed = recipes.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    order = [F.col("doc_id").asc_nulls_first(), F.col("root")]  # the root deals out rows that share an id
+    placed = recipes.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = placed.select(F.monotonically_increasing_id().alias("entry"), F.spark_partition_id().alias("part"), "*")
     placed = materialize(placed, "recipes", f"{path}/recipes")
     remove(spark, f"{path}/staged")
 
-    def roots(source):
-        part, leaves = None, []
-        for batch in source:
-            for p, root in zip(batch.column("part").to_pylist(), batch.column("root").to_pylist()):
-                if p != part and leaves:
-                    yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "root": pa.array([merkle(leaves)], pa.binary())})
-                    leaves = []
-                part = p
-                leaves.append(root)
-        if leaves:
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "root": pa.array([merkle(leaves)], pa.binary())})
-
-    tree = placed.select("part", "entry", "root").repartition("part").sortWithinPartitions("part", "entry").select("part", "root").mapInArrow(roots, "part int, root binary")
-    sums = placed.groupBy("part").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part, not for each document
-    manifest = sums.join(tree, "part").withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
-    manifest.write.parquet(f"{path}/manifest")
+    part_roots(placed).write.parquet(f"{path}/manifest")
 
 
 def read_index(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, n_chunks, merkle_root of every document, from the files.
 
-    Every stored chunk is read once and held against its digest; a document's checksum is put together from those
-    of its chunks, and its root and length are held against the recipe. A chunk that is missing or differs, or a
-    recipe that doesn't fit, raises an error.
+    Nothing is taken on trust: every stored chunk is read once and held against its digest; every document's root is
+    computed anew from its digests in their order, every part's root from those of its documents; places, lengths and
+    chunk sizes have to agree with each other. So recipes are known to be what was written, and a document's checksum
+    is put together from those of its chunks. A chunk that is missing or differs, a recipe or a manifest that was
+    changed raises an error.
     """
     def check(source):
         for batch in source:
@@ -195,18 +202,32 @@ def read_index(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
             crc = shift(batch.column("crc").to_numpy(), 4 * batch.column("tail").to_numpy())
             yield pa.RecordBatch.from_arrays([batch.column("entry"), batch.column("size"), pa.array(crc.astype(np.int64))], ["entry", "size", "moved"])
 
-    recipes = spark.read.parquet(f"{path}/recipes")
+    def sound(source):
+        for batch in source:
+            for root, digests, tails, n in zip(*(batch.column(c).to_pylist() for c in ("root", "digests", "tails", "n_tokens"))):
+                ends = [n, *tails]
+                if merkle(digests) != root or len(digests) != len(tails) or ends[-1] != 0 or any(a <= b for a, b in zip(ends, ends[1:])):
+                    raise ValueError("a recipe differs from its Merkle root")
+            yield batch
+
+    stored = spark.read.parquet(f"{path}/recipes")
+    recipes = stored.mapInArrow(sound, stored.schema)
     chunks = spark.read.parquet(f"{path}/chunks").mapInArrow(check, "digest binary, size long, crc long")
-    parts = recipes.select("entry", F.explode(F.arrays_zip("digests", "tails")).alias("c")).select("entry", F.col("c.digests").alias("digest"), F.col("c.tails").alias("tail"))
-    joined = parts.join(chunks, "digest").select("entry", "tail", "size", "crc").mapInArrow(move, "entry long, size long, moved long")
+    wanted = F.zip_with(F.concat(F.array("n_tokens"), F.slice("tails", 1, F.greatest(F.size("tails") - 1, F.lit(0)))), "tails", lambda a, b: a - b)
+    parts = recipes.select("entry", F.explode(F.arrays_zip("digests", "tails", wanted.alias("want"))).alias("c")).select("entry", F.col("c.digests").alias("digest"), F.col("c.tails").alias("tail"), F.col("c.want").alias("want"))
+    joined = parts.join(chunks, "digest").filter("size = want").select("entry", "tail", "size", "crc").mapInArrow(move, "entry long, size long, moved long")
     whole = joined.groupBy("entry").agg(F.bit_xor("moved").alias("ids_crc32"), F.sum("size").alias("got"), F.count(F.lit(1)).alias("n_chunks"))
-    own = recipes.select("entry", "part", "doc_id", "n_tokens", F.size("digests").alias("want"), F.hex("root").alias("merkle_root"))
+    own = stored.select("entry", "part", "doc_id", "n_tokens", F.size("digests").alias("want"), F.hex("root").alias("merkle_root"))
     before = Window.partitionBy("part").orderBy("entry").rowsBetween(Window.unboundedPreceding, -1)
     own = own.withColumn("_before", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
-    starts = spark.read.parquet(f"{path}/manifest").select("part", F.col("start").alias("_start"))
-    out = own.join(starts, "part").join(whole, "entry", "left")
-    sound = (F.col("got") == F.col("n_tokens")) & (F.col("n_chunks") == F.col("want"))
-    crc = F.when(F.coalesce(sound, F.lit(False)), F.col("ids_crc32")).otherwise(F.raise_error(F.lit("a document can't be put together from its chunks")).cast("long"))
+    found = part_roots(stored).select("part", "n_docs", "n_tokens", "root", "start", F.lit(True).alias("_found"))
+    claimed = spark.read.parquet(f"{path}/manifest").select("part", "n_docs", "n_tokens", "root", "start", F.lit(True).alias("_claimed"))
+    held = found.join(claimed, ["part", "n_docs", "n_tokens", "root", "start"], "full")
+    agrees = F.coalesce(F.col("_claimed") & F.col("_found"), F.lit(False))
+    starts = held.select("part", F.when(agrees, F.col("start")).otherwise(F.raise_error(F.lit("a part differs from the manifest")).cast("long")).alias("_start"))
+    out = own.join(starts, "part", "full").join(whole, "entry", "left")
+    right = (F.col("got") == F.col("n_tokens")) & (F.col("n_chunks") == F.col("want"))
+    crc = F.when(F.coalesce(right, F.lit(False)), F.col("ids_crc32")).otherwise(F.raise_error(F.lit("a document can't be put together from its chunks")).cast("long"))
     return out.select("doc_id", (F.col("_start") + F.col("_before")).cast("long").alias("start"), "n_tokens", crc.alias("ids_crc32"), "n_chunks", "merkle_root")
 
 

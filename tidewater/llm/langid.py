@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tidewater.llm.common import release, tune
+from tidewater.llm.common import bounded_sample, release, tune
 
 #: Prediction for texts that are null or have no letter.
 UNDETERMINED = "und"
@@ -27,10 +27,15 @@ BLOCK = 1 << 20
 
 @dataclass
 class Settings:
-    """rows_per_language: expected number of labelled rows of each language that the classifier is fitted on."""
+    """rows_per_language: the most labelled rows of each language that the classifier is fitted on; most_languages: more raise an error.
+
+    Both bound what the driver holds: features of rows_per_language texts and their snippets for each language, and
+    2^bits weights and their sums in double precision for each language.
+    """
 
     bits: int = 16
     rows_per_language: int = 1000
+    most_languages: int = 256
     snippets: int = 2
     epochs: int = 3
     alpha: float = 2.0
@@ -99,41 +104,42 @@ def snippets(text: str, n: int, seed: int) -> list[str]:
     return [s for s in out if has_letter(s)]
 
 
-def fit(examples: list[tuple[np.ndarray, np.ndarray, str]], s: Settings) -> Model:
-    """examples: features, shares and the language. One in five is kept for the temperature."""
+def solve(z: np.ndarray, n: np.ndarray, s: Settings) -> np.ndarray:
+    """The weights that minimise the linearised losses so far with both penalties; n: sums of squared gradients."""
+    return np.where(np.abs(z) <= s.l1, 0.0, -(z - np.sign(z) * s.l1) / ((s.beta + np.sqrt(n)) / s.alpha + s.l2))
+
+
+def step(z: np.ndarray, n: np.ndarray, w: np.ndarray, g: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """z and n after a gradient g at the weights w."""
+    sigma = (np.sqrt(n + g * g) - np.sqrt(n)) / s.alpha
+    return z + g - sigma * w, n + g * g
+
+
+def fit(examples: list[tuple[np.ndarray, np.ndarray, str]], s: Settings, df: np.ndarray, n_texts: int) -> Model:
+    """examples: features, shares and the language; df: in how many of n_texts texts each feature is. One in five is kept for the temperature."""
     languages = sorted({lang for _, _, lang in examples})
     if not languages:
         return Model([], np.zeros((1 << s.bits, 0), np.float32), np.zeros(0), 1.0, s.bits)
     k, r = len(languages), np.random.default_rng(s.seed)
     z, n = np.zeros((1 << s.bits, k)), np.zeros((1 << s.bits, k))
     bias_z, bias_n = np.zeros(k), np.zeros(k)
-    df = np.zeros(1 << s.bits)
-    for found, _, _ in examples:
-        df[found] += 1
-    idf = np.log((1 + len(examples)) / (1 + df)) + 1
+    idf = np.log((1 + n_texts) / (1 + df)) + 1
     number = {lang: i for i, lang in enumerate(languages)}
     order = r.permutation(len(examples))
     aside, train = order[: len(order) // 5], order[len(order) // 5 :]
 
-    def solve(z, n):
-        return np.where(np.abs(z) <= s.l1, 0.0, -(z - np.sign(z) * s.l1) / ((s.beta + np.sqrt(n)) / s.alpha + s.l2))
-
-    def step(z, n, w, g):
-        sigma = (np.sqrt(n + g * g) - np.sqrt(n)) / s.alpha
-        return z + g - sigma * w, n + g * g
-
     for _ in range(s.epochs):
         for i in r.permutation(train).tolist():
             found, share, lang = examples[i]
             x = share * idf[found]
-            w, b = solve(z[found], n[found]), solve(bias_z, bias_n)
+            w, b = solve(z[found], n[found], s), solve(bias_z, bias_n, s)
             e = x @ w + b
             p = np.exp(e - e.max())
             p /= p.sum()
             p[number[lang]] -= 1
-            z[found], n[found] = step(z[found], n[found], w, x[:, None] * p)
-            bias_z, bias_n = step(bias_z, bias_n, b, p)
-    weights, bias = solve(z, n) * idf[:, None], solve(bias_z, bias_n)
+            z[found], n[found] = step(z[found], n[found], w, x[:, None] * p, s)
+            bias_z, bias_n = step(bias_z, bias_n, b, p, s)
+    weights, bias = solve(z, n, s) * idf[:, None], solve(bias_z, bias_n, s)
     logits = np.array([examples[i][1] @ weights[examples[i][0]] + bias for i in aside.tolist()]).reshape(-1, k)
     target = np.array([number[examples[i][2]] for i in aside.tolist()], int)
     return Model(languages, weights.astype(np.float32), bias, temperature(logits, target), s.bits)
@@ -153,22 +159,48 @@ def temperature(logits: np.ndarray, target: np.ndarray) -> float:
     return float(grid[int(np.argmin([loss(t) for t in grid]))])
 
 
+def document_frequencies(docs: DataFrame, bits: int) -> tuple[np.ndarray, int]:
+    """In how many of the whole texts that have a letter each feature is, and how many texts those are.
+
+    Every task adds its texts up and sends at most 2^bits sums.
+    """
+    def run(source):
+        df, n, seen = np.zeros(1 << bits, np.int64), 0, np.zeros(1 << bits, bool)
+        for batch in source:
+            for text in batch.column("text"):
+                text = text.as_py()
+                if has_letter(text):
+                    for at in range(0, len(text), BLOCK):
+                        for grams in ngrams(text[max(0, at - 2) : at + BLOCK].lower(), bits):
+                            seen[grams] = True
+                    found = np.flatnonzero(seen)
+                    df[found] += 1
+                    seen[found] = False
+                    n += 1
+        found = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(found, -1)), pa.array(np.append(df[found], n))], ["feature", "n"])
+        release()
+
+    rows = docs.select("text").mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
+    feature, n = rows.column("feature").to_numpy(), rows.column("n").to_numpy()
+    out = np.zeros(1 << bits)
+    out[feature[feature >= 0]] = n[feature >= 0]
+    return out, int(n[feature < 0].sum())
+
+
 def train(docs: DataFrame, allowed: Column, s: Settings | None = None) -> Model:
     """Fit on the rows of docs (doc_id, text, lang) for which allowed holds and lang isn't null.
 
-    Of each language an expected s.rows_per_language rows are taken, by a hash of the row, as features and their
-    shares (bounded for each row); that sample is the only part of the corpus that comes to the driver. Rows without
-    a letter teach nothing. Without labelled rows every prediction is `und`.
+    Document frequencies come from all of these rows, whole. The weights are fitted on at most s.rows_per_language
+    different rows of each language (repeated ones count once), as features and their shares; that sample and the
+    frequencies are all that comes to the driver. Rows without a letter teach nothing. Without labelled rows every
+    prediction is `und`. More than s.most_languages languages raise an error.
     """
     s = s or Settings()
     tune(docs.sparkSession)
-    labelled = docs.filter(allowed & F.col("lang").isNotNull())
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1))).collect()  # a row for each class of the model
-    if not sizes:
-        return fit([], s)
-    share = F.create_map(*[F.lit(x) for lang, n in sizes for x in (lang, float(s.rows_per_language) / n)])
-    draw = F.pmod(F.xxhash64(F.lit(s.seed), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = labelled.filter(draw < F.try_element_at(share, F.col("lang"))).select("doc_id", "text", "lang")
+    labelled = docs.filter(allowed & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
+    df, n_texts = document_frequencies(labelled, s.bits)
+    chosen = bounded_sample(labelled, [F.col("doc_id"), F.col("text")], s.rows_per_language, s.seed, "lang", s.most_languages)
     schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("found", pa.list_(pa.int32())), ("share", pa.list_(pa.float32()))])
 
     def features(source):
@@ -184,7 +216,7 @@ def train(docs: DataFrame, allowed: Column, s: Settings | None = None) -> Model:
     ids, langs = sample.column("doc_id").to_pylist(), sample.column("lang").to_pylist()
     found, share_of = _lists(sample, "found"), _lists(sample, "share")
     order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, langs[i], len(found[i]), found[i].tobytes()))
-    return fit([(found[i], share_of[i], langs[i]) for i in order], s)
+    return fit([(found[i], share_of[i], langs[i]) for i in order], s, df, n_texts)
 
 
 def _lists(table: pa.Table, name: str) -> list[np.ndarray]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from tidewater.llm.common import release, tune
+from tidewater.llm.common import bounded_sample, release, tune
 
 #: The base patterns, and the least number of characters (of group 2 for assign).
 ASSIGN = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
@@ -156,9 +156,12 @@ class Model:
 
 @dataclass
 class Settings:
-    """rows: expected number of documents in the sample that the field is fitted on."""
+    """rows: the most documents in the sample that the field is fitted on; secrets: the most stretches around secrets of
+    one of them, and characters: of one of their words. All three bound what the driver holds."""
 
     rows: int = 3000
+    secrets: int = 12
+    characters: int = 400
     reach: int = 8
     calm: int = 2
     rounds: int = 80
@@ -191,11 +194,12 @@ def tagged_words(text: str, spans: list[Span]) -> list[tuple[str, int]]:
 
 
 def stretches(text: str, s: Settings, seed: int) -> list[list[tuple[str, int]]]:
-    """Tagged words around each secret of a document, and some stretches from anywhere."""
-    r, words, out = random.Random(seed), tagged_words(text, base_spans(text)), []
-    for i, (_, tag) in enumerate(words):
-        if tag == BEGIN:
-            out.append(words[max(0, i - s.reach) : i + s.reach + 3])
+    """Tagged words around secrets of a document, at most s.secrets of them, and some stretches from anywhere."""
+    r, out = random.Random(seed), []
+    words = [(w[: s.characters], tag) for w, tag in tagged_words(text, base_spans(text))]
+    begins = [i for i, (_, tag) in enumerate(words) if tag == BEGIN]
+    for i in begins if len(begins) <= s.secrets else sorted(r.sample(begins, s.secrets)):
+        out.append(words[max(0, i - s.reach) : i + s.reach + 3])
     for _ in range(s.calm if words else 0):
         i = r.randrange(len(words))
         out.append(words[max(0, i - s.reach) : i + s.reach])
@@ -312,12 +316,10 @@ def _marginals(e: np.ndarray, pairs: np.ndarray, there: np.ndarray) -> tuple[np.
 
 
 def train(docs: DataFrame, s: Settings | None = None) -> Model:
-    """Fit on an expected s.rows documents, chosen by a hash of the row; only stretches of words come to the driver."""
+    """Fit on at most s.rows different documents (repeated ones count once); only bounded stretches of words come to the driver."""
     s = s or Settings()
     tune(docs.sparkSession)
-    n = docs.select(F.count("text")).first()[0]
-    draw = F.pmod(F.xxhash64(F.lit(s.seed), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (draw < s.rows / max(n, 1)))
+    chosen = bounded_sample(docs.select("doc_id", "text").filter(F.col("text").isNotNull()), [F.col("doc_id"), F.col("text")], s.rows, s.seed)
 
     def run(source):
         for batch in source:

@@ -8,50 +8,48 @@ any other, and shard sizes differ by one row at most.
 
 from __future__ import annotations
 
-import random
-
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window
 
-from tidewater.llm.common import group_buckets, materialize, ranked
+from tidewater.llm.common import free_name, group_buckets, materialize, ranked
 
 #: Parts of the input are folded into so many, so that the matrix has a bounded size.
 MOST_PARTS = 4096
 
 
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
+    """How many of `draws` rows drawn without putting back are among the `good` ones, exactly and for any numbers.
+
+    The probabilities follow from each other: up and down from the most likely count they are products of ratios. Counts
+    beyond 12 standard deviations and 40 more (less than 1e-30 of the law) are left out.
+    """
+    low, high, total = max(0, draws - bad), min(draws, good), good + bad
+    if low == high:
+        return low
+    mode = min(high, max(low, (draws + 1) * (good + 1) // (total + 2)))
+    deviation = (draws * good / total * (bad / total) * ((total - draws) / max(1, total - 1))) ** 0.5
+    reach = int(12 * deviation) + 40
+    k = np.arange(max(low, mode - reach), min(high, mode + reach), dtype=np.float64)  # steps from k to k + 1
+    steps = np.log(good - k) + np.log(draws - k) - np.log(k + 1) - np.log(bad - draws + k + 1)
+    weights = np.concatenate([[0.0], np.cumsum(steps)])
+    weights = np.exp(weights - weights.max())
+    ends = np.cumsum(weights)
+    return int(k[0]) + int(np.searchsorted(ends, rng.random() * ends[-1], side="right"))
+
+
 def communication_matrix(counts: list[int], n_shards: int, seed: int) -> np.ndarray:
     """Rows that each part sends to each shard: rows sum to counts, columns to sizes that differ by one at most."""
     rng, total = np.random.default_rng(seed), sum(counts)
-    sizes = np.full(n_shards, total // n_shards, np.int64)
-    sizes[rng.permutation(n_shards)[: total % n_shards]] += 1
-    if total >= 1_000_000_000:  # the limit of NumPy's hypergeometric draws
-        return _corrected_multinomial(rng, counts, sizes, seed)
+    sizes = [total // n_shards + int(i < total % n_shards) for i in range(n_shards)]
+    sizes = [sizes[i] for i in rng.permutation(n_shards).tolist()]
     out = np.zeros((len(counts), n_shards), np.int64)
     for i, n in enumerate(counts):
-        out[i] = rng.multivariate_hypergeometric(sizes, n, method="marginals")
-        sizes = sizes - out[i]
-    return out
-
-
-def _corrected_multinomial(rng: np.random.Generator, counts: list[int], sizes: np.ndarray, seed: int) -> np.ndarray:
-    """The same law for any number of rows.
-
-    Every row picks a shard by itself; then rows picked at random leave the shards that have too many and fill the
-    others' free places in random order. All rows are treated alike and the sizes are exact, so the law is the
-    hypergeometric one. The rows that move are about the square root of all.
-    """
-    pick, out = random.Random(seed), np.array([rng.multinomial(n, np.full(len(sizes), 1 / len(sizes))) for n in counts])
-    over = out.sum(axis=0) - sizes
-    free = np.repeat(np.arange(len(sizes)), np.maximum(-over, 0))
-    movers = []
-    for j in np.flatnonzero(over > 0).tolist():
-        ends = np.cumsum(out[:, j])
-        part = np.searchsorted(ends, pick.sample(range(int(ends[-1])), int(over[j])), side="right")
-        np.subtract.at(out[:, j], part, 1)
-        movers.append(part)
-    if movers:
-        np.add.at(out, (np.concatenate(movers), rng.permutation(free)), 1)
+        rest = sum(sizes)
+        for j in range(n_shards):  # what shard j gets of the part's rows that the shards before it left
+            rest -= sizes[j]
+            out[i, j] = taken = hypergeometric(rng, sizes[j], rest, n)
+            n -= taken
+            sizes[j] -= taken
     return out
 
 
@@ -59,24 +57,26 @@ def shuffle_into_shards(df: DataFrame, n_shards: int, key: list[str], seed: int
     """df with shard (0 to n_shards - 1) and slot (gapless from 0 in each shard), in uniformly random places.
 
     key: columns from which, with the seed and the part, the random order of a row derives; rows that agree in all
-    of them are interchangeable. Nulls and repeated rows count like any others. An empty table stays empty. Columns
-    of df that begin with an underscore must not be named _part, _rank, _start, _cell, _key or _bounds. Only counts
-    of parts (at most 4,096) come to the driver; parts and shards are dealt out by windows over bounded groups.
+    of them are interchangeable. Nulls and repeated rows count like any others. An empty table stays empty. Columns of
+    df named shard and slot are replaced; all others are kept. Only counts of parts (at most 4,096) come to the
+    driver; parts and shards are dealt out by windows over bounded groups.
     """
     spark = df.sparkSession
+    df = df.drop("shard", "slot")
+    cell_of, key_of, place_of = (free_name(df.columns, n) for n in ("_cell", "_key", "_place"))
     random_key = F.xxhash64(F.lit(seed), F.spark_partition_id(), F.monotonically_increasing_id(), *key)
-    held = materialize(df.select("*", F.pmod(F.spark_partition_id(), F.lit(MOST_PARTS)).alias("_cell"), random_key.alias("_key")), "shards")
-    counts = sorted((r[0], r[1]) for r in held.groupBy("_cell").count().collect())
+    held = materialize(df.select("*", F.pmod(F.spark_partition_id(), F.lit(MOST_PARTS)).alias(cell_of), random_key.alias(key_of)), "shards")
+    counts = sorted((r[0], r[1]) for r in held.groupBy(cell_of).count().collect())
     if not counts:
-        return held.drop("_cell", "_key").select("*", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
+        return df.select("*", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     matrix = communication_matrix([n for _, n in counts], n_shards, seed)
     rows = [(c, np.cumsum(row).tolist()) for (c, _), row in zip(counts, matrix)]
-    bounds = spark.createDataFrame(rows, "_cell int, _bounds array<long>")
+    bounds = spark.createDataFrame(rows, "_c int, _bounds array<long>")
     total = sum(n for _, n in counts)
     most = group_buckets(max(n for _, n in counts))
-    dealt = ranked(held, ["_cell"], [F.col("_key")], F.pmod(F.shiftright("_key", 20), F.lit(most)), "_place")
-    dealt = dealt.join(bounds, "_cell").withColumn("shard", F.size(F.filter("_bounds", lambda b: b <= F.col("_place"))))
-    dealt = dealt.withColumn("_key", F.xxhash64(F.lit(seed + 1), "_key", "_place")).drop("_cell", "_bounds", "_place")
-    dealt = materialize(dealt, "dealt")
+    dealt = ranked(held, [cell_of], [F.col(key_of)], F.pmod(F.shiftright(key_of, 20), F.lit(most)), place_of)
+    shard = F.size(F.filter(bounds["_bounds"], lambda b: b <= F.col(place_of)))
+    both = dealt.join(F.broadcast(bounds), dealt[cell_of] == bounds["_c"])  # at most MOST_PARTS rows
+    dealt = materialize(both.select(*[dealt[c] for c in df.columns], F.xxhash64(F.lit(seed + 1), key_of, place_of).alias(key_of), shard.alias("shard")), "dealt")
     parts = max(8, group_buckets(total // n_shards))
-    return ranked(dealt, ["shard"], [F.col("_key")], F.pmod(F.shiftright("_key", 20), F.lit(parts)), "slot").drop("_key")
+    return ranked(dealt, ["shard"], [F.col(key_of)], F.pmod(F.shiftright(key_of, 20), F.lit(parts)), "slot").drop(key_of)

@@ -37,13 +37,15 @@ class PieceEncoder:
     """Ids of texts as little-endian unsigned 32-bit integers.
 
     encode_word gets a match of the pattern and returns its ids as bytes. whole(text), where given,
-    encodes chunks with characters beyond Latin, for which the pattern of another library may differ.
+    encodes chunks with characters beyond Latin, for which the pattern of another library may differ. special: strings
+    that are cut out of a text before anything else (the leftmost first, of those the longest), with their ids.
     Splitting, finding the distinct pieces of a batch and gathering their ids run in Arrow's kernels; Python
     sees each distinct piece of a batch once.
     """
 
-    def __init__(self, encode_word: Callable[[str], bytes], whole: Callable[[str], bytes] | None = None, limit: int = 500_000):
-        self.encode_word, self.whole = encode_word, whole
+    def __init__(self, encode_word: Callable[[str], bytes], whole: Callable[[str], bytes] | None = None, limit: int = 500_000, special: dict[str, bytes] | None = None):
+        self.encode_word, self.whole, self.special = encode_word, whole, special or {}
+        self._specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if special else None
         self.pieces, self.words = Memory(limit), Memory(limit // 2)
 
     def chunks(self, chunks: list[str]) -> list[bytes]:
@@ -112,6 +114,8 @@ class PieceEncoder:
         irregular = np.zeros(len(texts), bool)
         if odd.any():
             irregular[np.searchsorted(offsets, np.flatnonzero(odd[index]), side="right") - 1] = True
+        for special in self.special:
+            irregular |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
         index[offsets[:-1]] = len(distinct) + np.arange(len(texts))
         table = pa.array([v or b"" for v in ids] + heads, pa.large_binary())
         gathered = table.take(pa.array(index))
@@ -120,12 +124,20 @@ class PieceEncoder:
         bounds = ends.tolist()
         out = [bytes(data[a:b]) for a, b in zip(bounds, bounds[1:])]
         for i in np.flatnonzero(irregular).tolist():
-            out[i] = b"".join(self.chunks(self._regular_chunks(texts[i].as_py())))
+            out[i] = self._apart(texts[i].as_py())
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         return self.encode_array(pa.array(texts, pa.large_string()))
 
+    def _apart(self, text: str) -> bytes:
+        """Ids of a text with special strings or odd spaces."""
+        out, at = [], 0
+        for m in self._specials.finditer(text) if self._specials else ():
+            out += [*self.chunks(self._regular_chunks(text[at : m.start()])), self.special[m[0]]]
+            at = m.end()
+        return b"".join([*out, *self.chunks(self._regular_chunks(text[at:]))])
+
     @staticmethod
     def _regular_chunks(text: str) -> list[str]:
         cuts = [0, *(m.start() for m in _CUT.finditer(text)), len(text)]
@@ -149,13 +161,17 @@ _ENCODERS: dict[tuple[str, int], PieceEncoder] = {}
 def library_encoder(vocabulary: str, limit: int = 500_000) -> PieceEncoder:
     """An encoder over a file of the tokenizers library, one for each Python worker.
 
-    Every id comes from the library's model. Special strings in a text are ordinary text. limit: pieces that are kept.
+    Every id comes from the library's model. Special strings in a text are single ids, as in a plain call of encode.
+    limit: pieces that are kept.
     """
     if (vocabulary, limit) not in _ENCODERS:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(vocabulary)
-        tokenizer.encode_special_tokens = True
+        added = tokenizer.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError("added tokens that take in their surroundings aren't supported")
+        special = {t.content: little_endian([i]) for i, t in added.items()}
         model, alphabet = tokenizer.model, byte_alphabet()
 
         tokens, space = model.tokenize, alphabet[32]
@@ -170,5 +186,5 @@ def library_encoder(vocabulary: str, limit: int = 500_000) -> PieceEncoder:
         def whole(text: str) -> bytes:
             return little_endian(tokenizer.encode(text, add_special_tokens=False).ids)
 
-        _ENCODERS[vocabulary, limit] = PieceEncoder(word, whole, limit)
+        _ENCODERS[vocabulary, limit] = PieceEncoder(word, whole, limit, special)
     return _ENCODERS[vocabulary, limit]
