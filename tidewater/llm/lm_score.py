@@ -2,7 +2,12 @@
 
 Tokens are code points. A target model is counted on the documents that a label marks, a background model on all
 documents; both have the same order, smoothing and vocabulary. A document's score is its mean loss per token under
-the target model less that under the background model: low scores are like the target.
+the target model less that under the background model: low scores are like the target. Both models score the rows
+that they were counted on, too; a target condition that leaves rows out holds them out of the target model.
+
+An n-gram is its last symbol and its context, the ORDER - 1 symbols before it in 21 bits each. Texts are written once, in
+packs of consecutive rows. A pack asks once for each n-gram that it holds, and a join gives it exactly those losses, so
+what a task holds depends on the pack and not on the corpus.
 """
 
 from __future__ import annotations
@@ -12,170 +17,179 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from tidewater.llm.common import materialize, tune
+from tidewater.llm.common import materialize, release, tune
 
 ORDER = 4
-#: Workers hold the losses of about so many n-grams at a time; more are taken in parts, with a pass over the texts for each.
-HELD = 1 << 21
 #: Weight of the lower order in each order's estimate, in tokens.
 WEIGHT = 4.0
-#: Texts are turned into n-grams in blocks of about so many code points.
-BLOCK = 1 << 22
+#: Code points that are turned into n-grams at a time, and about so many that a pack holds.
+BLOCK, PACK = 1 << 21, 1 << 25
+#: Bits of a symbol: a code point plus 1; symbol 0 stands before a text's start.
+SYMBOL = 21
 
 U = np.uint64
 
 
-def ngram_keys(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """An n-gram for each code point of all texts, 16 bits for each of its ORDER symbols, and where each text ends.
-
-    Code points over 0xFFFE are one symbol; symbol 0 stands before a text's start.
+class Ngrams:
+    """The distinct n-grams of some symbols (context and symbol), and which of them stands at each place that counts."""
+
+    def __init__(self, codes: np.ndarray, own: np.ndarray):
+        """codes: symbols; own: the places that count, ORDER - 1 symbols from the start of the text at least."""
+        there = np.zeros(1 << SYMBOL, bool)
+        there[codes] = True
+        symbols = np.flatnonzero(there)
+        bits = max(1, int(len(symbols) - 1).bit_length())
+        if bits * ORDER <= 64:  # numbers of the symbols in this block fit in one word
+            short = np.zeros(1 << SYMBOL, np.uint64)
+            short[symbols] = np.arange(len(symbols), dtype=U)
+            local = short[codes]
+            keys = local.copy()
+            for back in range(1, ORDER):
+                keys[back:] |= local[:-back] << U(bits * back)
+            found, self.number = np.unique(keys[own], return_inverse=True)
+            part = [symbols[(found >> U(bits * back) & U((1 << bits) - 1)).astype(np.int64)] for back in range(ORDER)]
+            self.symbol = part[0]
+            self.context = sum(x << (SYMBOL * back) for back, x in enumerate(part[1:]))
+        else:
+            wide = codes.astype(np.int64)
+            context = np.zeros(len(wide), np.int64)
+            for back in range(1, ORDER):
+                context[back:] |= wide[:-back] << (SYMBOL * (back - 1))
+            contexts, number = np.unique(context[own], return_inverse=True)
+            found, self.number = np.unique(number << SYMBOL | wide[own], return_inverse=True)
+            self.symbol, self.context = found & ((1 << SYMBOL) - 1), contexts[found >> SYMBOL]
+
+
+def blocks(texts: list[str | None]):
+    """Blocks of about BLOCK code points: their n-grams, and the text and the length of each run of places in them.
+
+    A longer text is cut; each stretch comes with the symbols before it, so that no n-gram is lost.
     """
-    pad = np.zeros(ORDER - 1, np.uint32)
-    parts, ends, at = [], [], 0
-    for t in texts:
-        c = np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), np.uint32)
-        parts += [pad, c]
-        at += len(c)
-        ends.append(at)
-    codes = np.minimum(np.concatenate(parts), 0xFFFF).astype(U)
-    keys = codes.copy()
-    for back in range(1, ORDER):
-        keys[back:] |= codes[:-back] << U(16 * back)
-    own = np.ones(len(codes), bool)
-    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) + (ORDER - 1) * np.arange(len(texts))
-    own[(starts[:, None] + np.arange(ORDER - 1)).ravel()] = False
-    return keys[own], np.array(ends, np.int64)
-
-
-class Losses:
-    """Losses by n-gram key: a hash table of at least twice as many places as keys, searched from place to place."""
-
-    def __init__(self, keys: np.ndarray, loss_t: np.ndarray, loss_b: np.ndarray):
-        self.bits = max(1, int(2 * len(keys)).bit_length())
-        self.keys, self.taken = np.zeros(1 << self.bits, U), np.zeros(1 << self.bits, bool)
-        self.loss = np.zeros((2, 1 << self.bits), np.float32)
-        left, at = np.arange(len(keys)), self._place(keys)
-        while len(left):
-            free = np.flatnonzero(~self.taken[at])
-            one = free[np.unique(at[free], return_index=True)[1]]
-            self.keys[at[one]], self.taken[at[one]] = keys[left[one]], True
-            self.loss[0, at[one]], self.loss[1, at[one]] = loss_t[left[one]], loss_b[left[one]]
-            rest = np.ones(len(left), bool)
-            rest[one] = False
-            left, at = left[rest], at[rest] + 1 & (1 << self.bits) - 1
-
-    def _place(self, keys: np.ndarray) -> np.ndarray:
-        x = keys * U(0x9E3779B97F4A7C15)
-        x ^= x >> U(32)
-        return ((x * U(0xD6E8FEB86659FD93)) >> U(64 - self.bits)).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The place of each key; -1 where it has none."""
-        at = self._place(keys)
-        wrong = np.flatnonzero((self.keys[at] != keys) | ~self.taken[at])
-        while len(wrong):
-            none = ~self.taken[at[wrong]]
-            at[wrong[none]] = -1
-            wrong = wrong[~none]
-            at[wrong] = at[wrong] + 1 & (1 << self.bits) - 1
-            wrong = wrong[(self.keys[at[wrong]] != keys[wrong]) | ~self.taken[at[wrong]]]
-        return at
-
-
-def _blocks(texts: list, *others: list):
-    """Runs of rows of about BLOCK code points."""
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= BLOCK or i == len(texts) - 1:
-            yield (texts[at : i + 1], *(o[at : i + 1] for o in others))
-            at, size = i + 1, 0
+    lead = ORDER - 1
+    parts, rows, size = [], [], 0
 
+    def made():
+        codes = np.concatenate(parts)
+        own = np.ones(len(codes), bool)
+        starts = np.cumsum([0, *map(len, parts)])[:-1]
+        own[(starts[:, None] + np.arange(lead)).ravel()] = False
+        return Ngrams(codes, np.flatnonzero(own)), [r[0] for r in rows], np.array([r[1] for r in rows], np.int64)
 
-def count_ngrams(docs: DataFrame, target: Column) -> DataFrame:
-    """key, c_t, c_b: occurrences of every n-gram in the documents for which target holds and in all."""
-    tune(docs.sparkSession)
+    for i, t in enumerate(texts):
+        c = np.concatenate([np.zeros(lead, np.uint32), np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), np.uint32) + np.uint32(1)])
+        for at in range(0, max(1, len(c) - lead), BLOCK):
+            parts.append(c[at : at + BLOCK + lead])
+            rows.append((i, len(parts[-1]) - lead))
+            size += len(parts[-1])
+            if size >= BLOCK:
+                yield made()
+                parts, rows, size = [], [], 0
+    if parts:
+        yield made()
+
+
+def merged(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """context, symbol and sums of the other columns, each n-gram once."""
+    context, symbol, *sums = (np.concatenate(x) for x in zip(*found))
+    contexts, number = np.unique(context, return_inverse=True)
+    keys, at = np.unique(number << SYMBOL | symbol, return_inverse=True)
+    return (contexts[keys >> SYMBOL], keys & ((1 << SYMBOL) - 1), *(np.bincount(at, x, len(keys)).astype(np.int64) for x in sums))
+
+
+def asked(rows: DataFrame) -> DataFrame:
+    """pack, context, symbol, c_t, c_b: occurrences of every n-gram of each pack in its target documents and in all.
+
+    rows: pack, text and target, packs in runs. A pack that two tasks read has rows from both.
+    """
+    names = ["pack", "context", "symbol", "c_t", "c_b"]
+
+    def sums(pack, held):
+        columns = merged(held)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), pack)), *map(pa.array, columns)], names)
 
     def run(source):
+        now, held = None, []
         for batch in source:
-            for texts, marks in _blocks(batch.column("text").to_pylist(), batch.column("target").to_pylist()):
-                keys, ends = ngram_keys(texts)
-                found, counts = np.unique(keys, return_counts=True)
-                wanted = np.repeat(np.array(marks, bool), np.diff(np.concatenate([[0], ends])))
-                some, n = np.unique(keys[wanted], return_counts=True)
-                c_t = np.zeros(len(found), np.int64)
-                c_t[np.searchsorted(found, some)] = n
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(c_t), pa.array(counts.astype(np.int64))], ["key", "c_t", "c_b"])
-
-    rows = docs.select("text", F.coalesce(target, F.lit(False)).alias("target"))
-    return rows.mapInArrow(run, "key long, c_t long, c_b long").groupBy("key").agg(F.sum("c_t").alias("c_t"), F.sum("c_b").alias("c_b"))
+            packs = batch.column("pack").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(packs)) + 1).tolist(), len(packs)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if held and packs[a] != now:
+                    yield sums(now, held)
+                    held = []
+                now, part = packs[a], batch.slice(a, b - a)
+                marks = part.column("target").to_pylist()
+                for grams, of, sizes in blocks(part.column("text").to_pylist()):
+                    wanted = np.repeat(np.array([marks[i] for i in of], bool), sizes)
+                    n = len(grams.symbol)
+                    held.append((grams.context, grams.symbol, np.bincount(grams.number[wanted], minlength=n), np.bincount(grams.number, minlength=n)))
+                held = [merged(held)] if len(held) > 8 else held
+        if held:
+            yield sums(now, held)
+        release()
+
+    return rows.select("pack", "text", "target").mapInArrow(run, "pack long, context long, symbol long, c_t long, c_b long")
 
 
 def losses(counts: DataFrame) -> DataFrame:
-    """key, c_b, loss_t, loss_b of every n-gram: each order's estimate leans on the next lower one's, down to the uniform."""
+    """context, symbol, loss_t, loss_b of every n-gram: each order's estimate leans on the next lower one's, down to the uniform."""
+    def short(order: int) -> Column:
+        return F.col("context").bitwiseAND(F.lit((1 << (SYMBOL * (order - 1))) - 1))
+
     def level(order: int) -> DataFrame:
-        key = F.col("key").bitwiseAND(F.lit((1 << (16 * order)) - 1)) if order < ORDER else F.col("key")
-        return counts.groupBy(key.alias("key")).agg(F.sum("c_t").alias("c_t"), F.sum("c_b").alias("c_b"))
+        return counts.groupBy(short(order).alias("context"), "symbol").agg(F.sum("c_t").alias("c_t"), F.sum("c_b").alias("c_b"))
 
     one = level(1)
     size, all_t, all_b = one.agg(F.count(F.lit(1)), F.sum("c_t"), F.sum("c_b")).first()
     uniform = 1.0 / (size + 1)
-    lower = one.select("key", "c_b", *[((F.col(f"c_{m}") + WEIGHT * uniform) / ((n or 0) + WEIGHT)).alias(f"p_{m}") for m, n in (("t", all_t), ("b", all_b))])
+    lower = one.select("context", "symbol", *[((F.col(f"c_{m}") + WEIGHT * uniform) / ((n or 0) + WEIGHT)).alias(f"p_{m}") for m, n in (("t", all_t), ("b", all_b))])
     for order in range(2, ORDER + 1):
-        shorter = F.col("key").bitwiseAND(F.lit((1 << (16 * (order - 1))) - 1))
-        around = Window.partitionBy(F.shiftrightunsigned("key", 16))  # at most 2^16 symbols follow a context
-        here = level(order).select("key", "c_t", "c_b", shorter.alias("_short"), *[F.sum(f"c_{m}").over(around).alias(f"n_{m}") for m in "tb"])
-        below = lower.select(F.col("key").alias("_short"), F.col("p_t").alias("q_t"), F.col("p_b").alias("q_b"))
-        joined = here.join(below, "_short")
-        lower = joined.select("key", "c_b", *[((F.col(f"c_{m}") + WEIGHT * F.col(f"q_{m}")) / (F.col(f"n_{m}") + WEIGHT)).alias(f"p_{m}") for m in "tb"])
-    return lower.select("key", "c_b", (-F.log("p_t")).alias("loss_t"), (-F.log("p_b")).alias("loss_b"))
-
-
-def loss_table(found: DataFrame) -> Losses:
-    rows = found.select("key", F.col("loss_t").cast("float"), F.col("loss_b").cast("float")).toArrow()
-    return Losses(rows.column("key").to_numpy().view(U), rows.column("loss_t").to_numpy(), rows.column("loss_b").to_numpy())
-
-
-def _sums(rows: DataFrame, shared) -> DataFrame:
-    """row, doc_id, n and the sums of those losses of each text that are in the shared table."""
-    def run(source):
-        table = shared.value
-        for batch in source:
-            at = 0
-            for (texts,) in _blocks(batch.column("text").to_pylist()):
-                keys, ends = ngram_keys(texts)
-                place, starts = table.find(keys), np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                known, bounds = place >= 0, np.concatenate([starts, ends[-1:]])
-                sums = [np.diff(np.concatenate([[0.0], np.cumsum(t[place] * known, dtype=np.float64)])[bounds]) for t in table.loss]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, len(texts)).cast(pa.int64()) for c in ("row", "doc_id")), pa.array(ends - starts), *map(pa.array, sums)], ["row", "doc_id", "n", "s_t", "s_b"])
-                at += len(texts)
-
-    return rows.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, n long, s_t double, s_b double")
+        around = Window.partitionBy("context")  # at most as many rows as there are code points
+        here = level(order).select("context", "symbol", "c_t", "c_b", short(order - 1).alias("_short"), *[F.sum(f"c_{m}").over(around).alias(f"n_{m}") for m in "tb"])
+        below = lower.select(F.col("context").alias("_short"), "symbol", F.col("p_t").alias("q_t"), F.col("p_b").alias("q_b"))
+        joined = here.join(below, ["_short", "symbol"])
+        lower = joined.select("context", "symbol", *[((F.col(f"c_{m}") + WEIGHT * F.col(f"q_{m}")) / (F.col(f"n_{m}") + WEIGHT)).alias(f"p_{m}") for m in "tb"])
+    return lower.select("context", "symbol", (-F.log("p_t")).alias("loss_t"), (-F.log("p_b")).alias("loss_b"))
+
+
+def score_pack(rows: pa.Table, answers: pa.Table) -> pa.Table:
+    """doc_id, n, s_t, s_b of a pack's texts; answers: the losses of all of its n-grams."""
+    context, symbol, *loss = (answers.column(c).to_numpy() for c in ("context", "symbol", "loss_t", "loss_b"))
+    contexts, number = np.unique(context, return_inverse=True)
+    keys, first = np.unique(number << SYMBOL | symbol, return_index=True)
+    loss = [x[first] for x in loss]
+    n, sums = np.zeros(len(rows), np.int64), [np.zeros(len(rows)) for _ in loss]
+    for grams, of, sizes in blocks(rows.column("text").to_pylist()):
+        place = np.searchsorted(keys, np.searchsorted(contexts, grams.context) << SYMBOL | grams.symbol)
+        at = np.repeat(np.array(of), sizes)
+        n += np.bincount(at, minlength=len(rows))
+        for total, x in zip(sums, loss):
+            total += np.bincount(at, x[place][grams.number], len(rows))
+    release()
+    return pa.table([rows.column("doc_id").cast(pa.int64()), pa.array(n), *map(pa.array, sums)], ["doc_id", "n", "s_t", "s_b"])
 
 
 def score_documents(docs: DataFrame, target: Column) -> DataFrame:
     """doc_id, n_tokens, loss_target, loss_background and score (their difference) of every whole text.
 
     target: a condition on columns of docs; null is false. Counts come from all documents, whole, by a shuffle of
-    n-grams with map-side sums. Every n-gram has its own loss; where there are over HELD, the texts are passed over
-    once for each part of them, and the driver and the workers hold one part. Null and empty texts have no tokens and
-    null losses and score. Without target documents the target model is uniform. Repeated rows count each; an empty
-    table gives none.
+    n-grams with sums taken in each pack first; every n-gram has its own loss at every size of the corpus, and every
+    code point is a symbol of its own. Null and empty texts have no tokens and null losses and score. Without target
+    documents the target model is uniform. Repeated rows count each, and repeated or null ids have a row each; other
+    columns are ignored; an empty table gives none.
     """
-    spark = docs.sparkSession
-    tune(spark)
-    found = materialize(losses(materialize(count_ngrams(docs, target), "ngrams")), "losses")
-    parts = max(1, -(-found.count() // HELD))
-    if parts == 1:
-        sums = _sums(docs.select(F.lit(0).cast("long").alias("row"), "doc_id", "text"), spark.sparkContext.broadcast(loss_table(found)))
-    else:
-        rows, sums = materialize(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "rows"), None
-        for k in range(parts):
-            shared = spark.sparkContext.broadcast(loss_table(found.filter(F.pmod(F.xxhash64("key"), F.lit(parts)) == k)))
-            part = materialize(_sums(rows, shared), "sums")
-            shared.destroy()
-            sums = part if sums is None else sums.unionByName(part)
-        sums = sums.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n").alias("n"), F.sum("s_t").alias("s_t"), F.sum("s_b").alias("s_b"))
+    tune(docs.sparkSession)
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.coalesce(target, F.lit(False)).alias("target")), "rows")
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    each = max(1, n * PACK // max(size, 1))  # rows of a pack; the upper bits of a row's number are the written part it is in
+    within = F.floor(F.col("row").bitwiseAND(F.lit((1 << 33) - 1)) / each).cast("long")
+    packed = rows.withColumn("pack", F.shiftleft(F.shiftright("row", 33), 33) + within)
+    held = materialize(asked(packed), "ngrams")
+    found = materialize(losses(held.groupBy("context", "symbol").agg(F.sum("c_t").alias("c_t"), F.sum("c_b").alias("c_b"))), "losses")
+    answers = held.select("pack", "context", "symbol").join(found, ["context", "symbol"])
+    texts = packed.select("pack", "doc_id", "text").groupBy("pack")
+    sums = texts.cogroup(answers.groupBy("pack")).applyInArrow(score_pack, "doc_id long, n long, s_t double, s_b double")
     mean = lambda c: F.when(F.col("n") > 0, c / F.col("n"))
     return sums.select("doc_id", F.col("n").alias("n_tokens"), mean(F.col("s_t")).alias("loss_target"), mean(F.col("s_b")).alias("loss_background"), mean(F.col("s_t") - F.col("s_b")).alias("score"))
 
