@@ -121,46 +121,14 @@ def test_one_of_each_similar_group_stays(spark):
     assert kept == sorted(d for d, _ in rows if d % 10 in (0, 5))
 
 
-def test_wide_links_equal_brute_force_within_buckets(spark, monkeypatch):
-    rows = similar(5, 12)
-    texts = [t for _, t in rows]
-    wide = simhash.wide_fingerprints([simhash.shingle_hashes(t, 5) for t in texts] + [np.zeros(0, np.uint64)])
-    assert not wide[-1].any()
-    distance = lambda i, j: sum((int(a) ^ int(b)).bit_count() for a, b in zip(wide[i], wide[j]))
-    for ends in (np.array([len(texts)]), np.array([20, 33, len(texts)])):
-        a, b = simhash.links_in_buckets(wide[: len(texts)], ends, simhash.WIDE_RADIUS)
-        root = list(range(len(texts)))
-        for i in range(len(texts)):
-            for j in range(i):
-                if np.searchsorted(ends, i, side="right") == np.searchsorted(ends, j, side="right") and distance(i, j) <= simhash.WIDE_RADIUS:
-                    x, y = sorted((root[i], root[j]))
-                    root = [x if v == y else v for v in root]
-        assert {(int(x), int(y)) for x, y in zip(a, b)} == {(i, v) for i, v in enumerate(root) if v != i}
-    frame = spark.createDataFrame([(i, *(int(w) - (1 << 64) if int(w) >> 63 else int(w) for w in row)) for i, row in enumerate(wide[:-1])], "mark long, w0 long, w1 long, w2 long, w3 long")
-    for hot in (4096, 2):
-        monkeypatch.setattr(simhash, "HOT", hot)
-        assert all(distance(r.a, r.b) <= 3 * simhash.WIDE_RADIUS for r in simhash.wide_links(frame).collect())
-
+def test_clashing_hashes_are_told_apart(spark):
+    hashed = spark.createDataFrame([(1, 10), (1, 10), (2, 20), (2, 21), (2, 21), (3, 30)], "h1 long, h2 long")
+    got = hashed.select("h1", "h2", simhash.distinct_marks(hashed).alias("mark")).collect()
+    by = {(r.h1, r.h2): r.mark for r in got}
+    assert len(set(by.values())) == 4 and by[1, 10] == 1 and by[3, 30] == 3 and by[2, 20] != by[2, 21]
 
-def test_large_buckets_are_taken_apart(monkeypatch):
-    import pyarrow as pa
 
-    r = np.random.default_rng(1)
-    base = r.integers(0, 1 << 63, (6, 4)).astype(np.uint64)
-    rows = [(k, f, 100 * k + 10 * f + i, base[2 * k + f]) for k in range(3) for f in range(2) for i in range(4)]
-    for hot in (100, 7, 3):
-        monkeypatch.setattr(simhash, "HOT", hot)
-        for size in (1, 5, 24):
-            parts = [rows[i : i + size] for i in range(0, len(rows), size)]
-            batches = [pa.RecordBatch.from_pydict({"key": [p[0] for p in x], "fine": [p[1] for p in x], "mark": [p[2] for p in x]} | {f"w{i}": pa.array(np.array([p[3][i] for p in x], np.uint64).view(np.int64)) for i in range(4)}) for x in parts]
-            got = {e for b in simhash._wide_edges(iter(batches)) for e in zip(b.column("a").to_pylist(), b.column("b").to_pylist())}
-            assert got == {(100 * k + 10 * f + i, 100 * k + 10 * f) for k in range(3) for f in range(2) for i in range(1, 4)}
-
-
-def test_wide_bits_are_majorities():
-    h = simhash.shingle_hashes("one two three four five six seven eight nine", 5)
-    assert (simhash.wide_fingerprints([h, h])[0] == simhash.wide_fingerprints([h])[0]).all()
-    one = simhash.wide_fingerprints([h[:1]])[0]
-    x = int(h[0]) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
-    x = (x ^ x >> 29) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
-    assert int(one[0]) == x ^ x >> 32
+def test_keep_one_keeps_columns_with_its_own_names(spark):
+    docs = spark.createDataFrame([(2, "a b c d e f", 7, 8), (1, "a b c d e f", 5, 6), (None, "x y", 1, 2), (1, "a b c d e f", 5, 6)], "doc_id long, text string, _row long, _keep_of long")
+    assert sorted((r.doc_id or 0, r._row, r._keep_of) for r in simhash.keep_one(docs).collect()) == [(0, 1, 2), (1, 5, 6)]
+    assert simhash.keep_one(docs.limit(0)).count() == 0

@@ -32,7 +32,7 @@ def found_groups(spark, texts):
 
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     none = spark.createDataFrame([], "a long, b long")
-    links = similar.similar_links(docs, F.col("doc_id"), none)
+    links = similar.similar_links(docs.select(F.col("doc_id").alias("mark"), "text"), none)
     pairs = {(r.a, r.b) for r in links.collect()}
     roots = {r.node: r.root for r in components(links).collect()}
     return pairs, [roots.get(i, i) for i in range(len(texts))]

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewater.llm.common import materialize, release, tune
+from tidewater.llm.common import free_name, materialize, tune
 from tidewater.llm.components import components
 from tidewater.llm.similar import shingle_hashes, similar_links
 
@@ -38,8 +38,8 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits((2 * counts > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3, mark: Column | None = None) -> DataFrame:
-    """doc_id, fp (the fingerprint's 64 bits as a signed long) and, where given, mark (a long) of every whole text.
+def fingerprints(docs: DataFrame, width: int = 3, more: dict[str, Column] | None = None) -> DataFrame:
+    """doc_id, fp (the fingerprint's 64 bits as a signed long) and further longs by name of every whole text.
 
     A-Z are lower-cased; words end at spaces and the characters U+0009 to U+000D. Null texts and texts without words
     have fingerprint zero. Repeated rows have a row each; extra columns are ignored.
@@ -51,11 +51,11 @@ def fingerprints(docs: DataFrame, width: int = 3, mark: Column | None = None) ->
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 fps = np.array([fingerprint(shingle_hashes(t, width)) for t in part.column("text").to_pylist()], U)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(fps.view(np.int64)), *(part.column(c) for c in more)], ["doc_id", "fp", *more])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(fps.view(np.int64)), *(part.column(c) for c in names)], ["doc_id", "fp", *names])
 
-    more = [] if mark is None else ["mark"]
-    columns = ["doc_id", "text"] + ([] if mark is None else [mark.alias("mark")])
-    return docs.select(*columns).mapInArrow(run, "doc_id long, fp long" + (", mark long" if more else ""))
+    more = more or {}
+    names = list(more)
+    return docs.select("doc_id", "text", *[c.alias(n) for n, c in more.items()]).mapInArrow(run, ", ".join(["doc_id long, fp long", *[f"{n} long" for n in names]]))
 
 
 def bit_planes(fps: np.ndarray) -> np.ndarray:
@@ -223,122 +223,48 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-# ---- wide fingerprints: an estimate of similarity from 0.8 on; keep_one takes the exact links of tidewater.llm.similar
+def distinct_marks(hashed: DataFrame) -> Column:
+    """A long for each text from columns h1 and h2, 64-bit hashes with different seeds; texts with equal ones are taken for equal.
 
-#: Words of a wide fingerprint; tables and sampled bits of the candidate search; bits that linked fingerprints may differ in.
-WIDE, WIDE_TABLES, WIDE_KEY, WIDE_RADIUS = 4, 32, 16, 42
-
-_BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
-
-
-def wide_fingerprints(hashes: list[np.ndarray]) -> np.ndarray:
-    """WIDE words for each set of shingle hashes, from as many hashes derived from each; all zero without shingles."""
-    sizes = np.array([len(h) for h in hashes], np.int64)
-    flat, of = np.concatenate([*hashes, np.zeros(0, U)]), np.repeat(np.arange(len(hashes)), sizes)
-    out = np.zeros((len(hashes), WIDE), U)
-    for w in range(WIDE):
-        x = (flat ^ U(w)) * U(0x9E3779B97F4A7C15 + 2 * w)
-        x = (x ^ (x >> U(29))) * U(0xBF58476D1CE4E5B9)
-        parts = (x ^ (x >> U(32))).astype("<u8").view(np.uint8).reshape(-1, 8)
-        for byte in range(8):  # counts of byte values stand for counts of bits
-            seen = np.bincount(of * 256 + parts[:, byte], minlength=256 * len(hashes)).reshape(-1, 256)
-            bits = np.packbits(2 * (seen @ _BITS_OF_BYTE) > sizes[:, None], axis=1, bitorder="little")[:, 0]
-            out[:, w] |= bits.astype(U) << U(8 * byte)
-    return out
-
-
-def _wide_edges(source):
-    """Edges of buckets that arrive sorted by key and finer key; a bucket is compared as in links_in_buckets, over all words.
-
-    A bucket of over HOT rows is taken apart by the finer key, as it comes, so that no more than that is held.
-    """
-    names = [f"w{i}" for i in range(WIDE)]
-    apart = None  # the key of a bucket that was found too large before its end
-
-    def edges(key, fine, mark, fps):
-        if not len(key):
-            return None
-        new = np.diff(key) != 0
-        sizes = np.diff(np.concatenate([[0], np.flatnonzero(new) + 1, [len(key)]]))
-        large = np.repeat(sizes > HOT, sizes) | (key == apart if apart is not None else False)
-        ends = np.concatenate([np.flatnonzero(new | (large[1:] & (np.diff(fine) != 0))) + 1, [len(key)]])
-        sizes = np.diff(np.concatenate([[0], ends]))
-        keep = np.repeat(sizes > 1, sizes)
-        if not keep.any():
-            return None
-        a, b = links_in_buckets(fps[keep], np.cumsum(sizes[sizes > 1]), WIDE_RADIUS)
-        mark = mark[keep]
-        return pa.RecordBatch.from_arrays([pa.array(mark[a]), pa.array(mark[b])], ["a", "b"]) if len(a) else None
-
-    held = (*(np.zeros(0, np.int64) for _ in range(3)), np.zeros((0, WIDE), U))
-    for batch in source:
-        if not batch.num_rows:
-            continue
-        new = (*(batch.column(n).to_numpy() for n in ("key", "fine", "mark")), np.column_stack([batch.column(n).to_numpy().view(U) for n in names]))
-        held = tuple(np.concatenate(x) for x in zip(held, new))
-        cut = int(np.searchsorted(held[0], held[0][-1]))
-        if (out := edges(*(x[:cut] for x in held))) is not None:
-            yield out
-        held = tuple(x[cut:] for x in held)
-        if len(held[0]) > HOT:
-            apart = held[0][-1]
-            cut = int(np.searchsorted(held[1], held[1][-1]))
-            if (out := edges(*(x[:cut] for x in held))) is not None:
-                yield out
-            held = tuple(x[cut:] for x in held)
-    if (out := edges(*held)) is not None:
-        yield out
-    release()
-
-
-def _sampled(seed: int, n: int) -> list[int]:
-    """A mask for each word that together have n bits set."""
-    bits = np.random.default_rng(seed).choice(64 * WIDE, n, replace=False)
-    masks = [0] * WIDE
-    for b in bits.tolist():
-        masks[b // 64] |= 1 << (b % 64)
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
-
-
-def _wide_key(seed: int, n: int):
-    return F.xxhash64(F.lit(seed), *[F.col(f"w{i}").bitwiseAND(F.lit(m)) for i, m in enumerate(_sampled(seed, n)) if m])
-
-
-def wide_links(texts: DataFrame) -> DataFrame:
-    """Edges (a, b) between marks of texts whose wide fingerprints differ in at most WIDE_RADIUS bits.
-
-    texts: a written table of mark and w0 to w3. Candidates agree in WIDE_KEY sampled bits of one of WIDE_TABLES
-    tables; all pairs of a bucket are compared by bit planes and a spanning set of its links is returned. A bucket of
-    over HOT texts is taken apart by as many bits again.
+    It is h1, but where texts with one h1 differ in h2 (some hundred pairs among 10^11 texts): those are told apart.
+    hashed: a written table. Over 10,000 such values raise an error, as hashes of texts never give so many.
     """
-    keys = F.array(*[_wide_key(t, WIDE_KEY) for t in range(WIDE_TABLES)])
-    keyed = texts.select("mark", *[f"w{i}" for i in range(WIDE)], _wide_key(WIDE_TABLES, WIDE_KEY).alias("fine"), F.explode(keys).alias("key"))
-    return keyed.repartition("key").sortWithinPartitions("key", "fine").mapInArrow(_wide_edges, "a long, b long")
+    clashes = hashed.groupBy("h1").agg(F.min("h2").alias("low"), F.max("h2").alias("high")).filter("low < high").select("h1").limit(10_001)
+    found = [r[0] for r in clashes.collect()]
+    if len(found) > 10_000:
+        raise ValueError("too many texts share a hash")
+    return F.when(F.col("h1").isin(found), F.xxhash64("h1", "h2")).otherwise(F.col("h1")) if found else F.col("h1")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group of near duplicates: the smallest doc_id (null last), of equal ones that with the smallest hash of its text.
+    """docs with one row of each group of near duplicates: the smallest doc_id (null last), of equal ones the first row.
 
     Texts are linked if their fingerprints over three words differ in at most two bits, or if the Jaccard similarity of
-    their sets of five-word shingles is 0.8 or more; groups are what links connect. Other columns stay as they are; of
-    rows that repeat both id and text any one stays.
+    their sets of five-word shingles is 0.8 or more; groups are what links connect. Null texts are alike, and linked with
+    texts without words, whose fingerprint is zero too. Other columns stay as they are; repeated rows are copies like
+    any others; an empty table stays empty. Rows are numbered in a written copy and kept by number, so texts are
+    moved once, to meet the numbers that stay.
     """
     tune(docs.sparkSession)
-    own = materialize(fingerprints(docs, mark=F.xxhash64("text")), "fingerprints")
-    texts = materialize(own.drop("doc_id").dropDuplicates(["mark"]), "texts")
+    row = free_name(docs.columns, "_row")
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    h1, h2 = F.xxhash64("text"), F.xxhash64(F.lit(1), "text")
+    own = materialize(fingerprints(numbered, more={"row": F.col(row), "h1": h1, "h2": h2}), "fingerprints")
+    marks = distinct_marks(own)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    texts = materialize(own.groupBy(marks.alias("mark")).agg(F.min("fp").alias("fp"), first), "texts")
     reps = materialize(texts.groupBy("fp").agg(F.min("mark").alias("rep")), "distinct")
     same = texts.join(reps, "fp").select(F.col("mark").alias("a"), F.col("rep").alias("b"))
     near = linked_pairs(reps.select("fp"))
     for end in ("a", "b"):
         near = near.join(reps.select(F.col("fp").alias(end), F.col("rep").alias(f"r{end}")), end)
     edges = materialize(same.unionByName(near.select(F.col("ra").alias("a"), F.col("rb").alias("b"))), "links")
-    roots = components(edges.unionByName(similar_links(docs, F.xxhash64("text"), edges))).withColumnRenamed("node", "mark")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("f")
-    named = own.groupBy("mark").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("d")).select("mark", "d.doc_id").join(roots, "mark", "left")
-    stay = named.withColumn("root", F.coalesce("root", "mark")).groupBy("root").agg(first).select(F.col("f.doc_id").alias("_keep_id"), F.col("f.mark").alias("_keep_mark"))
-    marked = docs.withColumn("_keep_of", F.xxhash64("text"))
-    kept = marked.join(stay, F.col("doc_id").eqNullSafe(F.col("_keep_id")) & (F.col("_keep_of") == F.col("_keep_mark")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_keep_of"]).select(*docs.columns)
+    marked = numbered.select(h1.alias("h1"), h2.alias("h2"), "text").select(marks.alias("mark"), "text")
+    roots = components(edges.unionByName(similar_links(marked, edges))).withColumnRenamed("node", "mark")
+    groups = texts.select("mark", "first").join(roots, "mark", "left").groupBy(F.coalesce("root", "mark")).agg(F.min("first").alias("first"))
+    stay = groups.select(F.col("first.row").alias(row))
+    kept = numbered.join(stay, row, "left_semi").drop(row)
+    return kept.select(*docs.columns)
 
 
 def as_hex(fp):

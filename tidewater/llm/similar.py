@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tidewater.llm.common import materialize, release
 from tidewater.llm.components import components
@@ -277,12 +277,11 @@ def checked(pairs: DataFrame, marked: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(similar, "a long, b long")
 
 
-def similar_links(docs: DataFrame, mark: Column, known: DataFrame) -> DataFrame:
+def similar_links(marked: DataFrame, known: DataFrame) -> DataFrame:
     """Edges (a, b) that, with the edges known, connect the marks of all texts of similarity 4/5 or more, and no others.
 
-    Texts with a mark are taken for equal. Texts of large buckets that the first links have connected aren't compared again.
+    marked: mark and text. Texts with a mark are taken for equal. Texts of large buckets that the first links have connected aren't compared again.
     """
-    marked = docs.select(mark.alias("mark"), "text")
     keyed = prefixes(marked).repartition("key").sortWithinPartitions("key", "mark")
     found = materialize(keyed.mapInArrow(_small_and_first, "a long, b long, key long, n long, pos long"), "candidates")
     links = materialize(checked(materialize(found.filter("b is not null").select("a", "b").distinct(), "pairs"), marked), "similar")
