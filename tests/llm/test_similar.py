@@ -114,3 +114,12 @@ def test_stage_links_large_groups_whatever_a_bucket_holds(spark, monkeypatch):
     monkeypatch.setattr(similar, "CELL", 30)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(set(want))
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_shingles():
+    r = np.random.default_rng(1)
+    for _ in range(300):
+        pool = r.integers(0, 1 << 63, 400, dtype=np.uint64)
+        a, b = (np.unique(pool[r.random(400) < r.uniform(0.02, 0.9)]) for _ in range(2))
+        bits = sum(((x ^ y) & ((1 << 64) - 1)).bit_count() for x, y in zip(similar.sketch(a), similar.sketch(b)))
+        assert bits <= len(np.setxor1d(a, b))

@@ -177,19 +177,26 @@ def _small_and_first(source):
 
 
 def _cells(source):
-    """All pairs of texts of different roots in cells sorted by cell; a text of side 0 meets those of side 1, or of side 0 where there is none."""
+    """All pairs of texts of different roots in cells sorted by cell; a text of side 0 meets those of side 1, or of side 0 where there is none.
+
+    Sets differ in as many shingles as their sketches differ in bits at least, which rules out most pairs for sure.
+    """
     held = None
 
-    def compare(mark, root, n, pos, side):
+    def compare(mark, root, n, pos, side, *words):
+        words = [w.view(U) for w in words]
         left = np.flatnonzero(side == 0)
         right = np.flatnonzero(side == 1) if (side == 1).any() else left
         for at in range(0, len(left), 256):
             a, b = (x.ravel() for x in np.meshgrid(left[at : at + 256], right, indexing="ij"))
             keep = (root[a] != root[b]) & (mark[a] != mark[b]) & _may_link(n, pos, a, b)
+            a, b = a[keep], b[keep]
+            apart = sum(np.bitwise_count(w[a] ^ w[b]).astype(np.int64) for w in words)
+            keep = (PARTS + WHOLE) * apart <= (WHOLE - PARTS) * (n[a] + n[b])
             x, y = mark[a[keep]], mark[b[keep]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
-    names = ("mark", "root", "n", "pos", "side")
+    names = ("mark", "root", "n", "pos", "side", *SKETCH)
     for batch in source:
         if not batch.num_rows:
             continue
@@ -223,30 +230,41 @@ def stray_pairs(rows: DataFrame, roots: DataFrame, salt: int = 0) -> DataFrame:
     return fit.select(F.least("mark", "one.mark").alias("a"), F.greatest("mark", "one.mark").alias("b")).distinct()
 
 
-def cross_pairs(rows: DataFrame, roots: DataFrame) -> DataFrame:
+def cross_pairs(rows: DataFrame, roots: DataFrame, marked: DataFrame) -> DataFrame:
     """Candidates (a, b) of the larger buckets whose texts aren't connected yet.
 
-    rows: key, mark, n, pos; roots: node and root. A bucket of c cells' worth of texts is dealt out to c (c + 1) / 2 cells.
+    rows: key, mark, n, pos; roots: node and root; marked: mark and text. A bucket of c cells' worth of texts is dealt out to c (c + 1) / 2 cells.
     """
     known = with_roots(rows, roots)
     mixed = known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count(F.lit(1)) / CELL).cast("long").alias("parts")).filter("lo < hi").select("key", "parts")
-    dealt = known.join(mixed, "key").withColumn("part", F.pmod(F.xxhash64("mark", "key"), "parts"))
+    left = materialize(known.join(mixed, "key"), "mixed")
+    dealt = left.join(picked(left, marked, sketch, ", ".join(f"{c} long" for c in SKETCH)), "mark").withColumn("part", F.pmod(F.xxhash64("mark", "key"), "parts"))
     cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     lower, upper = F.least("part", "other"), F.greatest("part", "other")
-    named = cells.select(F.xxhash64("key", lower, upper).alias("cell"), "mark", "root", "n", "pos", F.when(F.col("part") == lower, 0).otherwise(1).alias("side"))
+    named = cells.select(F.xxhash64("key", lower, upper).alias("cell"), "mark", "root", "n", "pos", F.when(F.col("part") == lower, 0).otherwise(1).alias("side"), *SKETCH)
     return named.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cells, "a long, b long")
 
 
-def checked(pairs: DataFrame, marked: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b), a written table without repeats, whose shingle sets are similar enough.
+SKETCH = ("s0", "s1", "s2", "s3")
+
+
+def sketch(shingles: np.ndarray) -> tuple[int, ...]:
+    """256 parities: each shingle flips the bit that its hash names, so sets differ in as many shingles as bits at least."""
+    odd = np.bincount((shingles & U(255)).astype(np.int64), minlength=256) & 1
+    return tuple(np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist())
+
+
+def picked(marks: DataFrame, marked: DataFrame, make, columns: str) -> DataFrame:
+    """mark and what make gives for the shingle set of its text, for each mark of marks at least and each once.
 
-    Only texts that a fixed-size filter takes for ones of a pair are cut into shingles and shuffled.
+    Only texts that a fixed-size filter takes for ones of them are cut into shingles and shuffled.
     """
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("mark"))
     place = F.pmod("mark", F.lit(1 << FILTER_BITS)).cast("int")
     wanted = np.zeros(1 << FILTER_BITS, bool)
-    wanted[ends.select(place.alias("p")).distinct().toArrow().column("p").to_numpy()] = True
+    wanted[marks.select(place.alias("p")).distinct().toArrow().column("p").to_numpy()] = True
     shared = marked.sparkSession.sparkContext.broadcast(np.packbits(wanted))
+    names = [c.split()[0] for c in columns.split(", ")]
+    types = [pa.binary() if c.endswith("binary") else pa.int64() for c in columns.split(", ")]
 
     def sets(source):
         bits, done = shared.value, set()
@@ -258,10 +276,18 @@ def checked(pairs: DataFrame, marked: DataFrame) -> DataFrame:
                 for mark, text in zip(batch.column("mark").slice(at, 500).to_pylist(), batch.column("text").slice(at, 500).to_pylist()):
                     if mark not in done:
                         done.add(mark)
-                        found[mark] = shingle_set(text).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["mark", "shingles"])
+                        found[mark] = make(shingle_set(text))
+                values = list(zip(*found.values())) or [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), *(pa.array(list(v), t) for v, t in zip(values, types))], ["mark", *names])
         release()
 
+    return marked.mapInArrow(sets, f"mark long, {columns}").dropDuplicates(["mark"])
+
+
+def checked(pairs: DataFrame, marked: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b), a written table without repeats, whose shingle sets are similar enough."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("mark"))
+
     def similar(source):
         for batch in source:
             keep = []
@@ -272,7 +298,7 @@ def checked(pairs: DataFrame, marked: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
         release()
 
-    own = materialize(marked.mapInArrow(sets, "mark long, shingles binary").dropDuplicates(["mark"]), "sets")
+    own = materialize(picked(ends, marked, lambda s: (s.tobytes(),), "shingles binary"), "sets")
     x, y = (own.select(F.col("mark").alias(e), F.col("shingles").alias(s)) for e, s in (("a", "x"), ("b", "y")))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(similar, "a long, b long")
 
@@ -290,7 +316,7 @@ def similar_links(marked: DataFrame, known: DataFrame) -> DataFrame:
         return links
     for salt in range(STRAY_ROUNDS + 1):  # the last round compares all that is left
         roots = components(known.unionByName(links))
-        more = materialize((stray_pairs(later, roots, salt) if salt < STRAY_ROUNDS else cross_pairs(later, roots)).distinct(), "pairs")
+        more = materialize((stray_pairs(later, roots, salt) if salt < STRAY_ROUNDS else cross_pairs(later, roots, marked)).distinct(), "pairs")
         if not more.isEmpty():
             links = links.unionByName(materialize(checked(more, marked), "similar"))
     return links
