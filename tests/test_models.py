@@ -89,3 +89,13 @@ def test_window_search_remembers(spark, tmp_path):
     assert spark.read.parquet(path).count() == 3 and set(best[1]) <= {2, 3}
     assert evaluate.window_search(panel, "y", (2, 3), (1,), 3, path, models.Trees(rounds=1, depth=1)) == best
     assert spark.read.parquet(path).count() == 3
+
+
+def test_class_probabilities_out_of_fold_are_means_of_arrays(spark):
+    rows = [(i, i % 3, float(i % 4), float(i % 7), None if i == 5 else i % 4) for i in range(120)]
+    df = spark.createDataFrame(rows, "ID long, fold int, a double, b double, y int")
+    fit = models.class_probabilities(["a", "b"], "y", 5, models.Trees(rounds=3, depth=3))
+    oof, mean, _ = models.out_of_fold(df.filter("y IS NOT NULL"), df.limit(7), fit, out="p", folds=3)
+    assert oof.count() == 119
+    got = mean.collect()
+    assert len(got) == 7 and all(len(r.p) == 5 and abs(sum(r.p) - 1) < 1e-9 and r.p[4] == 0 for r in got)

@@ -72,7 +72,14 @@ def test_holdout_draws_whole_groups(spark):
     got = split.target_heavy_split(predictions(spark), "g", "target")
     groups = got.groupBy("g").agg(F.countDistinct("is_valid").alias("n"), F.max("is_valid").alias("v")).collect()
     assert all(r.n == 1 for r in groups) and sum(r.v for r in groups) == 6
-    assert split.holdout_groups([], split.HoldoutSettings()) == []
+    assert split.target_heavy_split(predictions(spark).limit(0), "g", "target").count() == 0
+
+
+def test_rows_without_a_group_are_a_group(spark):
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else i % 3, float(i)) for i in range(30)], "ID long, g long, target double")
+    for placed, column in ((split.group_kfold(df, "g", 3), "fold"), (split.target_heavy_split(df, "g", "target"), "is_valid")):
+        rows = placed.select("g", column).collect()
+        assert len(rows) == 30 and all(len({r[1] for r in rows if r[0] == g}) == 1 for g in (None, 1, 2)) and all(r[1] is not None for r in rows)
 
 
 def test_specialist_grid_equals_one_by_one(spark):

@@ -15,6 +15,7 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType
 
 from tidewater.functions.nulls import SENTINEL, floor_at
 from tidewater.sources.shared import checkpointed
@@ -83,7 +84,8 @@ def balanced_weight(df: DataFrame, label: str, out: str = "_w") -> DataFrame:
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     k = counts.agg(F.count(F.lit(1)).alias("_k"), F.sum("_n").alias("_all"))
     weights = counts.crossJoin(F.broadcast(k)).select(label, (F.col("_all") / (F.col("_k") * F.col("_n"))).alias(out))  # one row of totals
-    return df.join(F.broadcast(weights), label)  # a row for each class
+    placed = weights.withColumnRenamed(label, "_label")
+    return df.join(F.broadcast(placed), F.col(label).eqNullSafe(F.col("_label")), "left").drop("_label")  # a row for each class
 
 
 def binary_classifier(features: Sequence[str], label: str, t: Trees | None = None) -> Fit:
@@ -165,6 +167,14 @@ def _leaf_value(values: dict[int, float]) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("_leaf").cast("int")), F.lit(0.0))
 
 
+def _mean(df: DataFrame, out: str) -> Column:
+    """The mean of a number, or of arrays place by place."""
+    if not isinstance(df.schema[out].dataType, ArrayType):
+        return F.avg(out)
+    size = df.select(F.max(F.size(out))).first()[0] or 0  # the number of classes
+    return F.array(*[F.coalesce(F.avg(F.get(out, F.lit(i))), F.lit(0.0)) for i in range(size)])
+
+
 def out_of_fold(train: DataFrame, test: DataFrame | None, fit: Fit, fold: str = "fold", key: str = "ID", out: str = "pred", folds: int = 5) -> tuple[DataFrame, DataFrame | None, DataFrame]:
     """Each training row's prediction by the model that didn't see its fold, the test rows' mean over all models, and importances."""
     parts, tests, importance = [], [], []
@@ -182,7 +192,7 @@ def out_of_fold(train: DataFrame, test: DataFrame | None, fit: Fit, fold: str =
         mean = tests[0]
         for p in tests[1:]:
             mean = mean.unionByName(p)
-        mean = mean.groupBy(key).agg(F.avg(out).alias(out))
+        mean = mean.groupBy(key).agg(_mean(mean, out).alias(out))
     spark = train.sparkSession
     return oof, mean, spark.createDataFrame(importance, "fold int, feature string, importance double")
 

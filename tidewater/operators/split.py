@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from tidewater.operators.ranks import group_buckets, ranked
-from tidewater.operators.reports import group_statistics
+from tidewater.sources.shared import checkpointed
 
 
 def fold_pattern(sizes: dict[int, int], n_folds: int) -> dict[int, tuple[list[int], list[int]]]:
@@ -36,7 +35,7 @@ def fold_pattern(sizes: dict[int, int], n_folds: int) -> dict[int, tuple[list[in
 def group_kfold(df: DataFrame, group: str, n_folds: int = 5) -> DataFrame:
     """df with fold; no group is in two folds, and folds are as balanced as greedy assignment makes them.
 
-    Groups of equal size are taken in the order of a hash. The driver gets a row for each distinct size; ranks within
+    Rows without a group are a group of their own. Groups of equal size are taken in the order of a hash. The driver gets a row for each distinct size; ranks within
     a size are computed in parts, and the assignment is joined in whatever way its size allows.
     """
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_size")).withColumn("_h", F.xxhash64(group))
@@ -50,12 +49,8 @@ def group_kfold(df: DataFrame, group: str, n_folds: int = 5) -> DataFrame:
     n = F.size("_first")
     later = F.get("_cycle", F.pmod(F.col("_at") - n, F.lit(n_folds)).cast("int"))
     fold = F.when(F.col("_at") < n, F.get("_first", F.col("_at").cast("int"))).otherwise(later)
-    return df.join(placed.select(group, fold.alias("fold")), group)
-
-
-def hashed_group_kfold(df: DataFrame, group: str, n_folds: int = 5) -> DataFrame:
-    """df with fold from a hash of the group: no counts and no join, folds of near equal size when groups are many."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(group), F.lit(n_folds)).cast("int"))
+    named = placed.select(F.col(group).alias("_g"), fold.alias("fold"))
+    return df.join(named, F.col(group).eqNullSafe(F.col("_g")), "left").drop("_g")
 
 
 @dataclass
@@ -66,22 +61,25 @@ class HoldoutSettings:
     random_state: int = 42
 
 
-def holdout_groups(groups: list, s: HoldoutSettings) -> list:
-    """groups: by falling mean target. So many are drawn from the high pool and the rest from the others."""
-    rng, n = np.random.default_rng(s.random_state), len(groups)
+def target_heavy_split(df: DataFrame, group: str, target: str, s: HoldoutSettings | None = None) -> DataFrame:
+    """df with is_valid. Groups are ranked by falling mean target (ties go by group, null last); so many of the held-out
+    groups come from the pool of the highest means and the rest from the others, each drawn by a seeded hash.
+
+    Rows without a group are a group of their own. Ranks are computed in parts cut at quantiles of the means; the driver
+    gets a few numbers.
+    """
+    s = s or HoldoutSettings()
+    means = df.groupBy(F.col(group).alias("_g")).agg(F.avg(target).alias("_m"))
+    falling = -F.coalesce(F.col("_m"), F.lit(float("-inf")))
+    held = checkpointed(means.withColumn("_o", falling).withColumn("_draw", F.md5(F.concat_ws(":", F.lit(str(s.random_state)), F.col("_g").cast("string")))))
+    n = held.count()
     n_valid, n_pool = int(n * s.valid_group_ratio), int(n * s.high_pool_ratio)
     n_high = int(n_valid * s.high_group_ratio)
-    pool, rest = groups[:n_pool], groups[n_pool:]
-    high = rng.choice(len(pool), size=min(n_high, len(pool)), replace=False) if pool else []
-    low = rng.choice(len(rest), size=min(n_valid - n_high, len(rest)), replace=False) if rest else []
-    return [pool[i] for i in high] + [rest[i] for i in low]
-
-
-def target_heavy_split(df: DataFrame, group: str, target: str, s: HoldoutSettings | None = None) -> DataFrame:
-    """df with is_valid. Ties of the mean target go by group; the driver gets a row for each group."""
-    ranked = group_statistics(df, group, target).select("group", "target_mean").collect()
-    ordered = [r[0] for r in sorted(sorted(ranked, key=lambda r: r[0]), key=lambda r: -(r[1] if r[1] is not None else -np.inf))]
-    chosen = holdout_groups(ordered, s or HoldoutSettings())
-    kind = df.schema[group].dataType.simpleString()
-    valid = df.sparkSession.createDataFrame([(g,) for g in chosen], f"{group} {kind}").withColumn("_v", F.lit(True))
-    return df.join(valid, group, "left").withColumn("is_valid", F.coalesce("_v", F.lit(False))).drop("_v")
+    parts = group_buckets(n)
+    cuts = held.agg(F.percentile_approx("_o", [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
+    bucket = F.size(F.filter(F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]).cast("array<double>"), lambda c: c < F.col("_o")))
+    placed = ranked(held, [], [F.col("_o"), F.col("_g").asc_nulls_last()], bucket, "_rank").withColumn("_high", F.col("_rank") < n_pool)
+    by_draw = F.conv(F.substring("_draw", 1, 8), 16, 10).cast("long")
+    drawn = ranked(placed, ["_high"], [F.col("_draw"), F.col("_g")], F.floor(by_draw * parts / float(1 << 32)).cast("int"), "_nth")
+    chosen = drawn.select("_g", (F.col("_nth") < F.when(F.col("_high"), n_high).otherwise(n_valid - n_high)).alias("is_valid"))
+    return df.drop("is_valid").join(chosen, F.col(group).eqNullSafe(F.col("_g")), "left").drop("_g")

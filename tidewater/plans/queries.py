@@ -7,6 +7,7 @@ measures derive from its number and value by formulas that both engines read ali
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -352,7 +353,7 @@ _NF = {
     "nf_pack_high_mean_and_volatility": f"CASE WHEN p13 >= {_NQ('p21', 0.8)} AND ps >= {_NQ('ps', 0.8)} THEN 1 ELSE 0 END", "nf_battery_roll21_instability": "u",
     "nf_battery_low_and_pack_high": f"CASE WHEN bm <= {_NQ('bm', 0.3)} AND p21 >= {_NQ('p21', 0.8)} THEN 1 ELSE 0 END", "nf_robot_cong_long_max": "greatest(r13, r20, r21)", "nf_robot_cong_long_mean": "rm",
     "nf_robot_cong_persistent_high": f"CASE WHEN r13 >= {_NQ('r13', 0.8)} AND r20 >= {_NQ('r20', 0.8)} AND r21 >= {_NQ('r21', 0.8)} THEN 1 ELSE 0 END", "nf_pack_robot_cong_pressure": "p21 * r21",
-    "nf_extra_pack_long_mean_avg": "pm", "nf_extra_pack_long_mean_std": "pd",
+    "nf_pack_persistent_pressure": "round(pm / (pd + 1e-6), 2)", "nf_extra_pack_long_mean_avg": "pm", "nf_extra_pack_long_mean_std": "pd",
     "nf_extra_pack_high_count": " + ".join(f"CASE WHEN {p} >= {_NQ('p21', 0.85)} THEN 1 ELSE 0 END" for p in ("p13", "p20", "p21")), "nf_extra_robot_cong_long_std": "rd", "nf_extra_pack_x_robot_cong_mean": "pm * rm",
     "nf_extra_pack_high_robot_high": f"CASE WHEN pm >= {_NQ('p21', 0.85)} AND rm >= {_NQ('r21', 0.85)} THEN 1 ELSE 0 END", "nf_extra_battery_instab_high": f"CASE WHEN u >= {_NQ('u', 0.85)} THEN 1 ELSE 0 END",
     "nf_extra_pack_robot_battery_risk": f"CASE WHEN pm >= {_NQ('p21', 0.85)} AND rm >= {_NQ('r21', 0.85)} AND u >= {_NQ('u', 0.85)} THEN 1 ELSE 0 END",
@@ -362,7 +363,8 @@ _NF = {
 @query(sql(pick(list(_NF)), _BOTTLE, _NFW, _NF1, _NF2, "f AS (SELECT ID, " + ", ".join(f"{e} AS {n}" for n, e in _NF.items()) + " FROM n2)"))
 def neighbour_features(spark, sf):
     df = features.add_rolling(features.add_bottleneck(panel(spark, sf)), windows=(13, 20, 21))
-    return rounded(features.add_neighbour(df), ["ID"], list(_NF))
+    made = features.add_neighbour(df)
+    return rounded(made.withColumn("nf_pack_persistent_pressure", F.round("nf_pack_persistent_pressure", 2)), ["ID"], list(_NF))  # windows of equal means give large ratios
 
 
 @query(sql("SELECT ID AS id, CAST(CASE WHEN order_inflow_15m >= (SELECT quantile_cont(order_inflow_15m, 0.8) FROM d WHERE split = 'train') THEN 1 ELSE 0 END AS INTEGER) AS over_q80 FROM d"))
@@ -453,7 +455,7 @@ def hygiene_constant(spark, sf):
     return hygiene.value_shares(untidy(spark, sf), _HC).select("column", "n_distinct", F.round("top_share", 6).alias("top_share"))
 
 
-@query("SELECT 'copy' AS \"column\", 'order_inflow_15m' AS equals")
+@query(sql(" UNION ALL ".join(f"SELECT '{b}' AS \"column\", '{a}' AS equals FROM z HAVING bool_and({a} IS NOT DISTINCT FROM {b})" for a, b in combinations(_HC, 2)), _HSQL))
 def hygiene_duplicates(spark, sf):
     found = hygiene.duplicates(untidy(spark, sf), _HC, "ID")
     return spark.createDataFrame(sorted(found.items()), "column string, equals string")
@@ -514,7 +516,11 @@ def group_kfold(spark, sf):
     return groups.groupBy("fold", "group_size").agg(F.count(F.lit(1)).alias("n_groups"))
 
 
-@query()
+@query("""WITH g AS (SELECT user_id AS scenario_id, avg(value) AS m, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY user_id),
+r AS (SELECT *, row_number() OVER (ORDER BY m DESC NULLS LAST, scenario_id) - 1 AS place, floor(count(*) OVER () * 0.2e0) AS fifth FROM g),
+v AS (SELECT *, place < fifth AS high, floor(fifth * 0.3e0) AS n_high FROM r),
+d AS (SELECT *, row_number() OVER (PARTITION BY high ORDER BY md5('42:' || scenario_id), scenario_id) - 1 AS nth FROM v)
+SELECT scenario_id, nth < CASE WHEN high THEN n_high ELSE fifth - n_high END AS is_valid, n FROM d""")
 def target_heavy_split(spark, sf):
     got = split.target_heavy_split(panel(spark, sf), "scenario_id", "target")
     return got.groupBy("scenario_id", "is_valid").agg(F.count(F.lit(1)).alias("n"))
