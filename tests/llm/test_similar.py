@@ -1,6 +1,8 @@
 import random
 from itertools import combinations
 
+import numpy as np
+
 from tidewater.llm import similar, simhash
 from tidewater.llm.components import components
 
