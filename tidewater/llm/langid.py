@@ -8,6 +8,7 @@ fitted on rows kept aside calibrates its probabilities.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -215,8 +216,11 @@ def train(docs: DataFrame, allowed: Column, s: Settings | None = None) -> Model:
     sample = chosen.mapInArrow(features, "doc_id long, lang string, found array<int>, share array<float>").toArrow().combine_chunks()
     ids, langs = sample.column("doc_id").to_pylist(), sample.column("lang").to_pylist()
     found, share_of = _lists(sample, "found"), _lists(sample, "share")
-    order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, langs[i], len(found[i]), found[i].tobytes()))
-    return fit([(found[i], share_of[i], langs[i]) for i in order], s, df, n_texts)
+    order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, langs[i], len(found[i]), zlib.crc32(found[i])))
+    model = fit([(found[i], share_of[i], langs[i]) for i in order], s, df, n_texts)
+    del sample, found, share_of
+    release()
+    return model
 
 
 def _lists(table: pa.Table, name: str) -> list[np.ndarray]:

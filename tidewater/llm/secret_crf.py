@@ -14,6 +14,7 @@ import hashlib
 import random
 import re
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -260,7 +261,7 @@ def fit(sample: list[tuple[list[tuple[str, int]], tuple[int, ...]]], s: Settings
     n, width = len(sample), max((len(x[0]) for x in sample), default=1)
     gold, there = np.zeros((n, width), np.int64), np.zeros((n, width), bool)
     slots: dict[str, tuple[int, ...]] = {}
-    at, feature = [], []
+    at, feature = array("i"), array("i")
     for i, (words, file) in enumerate(sample):
         names = []
         for j, (w, tag) in enumerate(words):
@@ -270,9 +271,9 @@ def fit(sample: list[tuple[list[tuple[str, int]], tuple[int, ...]]], s: Settings
             gold[i, j], there[i, j] = tag, True
         for j in range(len(words)):
             mine = [*names[j], *(SIZE + x for x in (names[j - 1] if j else ())), *(2 * SIZE + x for x in (names[j + 1] if j + 1 < len(words) else ())), *(3 * SIZE + x for x in file)]
-            at += [i * width + j] * len(mine)
-            feature += mine
-    at, feature = np.array(at, np.int64), np.array(feature, np.int64)
+            at.extend([i * width + j] * len(mine))
+            feature.extend(mine)
+    at, feature = np.frombuffer(at, np.int32), np.frombuffer(feature, np.int32)
     w, pairs = np.zeros((4 * SIZE, 3)), np.zeros((3, 3))
     square_w, square_p = np.full_like(w, 1e-6), np.full_like(pairs, 1e-6)
     gold_one = np.eye(3)[gold] * there[..., None]
@@ -337,7 +338,11 @@ def train(docs: DataFrame, s: Settings | None = None) -> Model:
     sample = [list(zip(w, t)) for _, w, t, _ in rows]
     files = [tuple(f) for *_, f in rows] or [file_slots("")]
     more = enrich(sample, s.seed)
-    return fit([(x, files[i % len(files)]) for i, x in enumerate(more)], s)
+    del got, rows, sample
+    model = fit([(x, files[i % len(files)]) for i, x in enumerate(more)], s)
+    del more, files
+    release()
+    return model
 
 
 # ---- decoding

@@ -263,6 +263,8 @@ def picked(marks: DataFrame, marked: DataFrame, make, columns: str) -> DataFrame
     wanted = np.zeros(1 << FILTER_BITS, bool)
     wanted[marks.select(place.alias("p")).distinct().toArrow().column("p").to_numpy()] = True
     shared = marked.sparkSession.sparkContext.broadcast(np.packbits(wanted))
+    del wanted
+    release()
     names = [c.split()[0] for c in columns.split(", ")]
     types = [pa.binary() if c.endswith("binary") else pa.int64() for c in columns.split(", ")]
 
