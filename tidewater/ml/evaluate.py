@@ -11,6 +11,7 @@ from tidewater.operators import features, fill, reports, search, split
 from tidewater.operators.features import SCENARIO
 from tidewater.registry import Registry
 from tidewater.sources import tables
+from tidewater.sources.shared import checkpointed
 
 GROUPED, HOLDOUT = "groupkfold", "target_heavy_holdout"
 
@@ -50,11 +51,30 @@ def dual(df: DataFrame, fits: dict[str, models.Fit], target: str, group: str, ro
     return spark.read.parquet(f"{root}/summary")
 
 
-def window_search(panel: DataFrame, target: str, windows: Sequence[int], steps: Sequence[int], budget: int, history: str | None = None, trees: models.Trees | None = None, log: bool = False) -> search.Combo:
+def run_ablation(panel: DataFrame, target: str, windows: Sequence[int] = (5, 10, 20), steps: Sequence[int] = (1, 5), trees: models.Trees | None = None, log: bool = False) -> DataFrame:
+    """experiment_name, hypothesis, mae, improved, best_mae: each kind of feature left out in turn, on the holdout.
+
+    panel: a frame with a slot and the bottleneck features. A change that helps is kept for those after it.
+    """
+    store = features.add_slope(features.add_decay(features.add_cumsum(features.add_rolling(features.add_lags(panel, lags=steps, diffs=steps), windows=windows))))
+    store = checkpointed(features.add_persistence(store))
+    registry = Registry().add([n for n, t in store.dtypes if t in ("double", "int", "bigint") and n not in (target, "ID", "scenario_id", "layout_id")])
+
+    def evaluate(config: dict) -> float:
+        names = registry.select(**config)
+        df = fill.fill(store.select("ID", "scenario_id", SCENARIO.slot, target, *[n for n in names if n != SCENARIO.slot]), [n for n in names if n != SCENARIO.slot], "linear", SCENARIO)
+        return float(reports.summary(holdout(df, models.absolute_regressor(names, target, trees, log=log), target, "scenario_id")).first()["mae"])
+
+    rows = search.ablation({}, search.experiments(registry.kinds(), windows), evaluate)
+    return panel.sparkSession.createDataFrame(rows, "experiment_name string, hypothesis string, mae double, improved boolean, best_mae double")
+
+
+def window_search(panel: DataFrame, target: str, windows: Sequence[int], steps: Sequence[int], budget: int, history: str | None = None, trees: models.Trees | None = None, log: bool = False, most: int | None = None, local_rounds: int | None = None) -> search.Combo:
     """The set of windows and steps with the least error on the holdout.
 
     panel: a frame with a slot and the bottleneck features. All windows are planned in one layer; each evaluation
-    reads only its own columns. With history, results are appended there and never evaluated again.
+    reads only its own columns. Sets grow up to `most` windows (all of them, if none is given) and local rounds go on
+    while they help, until the budget is spent. With history, results are appended there and never evaluated again.
     """
     spark: SparkSession = panel.sparkSession
     store = features.add_rolling(features.add_lags(panel, lags=steps, diffs=steps), windows=windows)
@@ -75,4 +95,4 @@ def window_search(panel: DataFrame, target: str, windows: Sequence[int], steps:
             tables.append_history(spark.createDataFrame(row, "kind string, roll_windows string, lag_steps string, mae double"), history)
 
     found = search.Search(evaluate, tuple(windows), tuple(steps), budget, history=known, on_result=remember)
-    return found.run(most=2, local_rounds=1)
+    return found.run(most or len(windows), local_rounds or budget)

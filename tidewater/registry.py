@@ -19,11 +19,17 @@ def describe(name: str) -> Feature:
     """The feature that a column name of the usual form stands for."""
     if m := re.fullmatch(r"(.+)_(lag|diff)(\d+)", name):
         return Feature(name, m[2], m[1], int(m[3]))
+    if m := re.fullmatch(r"(.+)_(?:count|cross)_roll(\d+)", name):
+        return Feature(name, "persistence", m[1], int(m[2]))
+    if m := re.fullmatch(r"(.+)_run_length", name):
+        return Feature(name, "persistence", m[1])
+    if m := re.fullmatch(r"(.+)_(?:cumsum_prev|cummean_prev)", name):
+        return Feature(name, "cumsum", m[1])
     if m := re.fullmatch(r"(.+?)(_vs)?_ctxroll(\d+)(_\w+)?", name):
         return Feature(name, "context", m[1], int(m[3]))
     if m := re.fullmatch(r"(.+?)(_vs)?_roll(\d+)(_\w+)?", name):
         return Feature(name, "roll", m[1], int(m[3]))
-    for kind, mark in (("cumsum", "_cumsum"), ("decay", "_decay"), ("slope", "_slope"), ("persistence", "_persist")):
+    for kind, mark in (("cumsum", "_cumsum"), ("decay", "_decay"), ("slope", "_slope")):
         if mark in name:
             return Feature(name, kind, name.split(mark)[0])
     return Feature(name, "raw")
@@ -38,6 +44,9 @@ class Registry:
             self.features.setdefault(n, describe(n))
         return self
 
+    def kinds(self) -> set[str]:
+        return {f.kind for f in self.features.values()}
+
     def select(self, windows: Iterable[int] | None = None, lags: Iterable[int] | None = None, without: Iterable[str] = (), bases: Iterable[str] | None = None) -> list[str]:
         """Names in order, each once: of rolls those with a window asked for, of lags and differences those with a step."""
         windows, lags = set(windows) if windows is not None else None, set(lags) if lags is not None else None
