@@ -18,7 +18,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of linked fingerprints, that of the smallest doc_id."""
+    """One document of each group of near duplicates, that of the smallest doc_id (null last); see simhash.keep_one."""
     return simhash.keep_one(docs)
 
 
@@ -29,8 +29,11 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences of at most 1024 tokens."""
-    return bestfit_packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), memory=200_000)  # workers keep what other stages hold
+    """The pieces of all documents with their ids, and their places in sequences of at most 1024 tokens.
+
+    Null texts count as empty, repeated rows have pieces each, and an empty table gives none.
+    """
+    return bestfit_packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), memory=200_000, with_ids=True)  # workers keep what other stages hold
 
 
 STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("secrets", secrets), ("packing", packing)]
