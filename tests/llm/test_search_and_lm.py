@@ -172,6 +172,15 @@ def test_ngrams_of_many_symbols_are_told_apart():
         s = [0] * 3 + [ord(c) + 1 for c in t]
         want.update(((s[k - 3] << 42) + (s[k - 2] << 21) + s[k - 1], s[k]) for k in range(3, len(s)))
     assert seen == want
+    for texts in ([text, "\U0001f643a"], ["abcab", "abc", ""]):
+        marks = [i == 1 for i in range(len(texts))]
+        counted = {(c, s): (a, b) for g, _, _ in lm_score.blocks(texts, marks) for c, s, a, b in zip(*(x.tolist() for x in (g.context, g.symbol, g.all, g.some)))}
+        numbered = {}
+        for g, of, sizes in lm_score.blocks(texts):
+            for k, t in zip(g.number.tolist(), np.repeat(of, sizes).tolist()):
+                a, b = numbered.get((int(g.context[k]), int(g.symbol[k])), (0, 0))
+                numbered[int(g.context[k]), int(g.symbol[k])] = (a + 1, b + marks[t])
+        assert counted == numbered
 
 
 def test_scores_in_packs_equal_scores_at_once(spark, monkeypatch):

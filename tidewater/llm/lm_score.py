@@ -31,10 +31,13 @@ U = np.uint64
 
 
 class Ngrams:
-    """The distinct n-grams of some symbols (context and symbol), and which of them stands at each place that counts."""
+    """The distinct n-grams of some symbols (context and symbol), and the number of the one at each place that counts, or how many places each has."""
 
-    def __init__(self, codes: np.ndarray, own: np.ndarray):
-        """codes: symbols; own: the places that count, ORDER - 1 symbols from the start of the text at least."""
+    def __init__(self, codes: np.ndarray, own: np.ndarray, wanted: np.ndarray | None = None):
+        """codes: symbols; own: the places that count, ORDER - 1 symbols from the start of the text at least.
+
+        wanted: whether each of these places is also counted apart; then there are counts (all, some) and no numbers.
+        """
         there = np.zeros(1 << SYMBOL, bool)
         there[codes] = True
         symbols = np.flatnonzero(there)
@@ -46,7 +49,14 @@ class Ngrams:
             keys = local.copy()
             for back in range(1, ORDER):
                 keys[back:] |= local[:-back] << U(bits * back)
-            found, self.number = np.unique(keys[own], return_inverse=True)
+            if wanted is None:
+                found, self.number = np.unique(keys[own], return_inverse=True)
+            else:
+                keys = keys[own]
+                found, self.all = np.unique(keys, return_counts=True)
+                apart, n = np.unique(keys[wanted], return_counts=True)
+                self.some = np.zeros(len(found), np.int64)
+                self.some[np.searchsorted(found, apart)] = n
             part = [symbols[(found >> U(bits * back) & U((1 << bits) - 1)).astype(np.int64)] for back in range(ORDER)]
             self.symbol = part[0]
             self.context = sum(x << (SYMBOL * back) for back, x in enumerate(part[1:]))
@@ -58,12 +68,15 @@ class Ngrams:
             contexts, number = np.unique(context[own], return_inverse=True)
             found, self.number = np.unique(number << SYMBOL | wide[own], return_inverse=True)
             self.symbol, self.context = found & ((1 << SYMBOL) - 1), contexts[found >> SYMBOL]
+            if wanted is not None:
+                self.all, self.some = (np.bincount(x, minlength=len(found)) for x in (self.number, self.number[wanted]))
 
 
-def blocks(texts: list[str | None]):
+def blocks(texts: list[str | None], marks: list | None = None):
     """Blocks of about BLOCK code points: their n-grams, and the text and the length of each run of places in them.
 
-    A longer text is cut; each stretch comes with the symbols before it, so that no n-gram is lost.
+    A longer text is cut; each stretch comes with the symbols before it, so that no n-gram is lost. marks: whether the
+    n-grams of each text are also counted apart.
     """
     lead = ORDER - 1
     parts, rows, size = [], [], 0
@@ -73,7 +86,8 @@ def blocks(texts: list[str | None]):
         own = np.ones(len(codes), bool)
         starts = np.cumsum([0, *map(len, parts)])[:-1]
         own[(starts[:, None] + np.arange(lead)).ravel()] = False
-        return Ngrams(codes, np.flatnonzero(own)), [r[0] for r in rows], np.array([r[1] for r in rows], np.int64)
+        of, sizes = [r[0] for r in rows], np.array([r[1] for r in rows], np.int64)
+        return Ngrams(codes, np.flatnonzero(own), None if marks is None else np.repeat(np.array([marks[i] for i in of], bool), sizes)), of, sizes
 
     for i, t in enumerate(texts):
         c = np.concatenate([np.zeros(lead, np.uint32), np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), np.uint32) + np.uint32(1)])
@@ -119,11 +133,8 @@ def asked(rows: DataFrame) -> DataFrame:
                     yield sums(now, held)
                     held = []
                 now, part = packs[a], batch.slice(a, b - a)
-                marks = part.column("target").to_pylist()
-                for grams, of, sizes in blocks(part.column("text").to_pylist()):
-                    wanted = np.repeat(np.array([marks[i] for i in of], bool), sizes)
-                    n = len(grams.symbol)
-                    held.append((grams.context, grams.symbol, np.bincount(grams.number[wanted], minlength=n), np.bincount(grams.number, minlength=n)))
+                for grams, _, _ in blocks(part.column("text").to_pylist(), part.column("target").to_pylist()):
+                    held.append((grams.context, grams.symbol, grams.some, grams.all))
                 held = [merged(held)] if len(held) > 8 else held
         if held:
             yield sums(now, held)
