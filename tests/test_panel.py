@@ -118,3 +118,10 @@ def test_bins(spark):
 def test_optional_columns_default(spark):
     df = spark.createDataFrame([(1,)], "ID int")
     assert df.select(nulls.col_or(df, "robot_active").alias("a"), nulls.col_or(df, "ID", 7).alias("b")).first() == (0.0, 1)
+
+
+def test_categories_of_alike_names_keep_their_columns(spark):
+    df = spark.createDataFrame([(1, "a b", "train"), (2, "a-b", "train"), (3, None, "test")], "ID long, layout_type string, split string")
+    got = {r.ID: r for r in features.add_layout_encoding(df).collect()}
+    assert (got[1].layout_type_oh_a_b, got[1].layout_type_oh_a_b__2) == (1, 0) and (got[2].layout_type_oh_a_b, got[2].layout_type_oh_a_b__2) == (0, 1)
+    assert got[3].layout_type_oh_missing == 1 and got[3].layout_type_freq == 0

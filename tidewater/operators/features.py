@@ -289,17 +289,26 @@ def add_context_rolling(df: DataFrame, columns: Sequence[str], panel: Panel = SC
     return df
 
 
-def add_layout_encoding(df: DataFrame, column: str = "layout_type", split: str = "split") -> DataFrame:
-    """Share of each category among the training rows (unseen: 0) and a 0/1 column for each category of either split."""
+def add_layout_encoding(df: DataFrame, column: str = "layout_type", split: str = "split", most: int = 1000) -> DataFrame:
+    """Share of each category among the training rows (unseen: 0) and a 0/1 column for each category of either split.
+
+    Categories whose names differ in signs or case alone get numbered columns. More than `most` categories raise an error.
+    """
     kind = F.coalesce(F.col(column).cast("string"), F.lit("missing"))
     named = df.withColumn(column, kind)
     train = named.filter(F.col(split) == "train")
     shares = train.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
     total = train.agg(F.count(F.lit(1)).alias("_all"))
     shares = with_scalars(shares, total).select(column, (F.col("_n") / F.col("_all")).alias(f"{column}_freq"))
-    categories = sorted(r[0] for r in named.select(column).distinct().collect())  # columns are made of them
+    categories = sorted(r[0] for r in named.select(column).distinct().take(most + 1))  # columns are made of them
+    if len(categories) > most:
+        raise ValueError(f"{column} has more than {most} categories")
     out = named.join(shares, column, "left").withColumn(f"{column}_freq", zero(F.col(f"{column}_freq")))
-    safe = {c: "".join(x if x.isalnum() else "_" for x in c.lower()) for c in categories}
+    safe: dict[str, str] = {}
+    for c in categories:
+        name = "".join(x if x.isalnum() else "_" for x in c.lower())
+        same = sum(s == name or s.startswith(f"{name}__") for s in safe.values())
+        safe[c] = f"{name}__{same + 1}" if same else name
     return with_named(out, {f"{column}_oh_{safe[c]}": (F.col(column) == c).cast("byte") for c in categories})
 
 
