@@ -52,7 +52,7 @@ def test_all_missing_group_gets_the_sentinel(spark):
 
 def test_runs_and_crossings(spark):
     df = rows(spark, [5.0, 5.0, 1.0, 5.0, 5.0, 5.0])
-    got = P.add_crossings(P.add_runs(df, {"run": F.col("x") > 2}), F.col("x") > 2, {"cross": 3}).orderBy("ID").collect()
+    got = P.add_crossings(P.add_runs(df, {"run": F.col("x") > 2}), {"s": (F.col("x") > 2, {"cross": 3})}).orderBy("ID").collect()
     assert [r.run for r in got] == [0, 1, 2, 0, 1, 2] and [r.cross for r in got] == [0, 1, 1, 1, 1, 1]
 
 

@@ -18,8 +18,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType
 
 from tidewater.functions.nulls import SENTINEL, floor_at
-from tidewater.sources.shared import checkpointed
 from tidewater.operators.features import from_log, to_log
+from tidewater.operators.quantiles import exact_quantiles
+from tidewater.sources.shared import checkpointed
 
 Fitted = Callable[[DataFrame, str], DataFrame]
 Fit = Callable[[DataFrame], Fitted]
@@ -137,7 +138,7 @@ def quantile_regressor(features: Sequence[str], target: str, alpha: float, t: Tr
 
     def fit(train: DataFrame) -> Fitted:
         rows = assemble(train.withColumn("_y", F.col(target).cast("double")), features).select("_x", "_y")
-        start = float(rows.agg(F.percentile("_y", F.lit(alpha))).first()[0])
+        start = float(exact_quantiles(rows, {"y": F.col("_y")}, {"q": ("y", alpha)}).first()[0])
         state, trees = rows.withColumn("_p", F.lit(start)), []
         for i in range(t.rounds):
             residual = F.col("_y") - F.col("_p")

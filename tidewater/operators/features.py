@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewater.functions.nulls import EPSILON, col_or, dot, flag, floor_at, row_max, row_mean, row_min, row_std, safe_div, zero
 from tidewater.operators.panel import Panel
+from tidewater.operators.quantiles import exact_quantiles
 
 SCENARIO = Panel("scenario_id", ("ID",))
 
@@ -131,9 +132,7 @@ def add_persistence(df: DataFrame, panel: Panel = SCENARIO) -> DataFrame:
     conditions = states()
     out = panel.add_runs(df, {f"{n}_run_length": c for n, c in conditions.items()})
     out = with_named(out, {f"{n}_count_roll{w}": panel.state_count(c, w) for n, c in conditions.items() for w in STATE_WINDOWS})
-    for n, c in conditions.items():
-        out = panel.add_crossings(out, c, {f"{n}_cross_roll{w}": w for w in STATE_WINDOWS})
-    return out
+    return panel.add_crossings(out, {n: (c, {f"{n}_cross_roll{w}": w for w in STATE_WINDOWS}) for n, c in conditions.items()})
 
 
 def add_late_pressure(df: DataFrame, slots: int = 24) -> DataFrame:
@@ -149,7 +148,8 @@ def add_late_pressure(df: DataFrame, slots: int = 24) -> DataFrame:
 
 def train_quantiles(df: DataFrame, wanted: dict[str, tuple[Column, float]], split: str = "split") -> DataFrame:
     """One row of exact quantiles over the training rows."""
-    return df.filter(F.col(split) == "train").agg(*[F.percentile(c, F.lit(q)).alias(n) for n, (c, q) in wanted.items()])
+    values = {str(c): c for c, _ in wanted.values()}
+    return exact_quantiles(df.filter(F.col(split) == "train"), values, {n: (str(c), q) for n, (c, q) in wanted.items()})
 
 
 def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
@@ -190,7 +190,8 @@ def add_backlog(df: DataFrame, panel: Panel = SCENARIO, split: str = "split") ->
     Waiting lines are scaled by the median size within their own split.
     """
     waits = ("label_print_queue", "outbound_truck_wait_min", "charge_queue_length")
-    medians = df.groupBy(split).agg(*[F.percentile(F.abs(col_or(df, w).cast("double")), F.lit(0.5)).alias(f"_m_{w}") for w in waits])
+    sizes = {w: F.abs(col_or(df, w).cast("double")) for w in waits}
+    medians = exact_quantiles(df, sizes, {f"_m_{w}": (w, 0.5) for w in waits}, [split])
     both = df.join(F.broadcast(medians), split, "left")  # a row for each split
     get = lambda n: col_or(df, n)
     scaled = {w: get(w) / (F.abs(F.col(f"_m_{w}")) + EPSILON) for w in waits}

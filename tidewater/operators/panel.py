@@ -7,6 +7,7 @@ past values end before the current row, which joins the shift and the window int
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import ceil, log
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window, WindowSpec
@@ -65,10 +66,12 @@ class Panel:
     def ewm(self, c: str | Column, decay: float) -> Column:
         """y = decay y + (1 - decay) x over the past, from 0, missing values as 0.
 
-        The past of a row is gathered and folded; entities are short (tens of rows).
+        Rows so far back that their weight is below 2^-60 are left out, which no double can show; so a row folds at
+        most log(2^-60) / log(decay) values (811 at 0.95), however long the entity is.
         """
         c = F.col(c) if isinstance(c, str) else c
-        past = F.collect_list(zero(c.cast("double"))).over(self.past())
+        seen = 1 if decay <= 0 else ceil(-60 * log(2) / log(decay)) if decay < 1 else None
+        past = F.collect_list(zero(c.cast("double"))).over(self.past(seen))
         return F.aggregate(past, F.lit(0.0), lambda a, x: decay * a + (1 - decay) * x)
 
     def slope(self, c: str, n: int = 5) -> Column:
@@ -91,11 +94,16 @@ class Panel:
             breaks = breaks.withColumn(n, F.sum(f"_s_{n}").over(island))
         return breaks.drop(*[f"_{k}_{n}" for k in "sb" for n in conditions])
 
-    def add_crossings(self, df: DataFrame, condition: Column, windows: dict[str, int]) -> DataFrame:
-        """For each name, how often within its last n rows the shifted state went from 0 to 1."""
-        s = df.withColumn("_s", self.past_state(condition))
-        crossed = s.withColumn("_c", ((F.col("_s") == 1) & (F.coalesce(self.lag("_s"), F.lit(0)) == 0)).cast("int"))
-        return crossed.select("*", *[F.sum("_c").over(self.rows.rowsBetween(-n + 1, NOW)).alias(name) for name, n in windows.items()]).drop("_s", "_c")
+    def add_crossings(self, df: DataFrame, wanted: dict[str, tuple[Column, dict[str, int]]]) -> DataFrame:
+        """For each condition and each of its names, how often within the last n rows the shifted state went from 0 to 1.
+
+        wanted: for each state its condition and result names with their n; all states share two layers.
+        """
+        states = df.select("*", *[self.past_state(c).alias(f"_s_{k}") for k, (c, _) in wanted.items()])
+        rose = lambda k: ((F.col(f"_s_{k}") == 1) & (F.coalesce(self.lag(f"_s_{k}"), F.lit(0)) == 0)).cast("int")
+        crossed = states.select("*", *[rose(k).alias(f"_c_{k}") for k in wanted])
+        sums = [F.sum(f"_c_{k}").over(self.rows.rowsBetween(-n + 1, NOW)).alias(name) for k, (_, names) in wanted.items() for name, n in names.items()]
+        return crossed.select("*", *sums).drop(*[f"_{x}_{k}" for x in "sc" for k in wanted])
 
     def first_n(self, c: str, how: str, n: int = 4) -> Column:
         """mean or max over the first n rows of the entity from row n on, 0 before."""
@@ -121,9 +129,9 @@ class Panel:
 
     def rank_pct(self, c: str) -> Column:
         """Average rank among the entity's values, divided by their number; null stays null."""
-        same = Window.partitionBy(self.entity, c)
-        rank = F.rank().over(self.group.orderBy(F.col(c).asc_nulls_last()))
-        return F.when(F.col(c).isNotNull(), (rank + (F.count(c).over(same) - 1) / 2) / F.count(c).over(self.group))
+        order = self.group.orderBy(F.col(c).asc_nulls_last())
+        ties = F.count(c).over(order.rangeBetween(NOW, NOW))  # of the same sort as the rank
+        return F.when(F.col(c).isNotNull(), (F.rank().over(order) + (ties - 1) / 2) / F.count(c).over(self.group))
 
     def relative(self, c: str) -> dict[str, Column]:
         """Distance from the entity's mean, z-score (missing as 0), share of the maximum, place in the range."""

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from tidewater.functions.nulls import zero
+from tidewater.operators.quantiles import exact_quantiles, with_quantiles
 
 #: Labels of the target bins, which are closed on the right.
 BINS = ("<20", "20-40", "40-50", "50-100", "100+")
@@ -33,12 +34,16 @@ def prediction_frame(df: DataFrame, target: str, prediction: str, key: str = "ID
     return named.select("*", (F.col("pred") - F.col("target")).alias("error"), F.abs(F.col("pred") - F.col("target")).alias("abs_error"), target_bin(F.col("target")).alias("bin"))
 
 
+# Quantiles of the summary.
+SUMMARY_QUANTILES = {"target_median": ("target", 0.5), "pred_median": ("pred", 0.5), "pred_p90": ("pred", 0.9), "pred_p95": ("pred", 0.95), "pred_p99": ("pred", 0.99)}
+
+
 def summary_columns() -> list[Column]:
+    """All of the summary but its quantiles."""
     t, p = F.col("target"), F.col("pred")
     out = [F.count(F.lit(1)).alias("n_rows"), F.avg("abs_error").alias("mae")]
     for n, c in (("target", t), ("pred", p)):
-        out += [F.avg(c).alias(f"{n}_mean"), F.percentile(c, F.lit(0.5)).alias(f"{n}_median"), F.max(c).alias(f"{n}_max")]
-    out += [F.percentile(p, F.lit(q / 100)).alias(f"pred_p{q}") for q in (90, 95, 99)]
+        out += [F.avg(c).alias(f"{n}_mean"), F.max(c).alias(f"{n}_max")]
     for k in (50, 100):
         high = t >= k
         out += [
@@ -52,8 +57,12 @@ def summary_columns() -> list[Column]:
 
 
 def summary(frame: DataFrame, *keys: str) -> DataFrame:
-    """One row (for each combination of keys) over a prediction frame; measures of high rows are null without such rows."""
-    return frame.groupBy(*keys).agg(*summary_columns()) if keys else frame.agg(*summary_columns())
+    """One row (for each combination of keys) over a prediction frame; measures of high rows are null without such rows.
+
+    Combinations of keys have to be few, such as models or validations.
+    """
+    quantiles = exact_quantiles(frame, {"target": F.col("target"), "pred": F.col("pred")}, SUMMARY_QUANTILES, keys)
+    return with_quantiles(frame.groupBy(*keys).agg(*summary_columns()), quantiles, keys)
 
 
 def bin_report(frame: DataFrame) -> DataFrame:
@@ -63,6 +72,7 @@ def bin_report(frame: DataFrame) -> DataFrame:
 
 
 def group_statistics(df: DataFrame, group: str, target: str) -> DataFrame:
+    """A row for each group; groups are many and short (the median holds the distinct targets of one group)."""
     t = F.col(target)
     shares = [F.avg(zero((t >= k).cast("double"))).alias(f"high{k}_ratio") for k in (50, 100, 200)]
     return df.groupBy(F.col(group).alias("group")).agg(F.count(F.lit(1)).alias("n_rows"), F.avg(t).alias("target_mean"), F.percentile(t, F.lit(0.5)).alias("target_median"), F.max(t).alias("target_max"), zero(F.stddev_samp(t)).alias("target_std"), *shares)
@@ -80,7 +90,8 @@ def mae_gap(train: DataFrame, valid: DataFrame) -> DataFrame:
 
 def describe(df: DataFrame, column: str, quantiles: tuple[float, ...] = (0.01, 0.05, 0.5, 0.95, 0.99)) -> DataFrame:
     c = F.col(column)
-    return df.agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), *[F.percentile(c, F.lit(q)).alias(f"p{q * 100:g}") for q in quantiles], F.max(c).alias("max"))
+    found = exact_quantiles(df, {"c": c}, {f"p{q * 100:g}": ("c", q) for q in quantiles})
+    return with_quantiles(df.agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max")), found)
 
 
 def shares(df: DataFrame, column: str) -> DataFrame:
@@ -141,7 +152,7 @@ def class_scores(df: DataFrame, label: str, probabilities: str, floor: float = 1
 
 def submission_statistics(df: DataFrame, prediction: str) -> DataFrame:
     c = F.col(prediction)
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.avg(c).alias("mean"), F.percentile(c, F.lit(0.95)).alias("p95"), F.max(c).alias("max"))
+    return with_quantiles(df.agg(F.count(F.lit(1)).alias("n_rows"), F.avg(c).alias("mean"), F.max(c).alias("max")), exact_quantiles(df, {"c": c}, {"p95": ("c", 0.95)}))
 
 
 def compare(a: DataFrame, b: DataFrame, prediction: str, key: str = "ID", tolerance: float = 1e-12) -> DataFrame:

@@ -8,11 +8,18 @@ from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df without its lineage, from files in spark.checkpoint.dir; where that is unset, a local master gets a temporary folder."""
+    """df without its lineage, from files in spark.checkpoint.dir.
+
+    Where that is unset, a local master gets a temporary folder and a cluster a folder in the warehouse, unless that is
+    on a local disk, which raises an error.
+    """
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         found = spark.conf.get("spark.checkpoint.dir", None)
         local = sc.master == "local" or sc.master.startswith("local[")
-        sc.setCheckpointDir(found or (tempfile.mkdtemp(prefix="tidewater-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"))
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if not found and not local and (warehouse.startswith("file:") or "://" not in warehouse):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(found or (tempfile.mkdtemp(prefix="tidewater-") if local else f"{warehouse}/_shared"))
     return df.checkpoint()
