@@ -3,7 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewater.ml import evaluate, models
-from tidewater.pipeline import Settings, TARGET, run
+from tidewater.operators import features
+from tidewater.pipeline import Settings, TARGET, context_features, run
 
 
 @pytest.fixture(scope="module")
@@ -69,6 +70,23 @@ def test_pipeline_end_to_end(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out/bin_report").count() == 5
 
 
+def test_context_covers_all_columns_that_change_within_a_scenario(spark):
+    r = np.random.default_rng(4)
+    plain = [*features.RANK_COLUMNS, "robot_active", "robot_total", "pack_station_count", "backorder_ratio", "label_print_queue", "base_pred"]
+    x = r.uniform(0, 1, (40, len(plain)))
+    rows = [(f"{i:03}", f"s{i // 20}", "train" if i < 20 else "test", 1, i % 20, *map(float, v)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "ID string, scenario_id string, split string, layout_id int, timeslot int, " + ", ".join(f"{c} double" for c in plain))
+    got = context_features(df, spark.createDataFrame([(1, "grid")], "layout_id int, layout_type string"))
+    context = [c for c in got.columns if "ctxroll" in c]
+    assert len(context) == 99 * 12 and len(features.context_columns(got, "base_pred")) == 99
+    p = x[:20, plain.index("base_pred")]
+    values = [tuple(row) for row in got.filter("split = 'train'").select("base_pred_ctxroll19_mean", "base_pred_vs_ctxroll19_mean", "sc_rank_robot_idle_ctxroll25_max", "ID").orderBy("ID").collect()]
+    rank = x[:20, plain.index("robot_idle")].argsort().argsort() + 1
+    assert values[0][:3] == (0, 0, 0)
+    for i in range(1, 20):
+        assert values[i][:3] == pytest.approx((p[:i].mean(), p[i] - p[:i].mean(), rank[:i].max() / 20))
+
+
 def test_dual_validation_writes_all_reports(spark, data, tmp_path):
     df = data.withColumn("g", F.col("ID") % 20).drop("fold").withColumnRenamed("y", "t")
     fits = {"a": models.linear_model(["x"], "t"), "b": models.linear_model(["z"], "t")}

@@ -30,6 +30,14 @@ RANK_COLUMNS = (
 )
 FAMILY_COLUMNS = ("bp_pack_overload", "bp_robot_overload", "bp_demand_capacity_pressure", "bp_congestion_order_pressure", "bp_downstream_pressure")
 
+# Columns that get rolling context beside the base prediction, and beginnings of names of further ones.
+CONTEXT_COLUMNS = (
+    "sc_pred_rank", "sc_pred_relmean", "sc_pred_z", "sc_pred_to_p90", "sc_pred_to_p75", "sc_pred_to_max", "sc_pred_rank_x_pred",
+    "bp_pack_overload", "bp_robot_overload", "bp_demand_capacity_pressure", "bp_downstream_pressure", "bp_congestion_order_pressure", "bp_congestion_pack_overload",
+    "bp_battery_robot_overload", "bp_backorder_pack_pressure", "bp_order_pack_capacity_gap", "bp_order_robot_capacity_gap", "bp_robot_available_gap",
+)
+CONTEXT_FAMILIES = ("sc_rank_", "sc_z_", "sc_relmean_", "sc_to_max_", "sc_range_pos_")
+
 
 def with_named(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """df with columns added in one projection; earlier ones of the same name are replaced."""
@@ -277,6 +285,12 @@ def add_prediction_context(df: DataFrame, prediction: str, panel: Panel = SCENAR
     })
 
 
+def context_columns(df: DataFrame, prediction: str) -> list[str]:
+    """The columns of df that change within a scenario and get rolling context: up to 99 with all ranks."""
+    families = [c for c in df.columns if c.startswith(CONTEXT_FAMILIES) and "ctxroll" not in c]
+    return [c for c in dict.fromkeys([prediction, *CONTEXT_COLUMNS, *families]) if c in df.columns]
+
+
 def add_context_rolling(df: DataFrame, columns: Sequence[str], panel: Panel = SCENARIO, windows: Sequence[int] = CONTEXT_WINDOWS, layer: int = 200) -> DataFrame:
     """Rolling statistics of many columns, in layers of so many expressions that plans stay readable."""
     named: dict[str, Column] = {}

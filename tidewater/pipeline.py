@@ -51,7 +51,7 @@ def context_features(df: DataFrame, layout: DataFrame) -> DataFrame:
     df = df.join(layout.select("layout_id", "layout_type"), "layout_id", "left")
     df = features.add_layout_encoding(df)
     df = features.add_prediction_context(features.add_scenario_rank(features.add_backlog(df)), "base_pred")
-    return features.add_context_rolling(df, ["base_pred", "bp_pack_overload", "bp_demand_capacity_pressure"])
+    return features.add_context_rolling(df, features.context_columns(df, "base_pred"))
 
 
 def run(spark: SparkSession, directory: str, s: Settings, template: str | None = None) -> DataFrame:
