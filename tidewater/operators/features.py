@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidewater.functions.nulls import EPSILON, col_or, dot, flag, floor_at, row_max, row_mean, row_min, row_std, safe_div, zero
 from tidewater.operators.panel import Panel
 from tidewater.operators.quantiles import exact_quantiles
+from tidewater.registry import Feature, lineage
 
 SCENARIO = Panel("scenario_id", ("ID",))
 
@@ -39,21 +40,31 @@ CONTEXT_COLUMNS = (
 CONTEXT_FAMILIES = ("sc_rank_", "sc_z_", "sc_relmean_", "sc_to_max_", "sc_range_pos_")
 
 
-def with_named(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """df with columns added in one projection; earlier ones of the same name are replaced."""
-    return df.select(*[c for c in df.columns if c not in columns], *[c.alias(n) for n, c in columns.items()])
+def with_named(df: DataFrame, columns: dict[str, Column], kind: str | None = None, about: dict[str, Feature] | None = None) -> DataFrame:
+    """df with columns added in one projection; earlier ones of the same name are replaced.
+
+    kind: what all of them are; about: what each is. It goes into their metadata.
+    """
+    told = about or ({n: Feature(n, kind) for n in columns} if kind else {})
+    return df.select(*[c for c in df.columns if c not in columns], *[told[n].label(c) if n in told else c.alias(n) for n, c in columns.items()])
+
+
+def with_features(df: DataFrame, made: dict[Feature, Column]) -> DataFrame:
+    return with_named(df, {f.name: c for f, c in made.items()}, about={f.name: f for f in made})
 
 
 def add_layout(df: DataFrame, layout: DataFrame) -> DataFrame:
     """Join layouts (one row each; many rows of df to one) and derive capacities and types."""
     kind = F.col("layout_type")
-    derived = layout.select(
-        "layout_id", "pack_station_count", "robot_total",
-        safe_div(F.col("charger_count"), F.col("robot_total")).alias("charger_per_robot"),
-        safe_div(F.col("robot_total"), F.col("pack_station_count")).alias("robot_per_station"),
-        flag(kind == "hub_spoke").alias("is_hub_spoke"),
-        flag(kind == "narrow").alias("is_narrow"),
-    )
+    made = {
+        "pack_station_count": F.col("pack_station_count"),
+        "robot_total": F.col("robot_total"),
+        "charger_per_robot": safe_div(F.col("charger_count"), F.col("robot_total")),
+        "robot_per_station": safe_div(F.col("robot_total"), F.col("pack_station_count")),
+        "is_hub_spoke": flag(kind == "hub_spoke"),
+        "is_narrow": flag(kind == "narrow"),
+    }
+    derived = layout.select("layout_id", *[Feature(n, "layout").label(c) for n, c in made.items()])
     return df.join(derived, "layout_id", "left")
 
 
@@ -84,46 +95,47 @@ def add_bottleneck(df: DataFrame) -> DataFrame:
         "item_per_available_robot": safe_div(oi * items, robots),
         "trip_pressure_per_available_robot": safe_div(trip * oi, robots),
         "congestion_x_avg_trip_distance": F.col("congestion_score") * trip,
-    })
+    }, "bottleneck")
 
 
 def add_lags(df: DataFrame, panel: Panel = SCENARIO, columns: Sequence[str] = LAG_COLUMNS, lags: Iterable[int] = LAG_STEPS, diffs: Iterable[int] = DIFF_STEPS) -> DataFrame:
     lags, diffs = tuple(lags), tuple(diffs)
-    named = {f"{c}_lag{k}": panel.lag(c, k) for c in columns for k in lags}
-    return with_named(df, named | {f"{c}_diff{k}": panel.diff(c, k) for c in columns for k in diffs})
+    made = {Feature(f"{c}_lag{k}", "lag", c, k): panel.lag(c, k) for c in columns for k in lags}
+    made |= {Feature(f"{c}_diff{k}", "diff", c, k): panel.diff(c, k) for c in columns for k in diffs}
+    return with_features(df, made)
 
 
 def add_rolling(df: DataFrame, panel: Panel = SCENARIO, windows: Iterable[int] = WINDOWS, columns: Sequence[str] = ROLL_COLUMNS, interactions: bool = True) -> DataFrame:
     """mean, max and std of the rows before for each window, and what they give with the current row."""
-    named: dict[str, Column] = {}
+    made: dict[Feature, Column] = {}
     for n in windows:
-        for c in columns:
-            named |= {f"{c}_roll{n}_{how}": panel.roll(c, n, how) for how in ("mean", "max", "std")}
+        made |= {Feature(f"{c}_roll{n}_{how}", "roll", c, n, how): panel.roll(c, n, how) for c in columns for how in ("mean", "max", "std")}
         if interactions:
             cong, pack, order, opp = (panel.roll(c, n, "mean") for c in ("congestion_score", "pack_utilization", "order_inflow_15m", "order_per_pack_station"))
-            named |= {
-                f"congestion_vs_roll{n}": F.col("congestion_score") - cong,
-                f"congestion_roll{n}_x_pack": cong * F.col("pack_utilization"),
-                f"robot_shortage_x_congestion_roll{n}": F.col("robot_shortage_ratio") * cong,
-                f"pack_utilization_vs_roll{n}": F.col("pack_utilization") - pack,
-                f"order_per_pack_station_roll{n}_mean": opp,
-                f"order_per_pack_station_roll{n}_max": panel.roll("order_per_pack_station", n, "max"),
-                f"order_per_pack_station_vs_roll{n}": F.col("order_per_pack_station") - opp,
-                f"order_roll{n}_per_pack_station": safe_div(order, F.col("pack_station_count")),
+            of = lambda name, base, how, n=n: Feature(name, "roll", base, n, how)
+            made |= {
+                of(f"congestion_vs_roll{n}", "congestion_score", "vs"): F.col("congestion_score") - cong,
+                of(f"congestion_roll{n}_x_pack", "congestion_score", "product"): cong * F.col("pack_utilization"),
+                of(f"robot_shortage_x_congestion_roll{n}", "congestion_score", "product"): F.col("robot_shortage_ratio") * cong,
+                of(f"pack_utilization_vs_roll{n}", "pack_utilization", "vs"): F.col("pack_utilization") - pack,
+                of(f"order_per_pack_station_roll{n}_mean", "order_per_pack_station", "mean"): opp,
+                of(f"order_per_pack_station_roll{n}_max", "order_per_pack_station", "max"): panel.roll("order_per_pack_station", n, "max"),
+                of(f"order_per_pack_station_vs_roll{n}", "order_per_pack_station", "vs"): F.col("order_per_pack_station") - opp,
+                of(f"order_roll{n}_per_pack_station", "order_inflow_15m", "ratio"): safe_div(order, F.col("pack_station_count")),
             }
-    return with_named(df, named)
+    return with_features(df, made)
 
 
 def add_cumsum(df: DataFrame, panel: Panel = SCENARIO, columns: Sequence[str] = CUMSUM_COLUMNS) -> DataFrame:
-    return with_named(df, {f"{c}_cumsum": panel.cumulative_sum(c) for c in columns})
+    return with_features(df, {Feature(f"{c}_cumsum", "cumsum", c): panel.cumulative_sum(c) for c in columns})
 
 
 def add_decay(df: DataFrame, panel: Panel = SCENARIO, columns: Sequence[str] = DECAY_COLUMNS, decays: Sequence[float] = DECAYS) -> DataFrame:
-    return with_named(df, {f"{c}_decay{str(d).replace('.', '')}": panel.ewm(c, d) for c in columns for d in decays})
+    return with_features(df, {Feature(f"{c}_decay{str(d).replace('.', '')}", "decay", c, how=str(d)): panel.ewm(c, d) for c in columns for d in decays})
 
 
 def add_slope(df: DataFrame, panel: Panel = SCENARIO, columns: Sequence[str] = SLOPE_COLUMNS) -> DataFrame:
-    return with_named(df, {f"{c}_slope5": panel.slope(c, 5) for c in columns})
+    return with_features(df, {Feature(f"{c}_slope5", "slope", c, 5): panel.slope(c, 5) for c in columns})
 
 
 def states() -> dict[str, Column]:
@@ -139,8 +151,11 @@ def add_persistence(df: DataFrame, panel: Panel = SCENARIO) -> DataFrame:
     """Length of the current run, and counts and upward crossings in recent rows, of four states."""
     conditions = states()
     out = panel.add_runs(df, {f"{n}_run_length": c for n, c in conditions.items()})
-    out = with_named(out, {f"{n}_count_roll{w}": panel.state_count(c, w) for n, c in conditions.items() for w in STATE_WINDOWS})
-    return panel.add_crossings(out, {n: (c, {f"{n}_cross_roll{w}": w for w in STATE_WINDOWS}) for n, c in conditions.items()})
+    out = with_features(out, {Feature(f"{n}_count_roll{w}", "persistence", n, w, "count"): panel.state_count(c, w) for n, c in conditions.items() for w in STATE_WINDOWS})
+    out = panel.add_crossings(out, {n: (c, {f"{n}_cross_roll{w}": w for w in STATE_WINDOWS}) for n, c in conditions.items()})
+    told = {f"{n}_run_length": Feature(f"{n}_run_length", "persistence", n, how="run") for n in conditions}
+    told |= {f"{n}_cross_roll{w}": Feature(f"{n}_cross_roll{w}", "persistence", n, w, "crossings") for n in conditions for w in STATE_WINDOWS}
+    return out.select(*[told[c].label(F.col(c)) if c in told else c for c in out.columns])
 
 
 def add_late_pressure(df: DataFrame, slots: int = 24) -> DataFrame:
@@ -151,7 +166,7 @@ def add_late_pressure(df: DataFrame, slots: int = 24) -> DataFrame:
         "late_congestion": left * F.col("congestion_score"),
         "late_pack_pressure": left * F.col("pack_utilization"),
         "late_robot_idle": left * F.col("robot_idle"),
-    })
+    }, "late")
 
 
 def train_quantiles(df: DataFrame, wanted: dict[str, tuple[Column, float]], split: str = "split") -> DataFrame:
@@ -177,19 +192,19 @@ def add_scenario_risk(df: DataFrame, panel: Panel = SCENARIO) -> DataFrame:
         "sc_order_sum_so_far": panel.cumulative_sum("order_inflow_15m"),
         "sc_order_mean_so_far": panel.expanding("order_inflow_15m", "mean"),
         "sc_robot_shortage_mean_so_far": panel.expanding("robot_shortage_ratio", "mean"),
-    })
+    }, "scenario")
     over = {"congestion": "congestion_max", "pack": "pack_mean", "order": "order_mean", "robot_shortage": "robot_shortage_mean"}
     risk = flag(F.col("sc_backorder_max_so_far") > 0)
     for n, x in over.items():
         risk = risk + flag(F.col(f"sc_{x}_so_far") >= F.col(f"_q_{n}"))
-    counted = with_named(with_scalars(so_far, limits), {"sc_risk_count_so_far": risk}).drop(*[f"_q_{n}" for n in c])
-    return with_named(counted, {"late16_sc_risk_count": flag(F.col("timeslot") >= 16) * F.col("sc_risk_count_so_far")})
+    counted = with_named(with_scalars(so_far, limits), {"sc_risk_count_so_far": risk}, "scenario").drop(*[f"_q_{n}" for n in c])
+    return with_named(counted, {"late16_sc_risk_count": flag(F.col("timeslot") >= 16) * F.col("sc_risk_count_so_far")}, "scenario")
 
 
 def add_first4(df: DataFrame, panel: Panel = SCENARIO) -> DataFrame:
     specs = {"congestion_mean": ("congestion_score", "mean"), "pack_mean": ("pack_utilization", "mean"), "order_mean": ("order_inflow_15m", "mean"), "backorder_max": ("backorder_ratio", "max"), "robot_shortage_mean": ("robot_shortage_ratio", "mean")}
-    out = with_named(df, {f"first4_{n}": panel.first_n(c, how) for n, (c, how) in specs.items()})
-    return with_named(out, {f"first4_{n}_late16": F.col(f"first4_{n}") * flag(F.col("timeslot") >= 16) for n in specs})
+    out = with_features(df, {Feature(f"first4_{n}", "first4", c, how=how): panel.first_n(c, how) for n, (c, how) in specs.items()})
+    return with_named(out, {f"first4_{n}_late16": F.col(f"first4_{n}") * flag(F.col("timeslot") >= 16) for n in specs}, "first4")
 
 
 def add_backlog(df: DataFrame, panel: Panel = SCENARIO, split: str = "split") -> DataFrame:
@@ -220,10 +235,10 @@ def add_backlog(df: DataFrame, panel: Panel = SCENARIO, split: str = "split") ->
         "bp_congestion_pack_overload": cong * floor_at(pack_gap),
         "bp_battery_robot_overload": (get("low_battery_ratio") + scaled["charge_queue_length"]) * floor_at(robot_gap),
         "bp_backorder_pack_pressure": get("backorder_ratio") * floor_at(pack_gap),
-    }).drop(*[f"_m_{w}" for w in waits])
-    out = with_named(base, {f"{c}_{n}": x for c in FAMILY_COLUMNS for n, x in panel.cumulative_family(c).items()})
+    }, "backlog").drop(*[f"_m_{w}" for w in waits])
+    out = with_named(base, {f"{c}_{n}": x for c in FAMILY_COLUMNS for n, x in panel.cumulative_family(c).items()}, "backlog")
     pairs = {"congestion_score": "bp_congestion_order_pressure", "pack_utilization": "bp_pack_overload", "order_inflow_15m": "bp_demand_capacity_pressure", "low_battery_ratio": "bp_robot_overload"}
-    return with_named(out, {f"bp_{raw}_diff1_x_{c}_cumsum_prev": zero(panel.diff(raw)) * F.col(f"{c}_cumsum_prev") for raw, c in pairs.items() if raw in df.columns})
+    return with_named(out, {f"bp_{raw}_diff1_x_{c}_cumsum_prev": zero(panel.diff(raw)) * F.col(f"{c}_cumsum_prev") for raw, c in pairs.items() if raw in df.columns}, "backlog")
 
 
 def add_neighbour(df: DataFrame) -> DataFrame:
@@ -256,14 +271,14 @@ def add_neighbour(df: DataFrame) -> DataFrame:
         "nf_extra_pack_high_robot_high": flag(high),
         "nf_extra_battery_instab_high": flag(unrest >= F.col("_u85")),
         "nf_extra_pack_robot_battery_risk": flag(high & (unrest >= F.col("_u85"))),
-    }).drop(*limits.columns)
+    }, "neighbour").drop(*limits.columns)
 
 
 def add_scenario_rank(df: DataFrame, panel: Panel = SCENARIO, columns: Sequence[str] = RANK_COLUMNS) -> DataFrame:
     """Each value's rank and place within its whole scenario; absent columns are skipped."""
     there = [c for c in columns if c in df.columns]
-    named = {f"sc_rank_{c}": panel.rank_pct(c) for c in there}
-    return with_named(df, named | {f"sc_{n}_{c}": x for c in there for n, x in panel.relative(c).items()})
+    made = {Feature(f"sc_rank_{c}", "rank", c, how="rank"): panel.rank_pct(c) for c in there}
+    return with_features(df, made | {Feature(f"sc_{n}_{c}", "rank", c, how=n): x for c in there for n, x in panel.relative(c).items()})
 
 
 def add_prediction_context(df: DataFrame, prediction: str, panel: Panel = SCENARIO) -> DataFrame:
@@ -277,30 +292,32 @@ def add_prediction_context(df: DataFrame, prediction: str, panel: Panel = SCENAR
         "sc_pred_p75": panel.quantile(prediction, 0.75),
         "sc_pred_p90": panel.quantile(prediction, 0.9),
         "sc_pred_max": F.max(prediction).over(panel.group),
-    })
+    }, "prediction")
     return with_named(out, {
         "sc_pred_to_p90": p / (F.abs("sc_pred_p90") + EPSILON),
         "sc_pred_to_p75": p / (F.abs("sc_pred_p75") + EPSILON),
         "sc_pred_rank_x_pred": F.col("sc_pred_rank") * p,
-    })
+    }, "prediction")
 
 
 def context_columns(df: DataFrame, prediction: str) -> list[str]:
     """The columns of df that change within a scenario and get rolling context: up to 99 with all ranks."""
-    families = [c for c in df.columns if c.startswith(CONTEXT_FAMILIES) and "ctxroll" not in c]
+    known = lineage(df)
+    families = [c for c in df.columns if c.startswith(CONTEXT_FAMILIES) and not (c in known and known[c].kind == "context")]
     return [c for c in dict.fromkeys([prediction, *CONTEXT_COLUMNS, *families]) if c in df.columns]
 
 
 def add_context_rolling(df: DataFrame, columns: Sequence[str], panel: Panel = SCENARIO, windows: Sequence[int] = CONTEXT_WINDOWS, layer: int = 200) -> DataFrame:
     """Rolling statistics of many columns, in layers of so many expressions that plans stay readable."""
-    named: dict[str, Column] = {}
+    made: dict[Feature, Column] = {}
     for c in columns:
         for n in windows:
             found = panel.context(c, n)
-            named |= {f"{c}_ctxroll{n}_{k}": found[k] for k in ("mean", "max", "std")} | {f"{c}_vs_ctxroll{n}_mean": found["vs_mean"]}
-    items = list(named.items())
+            made |= {Feature(f"{c}_ctxroll{n}_{k}", "context", c, n, k): found[k] for k in ("mean", "max", "std")}
+            made[Feature(f"{c}_vs_ctxroll{n}_mean", "context", c, n, "vs")] = found["vs_mean"]
+    items = list(made.items())
     for at in range(0, len(items), layer):
-        df = with_named(df, dict(items[at : at + layer]))
+        df = with_features(df, dict(items[at : at + layer]))
     return df
 
 
@@ -318,13 +335,14 @@ def add_layout_encoding(df: DataFrame, column: str = "layout_type", split: str =
     categories = sorted(r[0] for r in named.select(column).distinct().take(most + 1))  # columns are made of them
     if len(categories) > most:
         raise ValueError(f"{column} has more than {most} categories")
-    out = named.join(shares, column, "left").withColumn(f"{column}_freq", zero(F.col(f"{column}_freq")))
+    placed = named.join(shares, column, "left")
+    out = with_named(placed, {f"{column}_freq": zero(F.col(f"{column}_freq"))}, "category")
     safe: dict[str, str] = {}
     for c in categories:
         name = "".join(x if x.isalnum() else "_" for x in c.lower())
         same = sum(s == name or s.startswith(f"{name}__") for s in safe.values())
         safe[c] = f"{name}__{same + 1}" if same else name
-    return with_named(out, {f"{column}_oh_{safe[c]}": (F.col(column) == c).cast("byte") for c in categories})
+    return with_named(out, {f"{column}_oh_{safe[c]}": (F.col(column) == c).cast("byte") for c in categories}, "category")
 
 
 # Edges of the delay bins.

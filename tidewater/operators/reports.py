@@ -110,8 +110,9 @@ def class_rates(df: DataFrame, column: str, classes: int) -> DataFrame:
 
 
 def importance(df: DataFrame) -> DataFrame:
-    """Mean importance of each feature over folds, largest first."""
-    return df.groupBy("feature").agg(F.avg("importance").alias("importance"), F.count(F.lit(1)).alias("n_folds")).orderBy(F.desc("importance"), "feature")
+    """Mean importance (and splits, where df counts them) of each feature over folds, largest first."""
+    counted = [F.avg("splits").alias("splits")] if "splits" in df.columns else []
+    return df.groupBy("feature").agg(F.avg("importance").alias("importance"), *counted, F.count(F.lit(1)).alias("n_folds")).orderBy(F.desc("importance"), "feature")
 
 
 def by_score(df: DataFrame, label: str, score: str) -> DataFrame:
