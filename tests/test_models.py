@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidewater import registry
 from tidewater.ml import evaluate, models
 from tidewater.operators import features
 from tidewater.pipeline import Settings, TARGET, context_features, run
@@ -64,10 +65,20 @@ def test_pipeline_end_to_end(spark, tmp_path):
         schema = "ID string, scenario_id string, layout_id int, " + ", ".join(f"{n} double" for n in names) + (f", {TARGET} double" if part == "train" else "")
         spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/train.parquet" if part == "train" else f"{tmp_path}/test.parquet")
     spark.createDataFrame([(i, ("hub_spoke", "narrow", "grid")[i], 5.0 + i, 20.0, 4.0) for i in range(3)], "layout_id int, layout_type string, pack_station_count double, robot_total double, charger_count double").write.parquet(f"{tmp_path}/layout_info.parquet")
-    s = Settings(f"{tmp_path}/out", windows=(3,), lags=(1,), folds=2, trees=models.Trees(rounds=2, depth=2), context=False)
+    s = Settings(f"{tmp_path}/out", windows=(3,), lags=(1,), folds=2, trees=models.Trees(rounds=2, depth=2, patience=1, group="scenario_id"), bin_trees=models.Trees(rounds=1, depth=1), bins=("stable",), last_rounds=2, context=True, context_windows=(4,), top=40)
     got = run(spark, str(tmp_path), s)
     assert got.count() == 40 and got.filter(F.col(TARGET) < 0).count() == 0 and got.columns == ["ID", TARGET]
-    assert spark.read.parquet(f"{tmp_path}/out/bin_report").count() == 5
+    out = lambda name: spark.read.parquet(f"{tmp_path}/out/{name}")
+    assert out("bin_report").count() == 5
+    kinds = {f.kind for f in registry.lineage(out("context")).values()}
+    assert kinds == {"lag", "diff", "roll", "bottleneck", "layout", "late", "scenario", "first4", "persistence", "neighbour", "probability", "backlog", "rank", "prediction", "context", "category"}
+    wide = registry.Registry.of(out("context"), without=(TARGET, "fold"))
+    assert wide.windows() == [3] and sum(f.kind == "context" for f in wide.features.values()) > 150
+    assert {r.fold for r in out("context_model_rounds").collect()} == {0, 1} and out("context_model_rounds").filter("best_iteration BETWEEN 1 AND 2").count() == 2
+    final = out("final")
+    assert final.filter("stacked IS NULL OR weighted IS NULL").count() == 0 and final.count() == 120
+    assert {r.model_name for r in out("summary").collect()} == {"best", "lgbm", "xgb", "cat", "weighted", "averaged", "stacked"}
+    assert out("low").filter("delay_stable_prob_bin_0_10 > 0").count() > 0 and out("low").filter("delay_stable_prob_expected_bin_mid IS NULL").count() == 0
 
 
 def test_context_covers_all_columns_that_change_within_a_scenario(spark):
@@ -97,18 +108,6 @@ def test_dual_validation_writes_all_reports(spark, data, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/bin_report").count() == 20 and spark.read.parquet(f"{tmp_path}/fold_report").count() == 4
 
 
-def test_window_search_remembers(spark, tmp_path):
-    r = np.random.default_rng(2)
-    names = ("order_inflow_15m", "battery_mean", "congestion_score", "pack_utilization", "backorder_ratio", "low_battery_ratio", "robot_utilization", "robot_charging", "robot_shortage_ratio", "order_per_pack_station", "pack_station_count")
-    rows = [(i, f"s{i // 12}", i % 12, float(r.exponential(20)), *map(float, r.uniform(0, 1, len(names)))) for i in range(120)]
-    panel = spark.createDataFrame(rows, "ID int, scenario_id string, timeslot int, y double, " + ", ".join(f"{n} double" for n in names))
-    path = f"{tmp_path}/history"
-    best = evaluate.window_search(panel, "y", (2, 3), (1,), 3, path, models.Trees(rounds=1, depth=1))
-    assert spark.read.parquet(path).count() == 3 and set(best[1]) <= {2, 3}
-    assert evaluate.window_search(panel, "y", (2, 3), (1,), 3, path, models.Trees(rounds=1, depth=1)) == best
-    assert spark.read.parquet(path).count() == 3
-
-
 def test_class_probabilities_out_of_fold_are_means_of_arrays(spark):
     rows = [(i, i % 3, float(i % 4), float(i % 7), None if i == 5 else i % 4) for i in range(120)]
     df = spark.createDataFrame(rows, "ID long, fold int, a double, b double, y int")

@@ -32,10 +32,6 @@ def floor_at(c: Column, low: float = 0.0) -> Column:
     return F.when(c.isNotNull(), F.greatest(c, F.lit(low)))
 
 
-def clip(c: Column, low: float, high: float) -> Column:
-    return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(low)), F.lit(high)))
-
-
 def flag(condition: Column) -> Column:
     """1 where the condition holds, else 0, also where it is null."""
     return F.coalesce(condition, F.lit(False)).cast("int")

@@ -73,11 +73,15 @@ def specialist(base: Column, high: Column, low: Column, p50: Column, p100: Colum
 
 
 def risk_variants(df: DataFrame, prediction: str, risk: str, factors: Iterable[float] = RISK_FACTORS, split: str | None = None) -> DataFrame:
-    """A row for each factor: the prediction raised by factor times the risk, as a share of the largest (1 at least)."""
+    """A row for each factor: the prediction raised by factor times the risk, as a share of the largest (1 at least).
+
+    A missing risk counts 0, a missing prediction stays missing, and rows without a split are a split of their own.
+    """
     r = F.coalesce(F.col(risk).cast("double"), F.lit(0.0))
     keys = [split] if split else []
     most = df.groupBy(*keys).agg(F.greatest(F.max(r), F.lit(1.0)).alias("_max"))
-    both = df.join(F.broadcast(most), split) if split else df.crossJoin(F.broadcast(most))  # a row for each split
+    most = most.withColumnRenamed(split, "_split") if split else most
+    both = df.join(F.broadcast(most), F.col(split).eqNullSafe(F.col("_split")), "left").drop("_split") if split else df.crossJoin(F.broadcast(most))  # a row for each split
     each = both.withColumn("factor", F.explode(F.array(*[F.lit(float(f)) for f in factors])))
     return each.withColumn("adjusted", floor_at(F.col(prediction) * (1 + F.col("factor") * r / F.col("_max")))).drop("_max")
 
@@ -102,21 +106,22 @@ def wide_grid(long: DataFrame, validation: str, names: tuple[str, ...], value: s
 def specialist_grid(df: DataFrame, columns: dict[str, str], validation: str, grid: dict[str, tuple[float, ...]] | None = None) -> DataFrame:
     """mae of every combination of the grid for each validation.
 
-    columns: names for base, high, low, p50, p100, p_low and target. Each Arrow batch becomes sums of errors for all
-    combinations, so that no row is multiplied; the sums of all batches are then added up.
+    columns: names for base, high, low, p50, p100, p_low and target. A missing specialist counts as the base and a
+    missing probability as 0; rows without a base or a target have no error and aren't counted, as in an average of
+    SQL; a missing validation is one of its own. Each Arrow batch becomes sums of errors for all combinations, so that
+    no row is multiplied; the sums of all batches are then added up.
     """
     grid = grid or SPECIALIST_GRID
     names, combos = list(grid), np.array(list(product(*grid.values())))
     g = {n: combos[:, i] for i, n in enumerate(names)}
-    wanted = [validation, *(columns[k] for k in ("base", "high", "low", "p50", "p100", "p_low", "target"))]
     schema = "validation string, combo int, total double, n long"
 
     def run(source):
         for batch in source:
             valid = np.array(batch.column(0).to_pylist(), object)
             base, high, low, p50, p100, p_low, y = (batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(1, 8))
-            for v in sorted(set(valid.tolist())):
-                rows = np.flatnonzero(valid == v)
+            for v in dict.fromkeys(valid.tolist()):
+                rows = np.array([i for i, x in enumerate(valid) if x == v])
                 total = np.zeros(len(combos))
                 for at in range(0, len(rows), 512):
                     i = rows[at : at + 512, None]
@@ -126,7 +131,10 @@ def specialist_grid(df: DataFrame, columns: dict[str, str], validation: str, gri
                     total += np.abs(pred - y[i]).sum(axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array([v] * len(combos), pa.string()), pa.array(np.arange(len(combos), dtype=np.int32)), pa.array(total), pa.array([len(rows)] * len(combos), pa.int64())], ["validation", "combo", "total", "n"])
 
-    ready = df.select(*wanted).dropna()
+    c = {k: F.col(n).cast("double") for k, n in columns.items()}
+    known = df.filter(c["base"].isNotNull() & c["target"].isNotNull())
+    whole = {k: F.coalesce(c[k], c["base"]) for k in ("high", "low")} | {k: F.coalesce(c[k], F.lit(0.0)) for k in ("p50", "p100", "p_low")}
+    ready = known.select(F.col(validation).cast("string").alias("_v"), *[(whole | c if k in ("base", "target") else whole)[k].alias(f"_{k}") for k in ("base", "high", "low", "p50", "p100", "p_low", "target")])
     sums = ready.mapInArrow(run, schema).groupBy("validation", "combo").agg((F.sum("total") / F.sum("n")).alias("mae"))
     values = F.array(*[F.array(*[F.lit(float(x)) for x in v]) for v in grid.values()])
     out, stride = sums, len(combos)
@@ -164,11 +172,6 @@ def mean_of(*predictions: Column) -> Column:
     return sum(predictions[1:], predictions[0]) / len(predictions)
 
 
-def fold_mean(df: DataFrame, key: str, prediction: str) -> DataFrame:
-    """Mean over folds of each row's prediction, each not below 0 before."""
-    return df.groupBy(key).agg(F.avg(floor_at(F.col(prediction))).alias(prediction))
-
-
 def assemble(template: DataFrame, predictions: dict[str, DataFrame], key: str = "ID", value: str = "pred") -> DataFrame:
     """The template's rows with a column for each model's prediction, by key."""
     out = template

@@ -25,6 +25,7 @@ DECAYS = (0.7, 0.85, 0.95)
 SLOPE_COLUMNS = ("congestion_score", "pack_utilization", "order_inflow_15m", "backorder_ratio")
 STATE_WINDOWS = (5, 10, 15, 24)
 CONTEXT_WINDOWS = (19, 20, 25)
+NEIGHBOUR_WINDOWS = (13, 20, 21)
 RANK_COLUMNS = (
     "order_inflow_15m", "unique_sku_15m", "urgent_order_ratio", "robot_idle", "robot_utilization", "robot_charging", "battery_mean", "low_battery_ratio",
     "charge_queue_length", "avg_charge_wait", "congestion_score", "blocked_path_15m", "near_collision_15m", "pack_utilization", "loading_dock_util", "outbound_truck_wait_min",
@@ -241,10 +242,19 @@ def add_backlog(df: DataFrame, panel: Panel = SCENARIO, split: str = "split") ->
     return with_named(out, {f"bp_{raw}_diff1_x_{c}_cumsum_prev": zero(panel.diff(raw)) * F.col(f"{c}_cumsum_prev") for raw, c in pairs.items() if raw in df.columns}, "backlog")
 
 
+def neighbour_inputs() -> list[str]:
+    """The rolls that add_neighbour reads."""
+    rolls = [f"{c}{n}{end}" for c, end in (("pack_utilization_roll", "_mean"), ("robot_shortage_x_congestion_roll", "")) for n in NEIGHBOUR_WINDOWS]
+    return [*rolls, "pack_utilization_roll13_std", "battery_mean_roll21_mean", "battery_mean_roll21_std"]
+
+
 def add_neighbour(df: DataFrame) -> DataFrame:
-    """How long windows agree with each other, and joint flags against quantiles of the training rows."""
-    p = [F.col(f"pack_utilization_roll{n}_mean") for n in (13, 20, 21)]
-    r = [F.col(f"robot_shortage_x_congestion_roll{n}") for n in (13, 20, 21)]
+    """How long windows agree with each other, and joint flags against quantiles of the training rows.
+
+    df is read once for the quantiles and once for the features: pass a written table, so that its rolls aren't computed twice.
+    """
+    p = [F.col(f"pack_utilization_roll{n}_mean") for n in NEIGHBOUR_WINDOWS]
+    r = [F.col(f"robot_shortage_x_congestion_roll{n}") for n in NEIGHBOUR_WINDOWS]
     p13_std, b, b_std = F.col("pack_utilization_roll13_std"), F.col("battery_mean_roll21_mean"), F.col("battery_mean_roll21_std")
     unrest = b_std / (F.abs(b) + EPSILON)
     limits = train_quantiles(df, {
@@ -378,6 +388,12 @@ def bin_probability_features(probabilities: Column, edges: Sequence[float] = WID
     }
 
 
+def bin_features(probabilities: Column, edges: Sequence[float], name: str) -> dict[str, Column]:
+    """The probability of each bin, and what bin_probability_features makes of them; missing probabilities count as 0."""
+    each = {f"{name}_{label}": zero(F.get(probabilities, F.lit(i))) for i, label in enumerate(bin_labels(edges))}
+    return each | {f"{name}_{n}": zero(c) for n, c in bin_probability_features(probabilities, edges).items()}
+
+
 def low_probability_features(p: Column, name: str = "lt1_clf_prob") -> dict[str, Column]:
     p = zero(p)
     return {f"{name}_oof": p, f"{name}_sq": p * p} | {f"{name}_ge_{str(q).replace('.', 'p')}": flag(p >= q) for q in (0.8, 0.9, 0.95)}

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tidewater.functions.nulls import clean, flag, row_mean, row_std, safe_div
 from tidewater.operators import blend, features, fill, hygiene, reports, split, validate
 from tidewater.operators.features import SCENARIO as P
+from tidewater.sources.shared import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -120,7 +121,7 @@ _ROLL_SQL = ", ".join(f"{_AGG[h]}({c}) {past(n)} AS {c}_roll{n}_{h}" for c in ("
 
 @query(sql(pick(_ROLLS), f"f AS (SELECT ID, {_ROLL_SQL} FROM d)"))
 def panel_roll_stats(spark, sf):
-    return rounded(features.add_rolling(features.add_bottleneck(panel(spark, sf))), ["ID"], _ROLLS)
+    return rounded(features.add_rolling(features.add_bottleneck(panel(spark, sf)), windows=(2, 19)), ["ID"], _ROLLS)
 
 
 _INTER = ["congestion_vs_roll19", "congestion_roll19_x_pack", "robot_shortage_x_congestion_roll19", "pack_utilization_vs_roll19", "order_per_pack_station_roll19_mean", "order_per_pack_station_roll19_max", "order_per_pack_station_vs_roll19", "order_roll19_per_pack_station"]
@@ -362,8 +363,8 @@ _NF = {
 
 @query(sql(pick(list(_NF)), _BOTTLE, _NFW, _NF1, _NF2, "f AS (SELECT ID, " + ", ".join(f"{e} AS {n}" for n, e in _NF.items()) + " FROM n2)"))
 def neighbour_features(spark, sf):
-    df = features.add_rolling(features.add_bottleneck(panel(spark, sf)), windows=(13, 20, 21))
-    made = features.add_neighbour(df)
+    df = features.add_rolling(features.add_bottleneck(panel(spark, sf)), windows=features.NEIGHBOUR_WINDOWS)
+    made = features.add_neighbour(written(df.select("ID", "split", *features.neighbour_inputs()), "rolls"))  # thresholds and features read one table
     return rounded(made.withColumn("nf_pack_persistent_pressure", F.round("nf_pack_persistent_pressure", 2)), ["ID"], list(_NF))  # windows of equal means give large ratios
 
 
@@ -573,9 +574,15 @@ def specialist_grid_small(spark, sf):
     return got.select("validation", "high_base", "high50_coef", "low_coef", F.round("mae", 6).alias("mae"))
 
 
-@query()
+@query(sql(
+    "SELECT * FROM (SELECT hb AS high_base, h50 AS high50_coef, h100 AS high100_coef, mh AS max_high, lc AS low_coef, ml AS max_low, round(avg(e) FILTER (v = 'groupkfold'), 6) AS groupkfold_mae, round(avg(e) FILTER (v = 'holdout'), 6) AS holdout_mae "
+    "FROM (SELECT v, hb, h50, h100, mh, lc, ml, abs(target - greatest(base + hw * (high - base) + lw * (low - base), 0)) AS e FROM w, (SELECT unnest([0e0, 0.05e0, 0.1e0, 0.2e0, 0.3e0]) AS lc), (SELECT unnest([0.1e0, 0.2e0, 0.3e0]) AS ml), LATERAL (SELECT least(greatest(lc * pl, 0), ml) AS lw)) "
+    "GROUP BY hb, h50, h100, mh, lc, ml) ORDER BY groupkfold_mae, holdout_mae, high_base, high50_coef, high100_coef, max_high, low_coef, max_low LIMIT 20",
+    _PRED, _SP, "w AS (SELECT v, target, base, high, low, pl, hb, h50, h100, mh, least(greatest(hb + h50 * p50 + h100 * p100, 0), mh) AS hw FROM x, (SELECT unnest([0e0, 0.025e0, 0.05e0, 0.075e0]) AS hb), (SELECT unnest([0e0, 0.05e0, 0.1e0, 0.2e0, 0.3e0]) AS h50), (SELECT unnest([0e0, 0.1e0, 0.2e0, 0.4e0, 0.6e0]) AS h100), (SELECT unnest([0.15e0, 0.25e0, 0.35e0, 0.45e0]) AS mh))",
+))
 def specialist_grid_topk(spark, sf):
-    got = blend.specialist_grid(specialists(spark, sf), _NAMES, "validation")
+    """The 20 best of all 6,000 combinations; errors are rounded before they are ranked, so that ties are told apart by the combination."""
+    got = blend.specialist_grid(specialists(spark, sf), _NAMES, "validation").withColumn("mae", F.round("mae", 6))
     wide = blend.wide_grid(got, "validation", ("groupkfold", "holdout"))
     return blend.top(wide, 20, F.asc_nulls_last("groupkfold_mae"), F.asc_nulls_last("holdout_mae"), *blend.SPECIALIST_GRID)
 
