@@ -24,7 +24,7 @@ SMALL, CELL = 16, 2048
 #: Rounds in which texts of a large bucket are held against its largest group before all of its pairs are.
 STRAY_ROUNDS = 1
 #: A shingle in so many texts of a batch is reported; so many reported ones at most are put last. Neither changes the links.
-SEEN, COMMON = 2, 1 << 20
+SEEN, COMMON = 2, 1 << 18
 #: Places of the filter by which the texts of candidates are picked out before they are shuffled.
 FILTER_BITS = 24
 
