@@ -14,15 +14,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from tidewater.llm.common import materialize, release, tune
+from tidewater.llm.common import discard, materialize, release, tune
 
 ORDER = 4
 #: Weight of the lower order in each order's estimate, in tokens.
 WEIGHT = 4.0
-#: Code points that are turned into n-grams at a time, and about so many that a pack holds.
+#: Code points that are turned into n-grams at a time, and so many at most that a pack of several texts holds.
 BLOCK, PACK = 1 << 21, 1 << 25
 #: Bits of a symbol: a code point plus 1; symbol 0 stands before a text's start.
 SYMBOL = 21
@@ -143,8 +146,35 @@ def asked(rows: DataFrame) -> DataFrame:
     return rows.select("pack", "text", "target").mapInArrow(run, "pack long, context long, symbol long, c_t long, c_b long")
 
 
+def in_packs(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """rows (doc_id, text, target) with pack: rows that follow each other in a task, of at most so many code points together, or one row.
+
+    A row counts 16 code points more than its text has, so that empty texts don't fill a pack without end. Packs follow
+    from the order in which a task meets its rows: write the result, and read packs from there.
+    """
+    most = most or PACK
+
+    def run(source):
+        pack, filled = TaskContext.get().partitionId() << 33, 0
+        for batch in source:
+            packs = []
+            for n in pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_pylist():
+                if filled and filled + n + 16 > most:
+                    pack, filled = pack + 1, 0
+                filled += n + 16
+                packs.append(pack)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packs, pa.int64())], [*batch.schema.names, "pack"])
+        release()
+
+    some = rows.select("doc_id", "text", "target")
+    return some.mapInArrow(run, StructType([*some.schema.fields, StructField("pack", LongType())]))
+
+
 def losses(counts: DataFrame) -> DataFrame:
-    """context, symbol, loss_t, loss_b of every n-gram: each order's estimate leans on the next lower one's, down to the uniform."""
+    """context, symbol, loss_t, loss_b of every n-gram: each order's estimate leans on the next lower one's, down to the uniform.
+
+    counts: context, symbol, c_t and c_b of every n-gram of the highest order, each once; a written table, as each order reads it. An empty one gives none.
+    """
     def short(order: int) -> Column:
         return F.col("context").bitwiseAND(F.lit((1 << (SYMBOL * (order - 1))) - 1))
 
@@ -191,13 +221,11 @@ def score_documents(docs: DataFrame, target: Column) -> DataFrame:
     columns are ignored; an empty table gives none.
     """
     tune(docs.sparkSession)
-    rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.coalesce(target, F.lit(False)).alias("target")), "rows")
-    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    each = max(1, n * PACK // max(size, 1))  # rows of a pack; the upper bits of a row's number are the written part it is in
-    within = F.floor(F.col("row").bitwiseAND(F.lit((1 << 33) - 1)) / each).cast("long")
-    packed = rows.withColumn("pack", F.shiftleft(F.shiftright("row", 33), 33) + within)
+    packed = materialize(in_packs(docs.select("doc_id", "text", F.coalesce(target, F.lit(False)).alias("target"))), "rows")
     held = materialize(asked(packed), "ngrams")
-    found = materialize(losses(held.groupBy("context", "symbol").agg(F.sum("c_t").alias("c_t"), F.sum("c_b").alias("c_b"))), "losses")
+    totals = materialize(held.groupBy("context", "symbol").agg(F.sum("c_t").alias("c_t"), F.sum("c_b").alias("c_b")), "totals")
+    found = materialize(losses(totals), "losses")
+    discard(totals)
     answers = held.select("pack", "context", "symbol").join(found, ["context", "symbol"])
     texts = packed.select("pack", "doc_id", "text").groupBy("pack")
     sums = texts.cogroup(answers.groupBy("pack")).applyInArrow(score_pack, "doc_id long, n long, s_t double, s_b double")
