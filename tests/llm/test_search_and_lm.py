@@ -77,6 +77,30 @@ def test_probing_finds_every_code_within_the_radius():
             assert index.within(q, radius).tolist() == np.flatnonzero(d <= radius).tolist()
 
 
+def test_probes_of_small_radii_look_up_few_rows():
+    r = np.random.default_rng(5)
+    centres = r.integers(0, 256, (60, multi_index.BITS // 8)).astype(np.uint8)
+    flips = np.packbits(r.random((6000, multi_index.BITS)) < 0.03, axis=1)
+    codes = centres[np.arange(6000) % 60] ^ flips
+    index = multi_index.Index(codes)
+    for q in codes[:40]:
+        d = np.bitwise_count(codes.view(np.uint64) ^ q.view(np.uint64)).sum(1)
+        assert index.within(q, 31).tolist() == np.flatnonzero(d <= 31).tolist() and (d <= 31).sum() > 90
+    assert index.looked < 0.1 * 40 * 6000
+
+
+def test_packs_hold_a_bounded_number_of_code_points(spark):
+    texts = [""] * 300 + [None] + ["ab " * k for k in range(1, 150)] + ["x" * 5000]  # in order of length
+    df = spark.createDataFrame([(i, t, i % 3 == 0) for i, t in enumerate(texts)], "doc_id long, text string, target boolean").coalesce(2)
+    got = lm_score.in_packs(df, 1000).collect()
+    assert len(got) == len(texts)
+    sizes = {}
+    for r in got:
+        n, rows = sizes.get(r.pack, (0, 0))
+        sizes[r.pack] = n + len(r.text or "") + 16, rows + 1
+    assert all(n <= 1000 or rows == 1 for n, rows in sizes.values()) and 5 < len(sizes) < 120
+
+
 def test_copies_tie_exactly_and_repeated_ids_count_once(spark, monkeypatch):
     monkeypatch.setattr(multi_index, "CANDIDATE_BLOCK", 40)
     monkeypatch.setattr(multi_index, "QUERY_BLOCK", 2)

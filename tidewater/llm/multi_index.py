@@ -98,21 +98,46 @@ def probe_distances(radius: int) -> np.ndarray:
     return np.array([each - 1 + (p < more) for p in range(PARTS)])
 
 
+#: All differences of a substring, those of fewer bits first, and how many have up to so many bits.
+MASKS = np.arange(1 << 16, dtype=np.uint32)[np.argsort(np.bitwise_count(np.arange(1 << 16, dtype=np.uint32)), kind="stable")].astype(np.uint16)
+UP_TO = np.cumsum(np.bincount(np.bitwise_count(MASKS), minlength=17))
+
+
 class Index:
-    """Substring indexes of a block of codes: the rows that differ little from a value in a substring."""
+    """Tables of a block of codes, one for each substring: rows by the substring's value.
+
+    A probe looks up every value within its distance. There are as many values as the distance has masks; where they
+    outnumber the rows of the block, which happens at wide radii, all rows' values are compared instead, which gives the
+    same rows. looked counts the rows that probes have given.
+    """
 
     def __init__(self, codes: np.ndarray):
         self.words = np.ascontiguousarray(codes.view(np.uint64).T)
         self.parts = np.ascontiguousarray(codes.view(np.uint16).T)
+        self.order = np.argsort(self.parts, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(self.parts, self.order, axis=1)
+        self.looked = 0
+
+    def probe(self, part: int, value: int, most: int) -> np.ndarray:
+        """Rows whose substring differs from value in at most so many bits."""
+        if UP_TO[most] > self.parts.shape[1] // 4:
+            return np.flatnonzero(np.bitwise_count(self.parts[part] ^ value) <= most)
+        wanted = MASKS[: UP_TO[most]] ^ value
+        low, high = (np.searchsorted(self.sorted[part], wanted, side=s) for s in ("left", "right"))
+        hit = high > low
+        low, size = low[hit], (high - low)[hit]
+        within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        return self.order[part][np.repeat(low, size) + within]
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Every row within the radius, ascending."""
         n = self.parts.shape[1]
         marked = np.zeros(n, bool)
-        for part, value, most in zip(self.parts, code.view(np.uint16), probe_distances(radius)):
+        for part, (value, most) in enumerate(zip(code.view(np.uint16), probe_distances(radius).tolist())):
             if most >= 0:
-                marked |= np.bitwise_count(part ^ value) <= most
+                marked[self.probe(part, value, most)] = True
         rows = np.flatnonzero(marked)
+        self.looked += len(rows)
         d = np.zeros(len(rows), np.uint16)
         for word, value in zip(self.words, code.view(np.uint64)):
             d += np.bitwise_count(word[rows] ^ value)
