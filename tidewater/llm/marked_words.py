@@ -14,6 +14,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tidewater.llm.common import release, tune
@@ -79,7 +80,7 @@ def coder(model: str) -> MarkedWords:
 
 def slices(texts: pa.Array, most: int = 4 << 20):
     """Ranges of rows whose texts have at most so many bytes together, or one row each."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
     for i, n in enumerate(sizes.tolist()):
         if i > start and total + n > most:

@@ -14,6 +14,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tidewater.llm.common import release, tune
@@ -262,7 +263,7 @@ def runs_of(docs: DataFrame, reorder: Reorder | None = None) -> DataFrame:
     def run(source):
         for batch in source:
             keys, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            lengths = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+            lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
             a, total = 0, 0
             for i, n in enumerate(lengths.tolist()):
                 if i > a and total + n > 1 << 20:
