@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 
 from tests.llm import fixtures
 from tidewater.llm import winnowing as w
@@ -63,6 +64,29 @@ def test_few_rows_nulls_and_repeats(spark):
     assert w.compare_with_edits(fixtures.empty(spark)).count() == 0
 
 
+def test_an_id_with_a_third_of_all_rows_is_cut_into_stretches(spark):
+    rows = [(i, f"text {i} " * 4) for i in range(200)] + [(77, f"copy {i} of a hot one " * 3) for i in range(150)] + [(None, f"no id {i} " * 5) for i in range(60)] + [(77, "same")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    marked = w.stretcher(docs, 12)(docs)
+    hot = {r.stretch: r["count"] for r in marked.filter("doc_id = 77").groupBy("stretch").count().collect()}
+    none = {r.stretch: r["count"] for r in marked.filter("doc_id is null").groupBy("stretch").count().collect()}
+    assert len(hot) >= 3 and max(hot.values()) < 90 and len(none) >= 2
+    h = lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) ^ 1 << 63) - (1 << 63)
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), h(r[1])))
+    want = []
+    for i, (doc, text) in enumerate(order):
+        following = order[(i + 1) % len(order)][1]
+        new = text[: len(text) - len(text) // 2] + following[: len(text) // 2]
+        want.append((str(doc), hashlib.sha256(new.encode()).hexdigest()))
+    assert sorted((str(r.doc_id), r.edited_sha256) for r in w.compare_with_edits(docs, 12).collect()) == sorted(want)
+
+
+def test_positions_of_the_comparison_are_those_of_the_marks(spark):
+    docs = fixtures.frame(spark)
+    marks = {r.doc_id: r.positions for r in w.fingerprint_documents(docs).collect()}
+    assert {r.doc_id: r.positions for r in w.compare_with_edits(docs, 4).collect()} == marks
+
+
 def test_positions_are_kept(spark):
     for r in w.fingerprint_documents(fixtures.frame(spark)).collect():
         assert len(r.hashes) == len(r.positions) and r.positions == sorted(r.positions)

@@ -8,6 +8,8 @@ shorter than k makes one. Positions are kept with the marks.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -86,7 +88,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, hashes array<long>, positions array<long>")
 
 
-COMPARED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_marks long"
+COMPARED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_marks long, positions array<int>"
 
 
 def edited(text: str, following: str) -> str:
@@ -99,14 +101,14 @@ def _compare(source):
     out: list[tuple] = []
     waiting = stretch = None
 
-    def done(doc, text, own, following, after):
+    def done(doc, text, own, places, following, after):
         new = edited(text, following)
         marks = np.unique(winnow(code_points(new))[0])
-        return doc, len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), signature(own), signature(marks), likeness(own, marks), likeness(own, after), len(own)
+        return doc, len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), signature(own), signature(marks), likeness(own, marks), likeness(own, after), len(own), places
 
     def flush():
-        columns = list(zip(*out)) or [()] * 8
-        types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64())
+        columns = list(zip(*out)) or [()] * 9
+        types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.int32()))
         names = [c.split()[0] for c in COMPARED.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names)
 
@@ -119,43 +121,63 @@ def _compare(source):
                 elif waiting is None:
                     continue  # the stretch is complete: rows of the next one that share the id of its first
                 text = text or ""
-                own = np.unique(winnow(code_points(text))[0])
+                hashes, places = winnow(code_points(text))
+                own = np.unique(hashes)
                 if waiting is not None:
                     out.append(done(*waiting, text, own))
-                waiting = None if ahead else (doc, text, own)
+                waiting = None if ahead else (doc, text, own, places.astype(np.int32))
             yield flush()
             out = []
 
 
+def stretcher(docs: DataFrame, n: int) -> Callable[[DataFrame], DataFrame]:
+    """A function that adds _h (the hash of a text) and stretch, a struct that falls in the order of rows; there are about n of them."""
+    found, rows, null = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 20 * n), F.count(F.lit(1)), F.count_if(F.col("doc_id").isNull())).first()
+    bounds = [-float("inf"), *sorted({float(x) + 0.5 for x in found or []} or {0.5}), float("inf")]
+    cut = Bucketizer(splits=bounds, inputCol="_id", outputCol="_b", handleInvalid="keep")
+    # pieces of an id: stretches fall as ids do and, within an id, as the hash rises
+    hot = {x: k for x, k in Counter(found or []).items() if k > 1}
+    pieces = F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for x, k in hot.items() for v in (x, k)]), F.col("doc_id")), F.lit(1)) if hot else F.lit(1)
+    pieces = F.when(F.col("doc_id").isNull(), F.lit(1 + n * null // max(rows, 1))).otherwise(pieces)
+    unit = F.shiftrightunsigned(F.col("_h").bitwiseXOR(F.lit(-(1 << 63))), 11) / float(1 << 53)
+
+    def with_stretch(df):
+        placed = cut.transform(df.withColumn("_id", F.col("doc_id").cast("double")).withColumn("_h", F.xxhash64("text")))
+        major = F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("_b").cast("int"))
+        minor = F.least(F.floor(unit * pieces), pieces - 1)
+        # a hot id shares its bucket with lower ids, which come behind all of its pieces
+        return placed.withColumn("stretch", F.struct(major.alias("b"), F.when(pieces > 1, F.lit(1)).otherwise(0).alias("hot"), (-minor).cast("int").alias("m"))).drop("_id", "_b")
+
+    return with_stretch
+
+
 def compare_with_edits(docs: DataFrame, stretches: int | None = None) -> DataFrame:
     """Each document's fingerprint against those of its edited text and of the next document, in descending doc_id.
 
     The edited text has its last half (rounded down, in code points) replaced by as many of the first code points of
-    the next document, or all it has; after the last document comes the first. Texts are whole; null counts as
-    empty. Null doc_ids come last; among repeated doc_ids the order is that of a hash of the text. A single row
-    follows itself. Extra columns are ignored and an empty table gives none.
-
-    Ids are cut into stretches at quantiles, and the first row of a stretch is also sent to the one before it, so
-    that texts are moved once and no task holds more than a stretch. The driver gets a row for each stretch.
+    the next document, or all it has; after the last document comes the first. positions are those of the marks in the
+    text, ascending: any passage of GRAM + SPAN - 1 code points has a mark that starts within it. Texts are whole; null
+    counts as empty. Null doc_ids come last; among repeated doc_ids the order is that of a hash of the text. A single
+    row follows itself. Extra columns are ignored and an empty table gives none.
+
+    Ids are cut into stretches at quantiles. An id that several quantiles fall on, as one that a third of all rows
+    share, is cut into as many stretches by the hash of its texts (null ids as well); only rows that agree in id and
+    text stay together. The first row of a stretch is also sent to the one before it, so texts are moved once and a
+    task holds about a stretch's share of the rows. The driver gets a row for each stretch.
     """
     spark = docs.sparkSession
     tune(spark)
-    n = stretches or 3 * max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 20 * n)).first()[0] or []
-    bounds = [-float("inf"), *sorted({float(x) + 0.5 for x in found} or {0.5}), float("inf")]
-    cut = Bucketizer(splits=bounds, inputCol="_id", outputCol="_b", handleInvalid="keep")
-
-    def with_stretch(df):
-        placed = cut.transform(df.withColumn("_id", F.col("doc_id").cast("double")))
-        return placed.withColumn("stretch", F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("_b").cast("int"))).drop("_id", "_b")
-
-    firsts = sorted(((r[0], r[1]) for r in with_stretch(docs.select("doc_id")).groupBy("stretch").agg(F.max("doc_id")).collect()), reverse=True)
-    before = [(doc, firsts[i - 1][0]) for i, (_, doc) in enumerate(firsts)]  # the first row of all goes to the last stretch
-    heads = spark.createDataFrame(before, "_head long, _to int")  # a row for each stretch
-    rows = with_stretch(docs.select("doc_id", "text"))
-    sent = rows.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("_head")), "left")
+    with_stretch = stretcher(docs, stretches or 3 * max(4, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    last = F.struct("doc_id", (-F.col("_h").cast("decimal(20,0)")).alias("h"))
+    ends = with_stretch(docs.select("doc_id", "text")).groupBy("stretch").agg(F.max(F.struct(F.col("doc_id").isNotNull().alias("known"), last.alias("k"))).alias("f")).collect()
+    firsts = sorted(((tuple(r[0]), r[1]["k"]["doc_id"], -int(r[1]["k"]["h"])) for r in ends), key=lambda r: r[0], reverse=True)
+    before = [(doc, h, *firsts[i - 1][0]) for i, (_, doc, h) in enumerate(firsts)]  # the first row of all goes to the last stretch
+    heads = spark.createDataFrame(before, "_head long, _hash long, _to_b int, _to_hot int, _to_m int")  # a row for each stretch
+    placed = with_stretch(docs.select("doc_id", "text"))
+    sent = placed.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("_head")) & (F.col("_h") == F.col("_hash")), "left")
     here = F.struct("stretch", F.lit(0).alias("ahead"))
-    there = F.struct(F.col("_to").alias("stretch"), F.lit(1).alias("ahead"))
-    sent = sent.select("doc_id", "text", F.explode(F.when(F.col("_to").isNull(), F.array(here)).otherwise(F.array(here, there))).alias("_d")).select("doc_id", "text", "_d.*")
-    order = ["stretch", "ahead", F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
-    return sent.repartition("stretch").sortWithinPartitions(*order).mapInArrow(_compare, COMPARED)
+    there = F.struct(F.struct(F.col("_to_b").alias("b"), F.col("_to_hot").alias("hot"), F.col("_to_m").alias("m")).alias("stretch"), F.lit(1).alias("ahead"))
+    sent = sent.select("doc_id", "text", "_h", F.explode(F.when(F.col("_to_b").isNull(), F.array(here)).otherwise(F.array(here, there))).alias("_d")).select("doc_id", "text", "_h", "_d.*")
+    order = ["stretch", "ahead", F.col("doc_id").desc_nulls_last(), "_h"]
+    flat = F.concat_ws(":", "stretch.b", "stretch.hot", "stretch.m")
+    return sent.repartition("stretch").sortWithinPartitions(*order).select("doc_id", "text", flat.alias("stretch"), "ahead").mapInArrow(_compare, COMPARED)
