@@ -60,6 +60,7 @@ def test_rows(spark, model):
         assert got[d].base_sha256 == hashlib.sha256(text.encode()).hexdigest()
         assert set(text.split(",")) <= set(got[d].spans.split(","))
     assert crf.scan(fixtures.empty(spark), model).count() == 0
+    assert crf.scan(fixtures.frame(spark), crf.train(fixtures.empty(spark))).count() == fixtures.frame(spark).count()
 
 
 def whole_viterbi(e, pairs):

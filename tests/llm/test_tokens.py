@@ -222,3 +222,14 @@ def test_packing_is_best_fit_decreasing(spark):
         assert len(got) == n
         used = check_packing(got, capacity)
         assert -(-sum(lengths) // capacity) <= used <= best_fit_decreasing(lengths, capacity)
+
+
+def test_packing_in_many_cells_is_nearly_best_fit(spark, monkeypatch):
+    r = random.Random(12)
+    lengths = [r.choice([r.randrange(1, 60), r.randrange(1, 500), r.randrange(300, 1025)]) for _ in range(8000)]
+    pieces = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, length long")
+    used, least = {}, -(-sum(lengths) // 1024)
+    for cell in (1 << 15, 128):  # one cell, and some 60
+        monkeypatch.setattr(bestfit_packing, "CELL", cell)
+        used[cell] = check_packing(bestfit_packing.pack(pieces, 1024).collect(), 1024)
+    assert all(least <= n <= 1.005 * least for n in used.values()), (least, used)

@@ -14,7 +14,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     hangs its smaller neighbours on the smallest of them) shrink every component to one star, in a number of rounds
     that grows as the logarithm of its size. Smallest neighbours are minima with map-side combination; a hub's edges
     meet its minimum in a join, which can be split. Each round is written, so that lineage doesn't grow. Only two
-    numbers come to the driver each round.
+    numbers come to the driver each round. Repeated edges count once, an edge from a node to itself is ignored, and no
+    edges give no rows.
     """
     current = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None

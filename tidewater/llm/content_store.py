@@ -232,7 +232,10 @@ def read_index(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
-    """doc_id and ids (array of int) of every document, put together from its chunks, each recipe held against its Merkle root."""
+    """doc_id and ids (array of int) of every document, put together from its chunks, each recipe held against its Merkle root.
+
+    Repeated ids and rows come out each, a null doc_id stays null, and an empty store gives none.
+    """
     recipes = spark.read.parquet(f"{path}/recipes")
     parts = recipes.select("entry", F.posexplode("digests").alias("at", "digest"))
     filled = parts.join(spark.read.parquet(f"{path}/chunks"), "digest")

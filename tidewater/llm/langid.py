@@ -255,7 +255,10 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
 
 def recognised(docs: DataFrame, model: Model, least: float) -> DataFrame:
-    """The rows of docs whose language is predicted with a score of at least `least`; null texts and texts without a letter go."""
+    """The rows of docs whose language is predicted with a score of at least `least`; null texts and texts without a letter go.
+
+    Repeated rows are judged each, all columns stay as they are, and an empty table stays empty.
+    """
     tune(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -23,20 +23,24 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every text, read back from the files. Null and empty texts have the end id alone; repeated ids and rows have an entry each."""
     path = fresh_path(spark, "store")
     content_store.write_store(documents(spark, sf_dir), path, public_tokenizers.path(JSON_VOCABULARY), end_id=0)
     return content_store.read_index(spark, path)
 
 
 def op2_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text. Null and empty texts have no ids; repeated rows are encoded each."""
     return backtrack_bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path(RANKS), digests_only=True)
 
 
 def op5_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every text and its place in a sequence. Null and empty texts have one piece, the end id; repeated rows have pieces each."""
     return bestfit_packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path(JSON_VOCABULARY))
 
 
 def op6_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every row by the law `rows`. Null texts have 16 bytes; repeated rows have a slot each."""
     docs = documents(spark, sf_dir)
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
@@ -45,30 +49,36 @@ def op6_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of every text. Null texts and texts without a letter are `und`; repeated rows count once in training and have a prediction each."""
     docs = documents(spark, sf_dir).withColumn("held_out", langid.held_out(F.col("doc_id")))
     model = langid.train(docs, ~F.col("held_out"))
     return langid.predict(docs, model, ["doc_id", "held_out"])
 
 
 def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text, of its edited text, and their likeness; see `winnowing.compare_with_edits`. Null texts count as empty."""
     return winnowing.compare_with_edits(documents(spark, sf_dir))
 
 
 def op7_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found for every row whose vec_id is divisible by 20; see `multi_index.nearest` for nulls, ties and repeated ids."""
     return multi_index.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0, k=20)
 
 
 def op8_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Losses and score of every text against texts of quality 1. Null and empty texts have nulls; repeated rows count each."""
     docs = lm_score.labelled(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return lm_score.score_documents(docs, F.col("is_target"))
 
 
 def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every text. Texts without words have fingerprint zero and are linked like any others; repeated rows are copies."""
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def op10_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, digest and spans of the secrets of every text. Null and empty texts have none; repeated rows have theirs each."""
     docs = documents(spark, sf_dir)
     return secret_crf.scan(docs, secret_crf.train(docs))
 

@@ -317,7 +317,10 @@ def _marginals(e: np.ndarray, pairs: np.ndarray, there: np.ndarray) -> tuple[np.
 
 
 def train(docs: DataFrame, s: Settings | None = None) -> Model:
-    """Fit on at most s.rows different documents (repeated ones count once); only bounded stretches of words come to the driver."""
+    """Fit on at most s.rows different documents (repeated ones count once); only bounded stretches of words come to the driver.
+
+    Null texts are left out. Without any document the model is fitted on made-up secrets alone.
+    """
     s = s or Settings()
     tune(docs.sparkSession)
     chosen = bounded_sample(docs.select("doc_id", "text").filter(F.col("text").isNotNull()), [F.col("doc_id"), F.col("text")], s.rows, s.seed)

@@ -308,7 +308,8 @@ def checked(pairs: DataFrame, marked: DataFrame) -> DataFrame:
 def similar_links(marked: DataFrame, known: DataFrame) -> DataFrame:
     """Edges (a, b) that, with the edges known, connect the marks of all texts of similarity 4/5 or more, and no others.
 
-    marked: mark and text. Texts with a mark are taken for equal. Texts of large buckets that the first links have connected aren't compared again.
+    marked: mark and text. Texts with a mark are taken for equal. Texts of large buckets that the first links have connected aren't compared again. Null texts and texts without words
+    have no shingles and no links; an empty table gives none.
     """
     keyed = prefixes(marked).repartition("key").sortWithinPartitions("key", "mark")
     found = materialize(keyed.mapInArrow(_small_and_first, "a long, b long, key long, n long, pos long"), "candidates")
