@@ -40,7 +40,10 @@ STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents; each reads what the one before it wrote."""
+    """All stages over the table documents; each reads what the one before it wrote. Rows are the pieces of packing.
+
+    Null texts and texts without a letter go with the first stage, copies with the second; an empty table gives no rows.
+    """
     tune(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
