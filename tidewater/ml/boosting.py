@@ -217,7 +217,7 @@ def softmax(scores: Column) -> Column:
     return F.transform(powers, lambda p: p / F.aggregate(powers, F.lit(0.0), lambda a, x: a + x))
 
 
-def softmax_boost(rows: DataFrame, shares: Sequence[float], t: Trees, ridge: float = 1.0, threads: int = 4) -> tuple[list[LeafEnsemble], list[float]]:
+def softmax_boost(rows: DataFrame, shares: Sequence[float], t: Trees, ridge: float = 1.0, threads: int = 8) -> tuple[list[LeafEnsemble], list[float]]:
     """One tree for each class and round on softmax gradients, with Newton leaf values; and the log losses of each round.
 
     rows: _x, _y (class from 0), _w and _valid. shares: each class's share of the weight, whose logarithms are the

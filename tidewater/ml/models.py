@@ -118,7 +118,7 @@ def binary_classifier(features: Sequence[str], label: str, t: Trees | None = Non
     return fit
 
 
-def class_probabilities(features: Sequence[str], label: str, classes: int, t: Trees | None = None, threads: int = 4) -> Fit:
+def class_probabilities(features: Sequence[str], label: str, classes: int, t: Trees | None = None, threads: int = 8) -> Fit:
     """An array of probabilities over all classes from 0 on, from one boosted tree a class and round; classes that training lacks have 0.
 
     Classes weigh the same. Rows without a label are left out. With t.patience boosting stops by the log loss on groups of the training rows.

@@ -19,7 +19,11 @@ FIRST, LAST, NOW = Window.unboundedPreceding, Window.unboundedFollowing, Window.
 
 @dataclass(frozen=True)
 class Panel:
-    """entity: the group; order: columns that order its rows; slot: the name of the row number from 0."""
+    """entity: the group; order: columns that order its rows; slot: the name of the row number from 0.
+
+    Frames count rows, so all rows of an entity are ordered in one task: entities have to be short (a scenario has some
+    dozens of rows), however many there are. For long histories there are frames over spans of time in `timeframes`.
+    """
 
     entity: str
     order: tuple[str, ...]
