@@ -185,3 +185,15 @@ def test_experiments_come_from_the_registry():
     seen = []
     rows = search.ablation({}, tries, lambda config: seen.append(r.select(**config)) or len(seen[-1]))
     assert [x["best_mae"] for x in rows] == [4, 2, 1, 1, 1] and seen[0] == ["a", "a_lag1", "a_roll3_mean", "a_roll9_mean", "a_slope5"] and seen[3] == ["a"]
+
+
+def test_no_row_is_lost_for_a_missing_split_or_validation(spark):
+    df = spark.createDataFrame([(1, "a", 10.0, 2.0), (2, None, 20.0, 4.0), (3, "a", None, None)], "ID int, split string, pred double, risk double")
+    got = {(r.ID, r.factor): r.adjusted for r in blend.risk_variants(df, "pred", "risk", (0.5,), "split").collect()}
+    assert got == {(1, 0.5): 15.0, (2, 0.5): 30.0, (3, 0.5): None}
+    grid = {"high_base": (0.5,), "high50_coef": (0.0,), "high100_coef": (0.0,), "max_high": (1.0,), "low_coef": (0.5,), "max_low": (1.0,)}
+    rows = [("v", 10.0, 20.0, 4.0, 0.1, 0.1, 1.0, 12.0), (None, 10.0, None, 4.0, None, 0.1, None, 8.0), ("v", 10.0, 20.0, 4.0, 0.1, 0.1, 1.0, None)]
+    names = ("base", "high", "low", "p50", "p100", "p_low", "target")
+    df = spark.createDataFrame(rows, "v string, " + ", ".join(f"{n} double" for n in names))
+    # 10 + 0.5 * 10 - 0.5 * 6 = 12; without a high specialist and probability of a low value the base stays
+    assert {r.v: r.mae for r in blend.specialist_grid(df, {n: n for n in names}, "v", grid).collect()} == {"v": 0.0, None: 2.0}
