@@ -56,7 +56,7 @@ def test_ridge_equals_its_normal_equations(data):
     np.testing.assert_allclose(got, want, atol=1e-8)
 
 
-def test_pipeline_end_to_end(spark, tmp_path):
+def test_pipeline_end_to_end(spark, few_partitions, tmp_path):
     r = np.random.default_rng(5)
     names = "order_inflow_15m unique_sku_15m avg_items_per_order heavy_item_ratio avg_trip_distance battery_mean low_battery_ratio robot_utilization robot_charging congestion_score pack_utilization backorder_ratio robot_idle".split()
     ids = [(f"s{g:02}", t) for g in range(12) for t in range(10)]
@@ -98,7 +98,7 @@ def test_context_covers_all_columns_that_change_within_a_scenario(spark):
         assert values[i][:3] == pytest.approx((p[:i].mean(), p[i] - p[:i].mean(), rank[:i].max() / 20))
 
 
-def test_dual_validation_writes_all_reports(spark, data, tmp_path):
+def test_dual_validation_writes_all_reports(spark, few_partitions, data, tmp_path):
     df = data.withColumn("g", F.col("ID") % 20).drop("fold").withColumnRenamed("y", "t")
     fits = {"a": models.linear_model(["x"], "t"), "b": models.linear_model(["z"], "t")}
     got = {(r.model_name, r.validation): r for r in evaluate.dual(df, fits, "t", "g", str(tmp_path), folds=2).collect()}

@@ -102,7 +102,7 @@ def linear(names):
     return models.linear_model(names, "y", 0.1)
 
 
-def test_ablation_reports_both_validations_for_every_experiment(spark, tmp_path):
+def test_ablation_reports_both_validations_for_every_experiment(spark, few_partitions, tmp_path):
     only = ["baseline", "add_cumsum", "remove_duplicate", "remove_near_constant", "remove_high_missing", "roll_only"]
     df = panel(spark, 8, 10).withColumn("constant", F.lit(1.0)).withColumn("twin", F.col("battery_mean")).withColumn("empty", F.lit(None).cast("double"))
     got = evaluate.run_ablation(df, "y", (2, 4), (1,), folds=2, make=linear, history=f"{tmp_path}/history", only=only).collect()
@@ -119,7 +119,7 @@ def test_ablation_reports_both_validations_for_every_experiment(spark, tmp_path)
     assert size["remove_duplicate"][1] >= 1 and size["remove_near_constant"][1] >= 1 and size["remove_high_missing"][1] >= 1
 
 
-def test_window_search_runs_both_phases_and_starts_again(spark, tmp_path):
+def test_window_search_runs_both_phases_and_starts_again(spark, few_partitions, tmp_path):
     path = f"{tmp_path}/history"
     run = lambda budget: evaluate.window_search(panel(spark, 8, 10), "y", (2, 3), (1, 2), budget, path, window_budget=3, make=linear)
     part = run(4)
