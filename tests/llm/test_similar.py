@@ -89,6 +89,20 @@ def test_large_groups_are_linked_as_by_brute_force(spark, monkeypatch):
         assert pairs <= want and roots == groups(want, len(texts))
 
 
+def test_large_buckets_give_fewer_links_than_texts(spark, monkeypatch):
+    texts = large_group()
+    want = {(i, j) for i, j in combinations(range(len(texts)), 2) if jaccard(texts[i], texts[j]) >= 0.8}
+    docs = spark.createDataFrame(list(enumerate(texts)), "mark long, text string").repartition(4)
+    rows = spark.createDataFrame([(1, i, len(shingles(t)), 0) for i, t in enumerate(texts)], "key long, mark long, n long, pos long")
+    none = spark.createDataFrame([], "node long, root long")
+    for cell, many, cells in ((2048, 1 << 20, 1), (2048, 1 << 14, 3), (130, 1 << 20, 3)):  # in one cell, or two parts and three cells
+        monkeypatch.setattr(similar, "CELL", cell)
+        monkeypatch.setattr(similar, "CELL_SHINGLES", many)
+        pairs = [(r.a, r.b) for r in similar.cross_pairs(rows, none, docs).collect()]
+        assert set(pairs) <= want and groups(pairs, len(texts)) == groups(want, len(texts))
+        assert len(pairs) < cells * len(texts) < len(want)
+
+
 def test_links_of_odd_texts(spark):
     texts = ["", " ", "one", "one", "One", "a b c d e", "a b c d e f", "a b c d e", None, "q " * 500, "q " * 600]
     pairs, _ = found_groups(spark, texts)

@@ -21,6 +21,8 @@ WIDTH = 5
 PARTS, WHOLE = 4, 5
 #: Larger buckets are first held against one of their texts, and then compared in cells of about so many.
 SMALL, CELL = 16, 2048
+#: A part of a cell has about so many shingles, as cells hold whole sets; pairs are looked at in blocks of about so many.
+CELL_SHINGLES, BLOCK = 1 << 20, 1 << 18
 #: Rounds in which texts of a large bucket are held against its largest group before all of its pairs are.
 STRAY_ROUNDS = 1
 #: A shingle in so many texts of a batch is reported; so many reported ones at most are put last. Neither changes the links.
@@ -176,38 +178,77 @@ def _small_and_first(source):
     release()
 
 
-def _cells(source):
-    """All pairs of texts of different roots in cells sorted by cell; a text of side 0 meets those of side 1, or of side 0 where there is none.
+def _by_cell(source):
+    """The rows of each cell as one table, from batches sorted by cell."""
+    held = []
+    for batch in source:
+        cell = batch.column("cell").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
+        for at, to in zip(cuts, cuts[1:]) if len(cell) else ():
+            if held and held[0].column("cell")[0].as_py() != cell[at]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(at, to - at))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _possible(mark, root, n, pos, side, words):
+    """Pairs of rows of a cell that may link, each once, as arrays by blocks of rows; a text of side 0 meets those of side 1, or of side 0 where there is none.
 
-    Sets differ in as many shingles as their sketches differ in bits at least, which rules out most pairs for sure.
+    Texts of one root are connected already. Sets differ in as many shingles as their sketches differ in bits at least, which rules out most pairs for sure.
     """
-    held = None
-
-    def compare(mark, root, n, pos, side, *words):
-        words = [w.view(U) for w in words]
-        left = np.flatnonzero(side == 0)
-        right = np.flatnonzero(side == 1) if (side == 1).any() else left
-        for at in range(0, len(left), 256):
-            a, b = (x.ravel() for x in np.meshgrid(left[at : at + 256], right, indexing="ij"))
-            keep = (root[a] != root[b]) & (mark[a] != mark[b]) & _may_link(n, pos, a, b)
-            a, b = a[keep], b[keep]
-            apart = sum(np.bitwise_count(w[a] ^ w[b]).astype(np.int64) for w in words)
-            keep = (PARTS + WHOLE) * apart <= (WHOLE - PARTS) * (n[a] + n[b])
-            x, y = mark[a[keep]], mark[b[keep]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+    two = (side == 1).any()
+    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if two else (np.arange(len(mark)),) * 2
+    step = max(1, BLOCK // max(1, len(right)))
+    for at in range(0, len(left), step):
+        x = left[at : at + step, None]
+        keep = (root[x] != root[right]) & (mark[x] != mark[right]) & _may_link(n, pos, x, right)
+        i, j = np.nonzero(keep if two else keep & (x < right))
+        a, b = left[at + i], right[j]
+        apart = sum(np.bitwise_count(w[a] ^ w[b]).astype(np.int64) for w in words)
+        near = (PARTS + WHOLE) * apart <= (WHOLE - PARTS) * (n[a] + n[b])
+        yield a[near], b[near]
+
+
+def _rows_with_partners(source):
+    """Those rows of each cell that may link with another one of it, without their sketches."""
+    for cell in _by_cell(source):
+        columns = [cell.column(c).to_numpy() for c in PLACED[1:]]
+        keep = np.zeros(cell.num_rows, bool)
+        for a, b in _possible(*columns, [cell.column(c).to_numpy().view(U) for c in SKETCH]):
+            keep[a] = keep[b] = True
+        yield from cell.select(PLACED).filter(pa.array(keep)).to_batches()
+    release()
 
-    names = ("mark", "root", "n", "pos", "side", *SKETCH)
-    for batch in source:
-        if not batch.num_rows:
-            continue
-        new = [batch.column(c).to_numpy() for c in ("cell", *names)]
-        held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
-        cuts = [*(np.flatnonzero(np.diff(held[0])) + 1).tolist()]
-        for at, to in zip([0, *cuts], cuts):
-            yield from compare(*(x[at:to] for x in held[1:]))
-        held = [x[cuts[-1] :] for x in held] if cuts else held
-    if held is not None:
-        yield from compare(*held[1:])
+
+def _spanning(source):
+    """Links (a, b) that connect all texts of a cell that its links connect: fewer than it has texts, each checked on the whole sets.
+
+    A pair that links found before connect isn't checked.
+    """
+    for cell in _by_cell(source):
+        mark, root, n, pos, side = (cell.column(c).to_numpy() for c in PLACED[1:])
+        sets = [np.frombuffer(x.as_buffer(), U) for x in cell.column("shingles")]
+        words = [w.copy() for w in np.array([sketch(s) for s in sets], np.int64).T.view(U)]
+        group, found = np.unique(root, return_inverse=True)[1], []
+        for a, b in _possible(mark, root, n, pos, side, words):
+            starts = np.flatnonzero(np.diff(a, prepend=-1))
+            for at, to in zip(starts.tolist(), [*starts[1:].tolist(), len(a)]):
+                one, others = int(a[at]), b[at:to]
+                others = others[group[others] != group[one]]
+                if not len(others):
+                    continue
+                own, theirs = sets[one], np.concatenate([sets[k] for k in others.tolist()])
+                hits = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+                both = np.add.reduceat(hits.astype(np.int64), np.cumsum([0, *n[others[:-1]].tolist()]))
+                for k in others[WHOLE * both >= PARTS * (n[one] + n[others] - both)].tolist():
+                    if group[k] != group[one]:
+                        group[group == group[k]] = group[one]
+                        found.append((mark[one], mark[k]))
+        if found:
+            x, y = np.array(found, np.int64).T
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
     release()
 
 
@@ -231,20 +272,26 @@ def stray_pairs(rows: DataFrame, roots: DataFrame, salt: int = 0) -> DataFrame:
 
 
 def cross_pairs(rows: DataFrame, roots: DataFrame, marked: DataFrame) -> DataFrame:
-    """Candidates (a, b) of the larger buckets whose texts aren't connected yet.
+    """Links (a, b) that connect what the links of the larger buckets connect, of texts that aren't connected yet.
 
-    rows: key, mark, n, pos; roots: node and root; marked: mark and text. A bucket of c cells' worth of texts is dealt out to c (c + 1) / 2 cells.
+    rows: key, mark, n, pos; roots: node and root; marked: mark and text. A bucket of c cells' worth of texts or
+    shingles is dealt out to c (c + 1) / 2 cells. A cell first names its texts that may link by their sketches; only
+    these get their sets, and the cell checks the pairs and gives fewer links than it has texts.
     """
     known = with_roots(rows, roots)
-    mixed = known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count(F.lit(1)) / CELL).cast("long").alias("parts")).filter("lo < hi").select("key", "parts")
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / CELL), F.ceil(F.sum("n") / CELL_SHINGLES)).cast("long")
+    mixed = known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), parts.alias("parts")).filter("lo < hi").select("key", "parts")
     left = materialize(known.join(mixed, "key"), "mixed")
     dealt = left.join(picked(left, marked, sketch, ", ".join(f"{c} long" for c in SKETCH)), "mark").withColumn("part", F.pmod(F.xxhash64("mark", "key"), "parts"))
     cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     lower, upper = F.least("part", "other"), F.greatest("part", "other")
     named = cells.select(F.xxhash64("key", lower, upper).alias("cell"), "mark", "root", "n", "pos", F.when(F.col("part") == lower, 0).otherwise(1).alias("side"), *SKETCH)
-    return named.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cells, "a long, b long")
+    near = materialize(named.repartition("cell").sortWithinPartitions("cell").mapInArrow(_rows_with_partners, "cell long, mark long, root long, n long, pos long, side int"), "partners")
+    whole = near.join(picked(near, marked, lambda s: (s.tobytes(),), "shingles binary"), "mark").select(*PLACED, "shingles")
+    return whole.repartition("cell").sortWithinPartitions("cell").mapInArrow(_spanning, "a long, b long")
 
 
+PLACED = ["cell", "mark", "root", "n", "pos", "side"]
 SKETCH = ("s0", "s1", "s2", "s3")
 
 
@@ -317,9 +364,8 @@ def similar_links(marked: DataFrame, known: DataFrame) -> DataFrame:
     later = found.filter("b is null").select("key", F.col("a").alias("mark"), "n", "pos")
     if later.isEmpty():
         return links
-    for salt in range(STRAY_ROUNDS + 1):  # the last round compares all that is left
-        roots = components(known.unionByName(links))
-        more = materialize((stray_pairs(later, roots, salt) if salt < STRAY_ROUNDS else cross_pairs(later, roots, marked)).distinct(), "pairs")
+    for salt in range(STRAY_ROUNDS):
+        more = materialize(stray_pairs(later, components(known.unionByName(links)), salt), "pairs")
         if not more.isEmpty():
             links = links.unionByName(materialize(checked(more, marked), "similar"))
-    return links
+    return links.unionByName(materialize(cross_pairs(later, components(known.unionByName(links)), marked), "similar"))
