@@ -207,7 +207,7 @@ def compress(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding",
                     part = batch.slice(at, 2000)
                     same = [part.column(n) for n in named]
                     if fresh:
-                        x = integers(part.column("v"), width).reshape(-1, *shape)
+                        x = integers(part.column("v"), width).reshape(part.num_rows, *shape)
                         code, bounds, error = assign(x, books)
                     else:
                         x, code = _numbers(part.column("x"), "<i4", shape), _numbers(part.column("code"), "u1", (parts,))
