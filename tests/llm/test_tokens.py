@@ -101,6 +101,23 @@ def test_store_round_trip(spark, library):
     assert chunks.count() == chunks.select("digest").distinct().count()
 
 
+def test_staging_holds_few_texts_at_a_time_and_sends_a_chunk_once(library, monkeypatch):
+    import pyarrow as pa
+
+    sizes, encode = [], wordpieces.PieceEncoder.encode_array
+    monkeypatch.setattr(wordpieces.PieceEncoder, "encode_array", lambda self, texts: sizes.append(len(texts)) or encode(self, texts))
+    values = [f"{i} " * 300 if i % 3 else "the same text " * 200 for i in range(1200)]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(values))), "text": pa.array(values)})] * 2
+    rows = pa.Table.from_batches(content_store._stage(JSON, 0, 2)(iter(batches))).to_pylist()
+    assert max(sizes) <= 500 and sum(sizes) == 2400
+    chunks = {r["digest"]: r["payload"] for r in rows if r["kind"] == 1}
+    assert len(chunks) == sum(r["kind"] == 1 for r in rows)
+    recipes = [r for r in rows if r["kind"] == 0]
+    assert [r["doc_id"] for r in recipes] == [*range(1200)] * 2
+    for i in (0, 1, 499, 500, 1199, 1200, 2399):
+        assert np.frombuffer(b"".join(chunks[d] for d in recipes[i]["digests"]), "<u2").tolist() == library(values[i % 1200]) + [0]
+
+
 def test_store_notices_a_changed_chunk(spark):
     path = fresh_path(spark, "store")
     content_store.write_store(fixtures.frame(spark, ["one two", "three"]), path, JSON)

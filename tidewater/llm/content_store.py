@@ -16,11 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from tidewater.llm.common import materialize, remove, tune
+from tidewater.llm.common import materialize, release, remove, tune
 from tidewater.llm.wordpieces import library_encoder
 
 WINDOW, SHORTEST, LONGEST, MASK = 16, 64, 2048, 255
 DIGEST = 16
+#: Texts that are encoded and cut at a time: what a worker holds beside its batch.
+ROWS = 500
+#: A staging task writes a chunk once, as long as it has not met so many different ones since.
+SENT = 1 << 18
 
 
 def _mix(ids: np.ndarray) -> np.ndarray:
@@ -105,31 +109,42 @@ def _stage(vocabulary: str, end_id: int, width: int):
     schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("digest", pa.binary()), ("payload", pa.binary()), ("digests", pa.list_(pa.binary())), ("tails", pa.list_(pa.int64())), ("root", pa.binary())])
     end = int(end_id).to_bytes(4, "little")
 
+    def recipes(enc, part, chunks, sent):
+        """Recipes of the texts of part; chunks whose digests aren't among sent are added to chunks."""
+        streams = [i + end for i in enc.encode_array(part.column("text"))]
+        ids = np.frombuffer(b"".join(streams), "<u4")
+        if len(ids) and int(ids.max()) >> (8 * width):
+            raise ValueError(f"an id doesn't fit in {width} bytes")
+        starts = np.concatenate([[0], np.cumsum([len(s) // 4 for s in streams])]).astype(np.int64)
+        packed = ids.astype(f"<u{width}").tobytes()
+        digests, tails, roots = [], [], []
+        for a, b, ends in zip(starts.tolist(), starts[1:].tolist(), cut_points(ids, starts)):
+            mine = []
+            for x, y in zip([a, *ends], ends):
+                payload = packed[x * width : y * width]
+                d = digest(payload)
+                if d not in sent:
+                    sent.add(d)
+                    chunks[d] = payload
+                mine.append(d)
+            digests.append(mine)
+            tails.append([b - y for y in ends])
+            roots.append(merkle(mine))
+        n = len(streams)
+        return pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), part.column("doc_id").cast(pa.int64()), pa.array(np.diff(starts)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(digests, schema.field("digests").type), pa.array(tails, schema.field("tails").type), pa.array(roots, pa.binary())], schema=schema)
+
     def run(source):
         enc = library_encoder(vocabulary)
+        sent: set[bytes] = set()
         for batch in source:
-            streams = [i + end for i in enc.encode_array(batch.column("text"))]
-            ids = np.frombuffer(b"".join(streams), "<u4")
-            if len(ids) and int(ids.max()) >> (8 * width):
-                raise ValueError(f"an id doesn't fit in {width} bytes")
-            starts = np.concatenate([[0], np.cumsum([len(s) // 4 for s in streams])]).astype(np.int64)
-            packed = ids.astype(f"<u{width}").tobytes()
             chunks: dict[bytes, bytes] = {}
-            digests, tails, roots = [], [], []
-            for a, b, ends in zip(starts.tolist(), starts[1:].tolist(), cut_points(ids, starts)):
-                mine = []
-                for x, y in zip([a, *ends], ends):
-                    payload = packed[x * width : y * width]
-                    d = digest(payload)
-                    chunks[d] = payload
-                    mine.append(d)
-                digests.append(mine)
-                tails.append([b - y for y in ends])
-                roots.append(merkle(mine))
-            n = len(streams)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(starts)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(digests, schema.field("digests").type), pa.array(tails, schema.field("tails").type), pa.array(roots, pa.binary())], schema=schema)
+            for at in range(0, batch.num_rows, ROWS):
+                yield recipes(enc, batch.slice(at, ROWS), chunks, sent)
+            if len(sent) > SENT:
+                sent.clear()
             m = len(chunks)
             yield pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(list(chunks), pa.binary()), pa.array(list(chunks.values()), pa.binary()), *(pa.nulls(m, schema.field(k).type) for k in ("digests", "tails", "root"))], schema=schema)
+        release()
 
     return run
 
@@ -159,13 +174,13 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, wi
 
     width: bytes of a stored id (2 for vocabularies below 65,536, else 4). Null and empty texts have end_id alone.
     Repeated rows and repeated doc_ids have an entry each, in any order among equal ids; null doc_ids come first.
-    Extra columns are ignored. An empty table gives an empty store. Chunks are made unique by a shuffle with
-    pre-aggregation, so that a text that fills a third of the table is sent once by each task.
+    Extra columns are ignored. An empty table gives an empty store. Tasks stage a chunk once, so that a text that fills
+    a third of the table is sent once by each; a shuffle by digest then makes chunks unique.
     """
     spark = docs.sparkSession
     tune(spark)
     staged = materialize(docs.select("doc_id", "text").mapInArrow(_stage(vocabulary, end_id, width), STAGED), "staged", f"{path}/staged")
-    chunks = staged.filter("kind = 1").select("digest", "payload").dropDuplicates(["digest"])
+    chunks = staged.filter("kind = 1").select("digest", "payload").repartition("digest").dropDuplicates(["digest"])
     chunks.write.option("compression", "zstd").parquet(f"{path}/chunks")
     recipes = staged.filter("kind = 0").select("doc_id", "n_tokens", "digests", "tails", "root")
     order = [F.col("doc_id").asc_nulls_first(), F.col("root")]  # the root deals out rows that share an id
@@ -208,13 +223,15 @@ def read_index(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
                 ends = [n, *tails]
                 if merkle(digests) != root or len(digests) != len(tails) or ends[-1] != 0 or any(a <= b for a, b in zip(ends, ends[1:])):
                     raise ValueError("a recipe differs from its Merkle root")
-            yield batch
+            count, tail = np.diff(batch.column("tails").offsets.to_numpy()), batch.column("tails").flatten().to_numpy()
+            begin = np.concatenate([tail[:1], tail[:-1]])  # ids from the chunk before to the document's end
+            begin[(np.cumsum(count) - count)[count > 0]] = batch.column("n_tokens").to_numpy()[count > 0]
+            entry = np.repeat(batch.column("entry").to_numpy(), count)
+            yield pa.RecordBatch.from_arrays([pa.array(entry), batch.column("digests").flatten(), pa.array(tail), pa.array(begin - tail)], ["entry", "digest", "tail", "want"])
 
     stored = spark.read.parquet(f"{path}/recipes")
-    recipes = stored.mapInArrow(sound, stored.schema)
+    parts = stored.select("entry", "n_tokens", "digests", "tails", "root").mapInArrow(sound, "entry long, digest binary, tail long, want long")
     chunks = spark.read.parquet(f"{path}/chunks").mapInArrow(check, "digest binary, size long, crc long")
-    wanted = F.zip_with(F.concat(F.array("n_tokens"), F.slice("tails", 1, F.greatest(F.size("tails") - 1, F.lit(0)))), "tails", lambda a, b: a - b)
-    parts = recipes.select("entry", F.explode(F.arrays_zip("digests", "tails", wanted.alias("want"))).alias("c")).select("entry", F.col("c.digests").alias("digest"), F.col("c.tails").alias("tail"), F.col("c.want").alias("want"))
     joined = parts.join(chunks, "digest").filter("size = want").select("entry", "tail", "size", "crc").mapInArrow(move, "entry long, size long, moved long")
     whole = joined.groupBy("entry").agg(F.bit_xor("moved").alias("ids_crc32"), F.sum("size").alias("got"), F.count(F.lit(1)).alias("n_chunks"))
     own = stored.select("entry", "part", "doc_id", "n_tokens", F.size("digests").alias("want"), F.hex("root").alias("merkle_root"))
