@@ -45,6 +45,16 @@ def test_pieces_equal_the_library(library):
         assert np.frombuffer(ids, "<u4").tolist() == library(text), text
 
 
+def test_words_after_a_space_are_kept_once(library):
+    enc = wordpieces.library_encoder(JSON)
+    asked = []
+    own = wordpieces.PieceEncoder(lambda w: asked.append(w) or enc.encode_word(w), enc.whole, special=enc.special)
+    values = ["x lamp lamp, lamp. lamp,", "lamp lamp", "lamp, x. lamp", "x é É, é.", "x ² ²,"]
+    for text, ids in zip(values, own.encode(values)):
+        assert np.frombuffer(ids, "<u4").tolist() == library(text), text
+    assert asked.count(" lamp") == 1 and not any(w in own.words.new for w in (" lamp", " é"))
+
+
 def test_special_strings_are_single_ids(library):
     enc = wordpieces.library_encoder(JSON)
     mark = "<|endoftext|>"

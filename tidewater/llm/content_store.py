@@ -203,13 +203,18 @@ def read_index(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     """
     def check(source):
         for batch in source:
-            found, sizes, crcs = batch.column("digest").to_pylist(), [], []
-            for d, p in zip(found, batch.column("payload").to_pylist()):
-                if digest(p) != d:
+            payload = batch.column("payload").cast(pa.large_binary())
+            if not len(payload):
+                continue
+            ends = np.frombuffer(payload.buffers()[1], np.int64)[payload.offset : payload.offset + len(payload) + 1]
+            data, bounds = memoryview(payload.buffers()[2]), ends.tolist()
+            for d, x, y in zip(batch.column("digest").to_pylist(), bounds, bounds[1:]):
+                if digest(data[x:y]) != d:
                     raise ValueError("a stored chunk differs from its digest")
-                sizes.append(len(p) // width)
-                crcs.append(zlib.crc32(np.frombuffer(p, f"<u{width}").astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_pydict({"digest": pa.array(found, pa.binary()), "size": pa.array(sizes, pa.int64()), "crc": pa.array(crcs, pa.int64())})
+            ids = memoryview(np.frombuffer(data[bounds[0] : bounds[-1]], f"<u{width}").astype("<u4")).cast("B")
+            places = ((ends - ends[0]) // width * 4).tolist()
+            crcs = [zlib.crc32(ids[x:y]) for x, y in zip(places, places[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(np.diff(ends) // width), pa.array(crcs, pa.int64())], ["digest", "size", "crc"])
 
     def move(source):
         shift = CrcShift()

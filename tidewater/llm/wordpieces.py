@@ -8,6 +8,7 @@ encoded alone. Pieces repeat, so their ids are kept in a memory of bounded size.
 from __future__ import annotations
 
 import array
+import struct
 from collections.abc import Callable
 
 import numpy as np
@@ -49,9 +50,10 @@ class PieceEncoder:
         self.pieces, self.words = Memory(limit), Memory(limit // 2)
 
     def chunks(self, chunks: list[str]) -> list[bytes]:
-        """Ids of chunks, each cut by the pattern."""
+        """Ids of chunks, each cut by the pattern. A word of letters after a space is a piece, and kept with the pieces alone."""
         self.words.make_room(len(chunks))
         new, old, encode, whole, out = self.words.new, self.words.old, self.encode_word, self.whole, []
+        pieces, before = self.pieces.new, self.pieces.old
         for c in chunks:
             latin = c.isascii() or max(c) <= "\u024f"
             if whole and not latin:
@@ -60,9 +62,21 @@ class PieceEncoder:
             body = c[1:] if c[:1] == " " else c
             if not latin:
                 words = _SPLIT.findall(c)
+            elif body is not c and body.isalpha():
+                if (v := pieces.get(body)) is None:
+                    v = pieces[body] = before.get(body) or encode(c)
+                out.append(v)
+                continue
             elif body.isalpha():
                 words = (c,)
-            elif body[:-1].isalpha() and body[-1] in ".,":
+            elif body[-1:] in (".", ",") and (stem := body[:-1]).isalpha():
+                if body is not c:
+                    if (v := pieces.get(stem)) is None:
+                        v = pieces[stem] = before.get(stem) or encode(c[:-1])
+                    if (end := new.get(body[-1])) is None:
+                        end = new[body[-1]] = encode(body[-1])
+                    out.append(v + end)
+                    continue
                 words = (c[:-1], body[-1])
             else:
                 words = _SPLIT.findall(c)
@@ -144,8 +158,11 @@ class PieceEncoder:
         return [text[a:b] for a, b in zip(cuts, cuts[1:]) if b > a]
 
 
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
+
+
 def little_endian(ids: list[int]) -> bytes:
-    return array.array("I", ids).tobytes()
+    return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else array.array("I", ids).tobytes()
 
 
 def byte_alphabet() -> dict[int, str]:
