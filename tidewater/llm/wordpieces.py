@@ -52,6 +52,7 @@ class PieceEncoder:
     def chunks(self, chunks: list[str]) -> list[bytes]:
         """Ids of chunks, each cut by the pattern. A word of letters after a space is a piece, and kept with the pieces alone."""
         self.words.make_room(len(chunks))
+        self.pieces.make_room(len(chunks))
         new, old, encode, whole, out = self.words.new, self.words.old, self.encode_word, self.whole, []
         pieces, before = self.pieces.new, self.pieces.old
         for c in chunks:
