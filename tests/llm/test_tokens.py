@@ -55,6 +55,24 @@ def test_words_after_a_space_are_kept_once(library):
     assert asked.count(" lamp") == 1 and not any(w in own.words.new for w in (" lamp", " é"))
 
 
+def test_words_with_other_characters_behind_them_are_encoded_once(library):
+    enc = wordpieces.library_encoder(JSON)
+    asked = []
+    own = wordpieces.PieceEncoder(lambda w: asked.append(w) or enc.encode_word(w), enc.whole, special=enc.special)
+    values = ["x lamp!! lamp*** lamp.\nlamp's lamp, lamp", "x été.\nÉté été!! été. été7", "x lamp!! 日本, lamp2 .. ,, lamp,. ²,"]
+    for _ in range(2):
+        for text, ids in zip(values, own.encode(values)):
+            assert np.frombuffer(ids, "<u4").tolist() == library(text), text
+    assert asked.count(" lamp") == asked.count(" été") == 1 and len(asked) == len(set(asked))
+
+
+def test_a_worker_holds_one_encoder():
+    before = wordpieces.library_encoder(JSON)
+    assert wordpieces.library_encoder(JSON) is before
+    wordpieces.library_encoder(JSON, 1000)
+    assert [limit for _, limit in wordpieces._ENCODERS] == [1000]
+
+
 def test_special_strings_are_single_ids(library):
     enc = wordpieces.library_encoder(JSON)
     mark = "<|endoftext|>"

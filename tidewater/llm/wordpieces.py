@@ -8,6 +8,7 @@ encoded alone. Pieces repeat, so their ids are kept in a memory of bounded size.
 from __future__ import annotations
 
 import array
+import codecs
 import struct
 from collections.abc import Callable
 
@@ -47,10 +48,10 @@ class PieceEncoder:
     def __init__(self, encode_word: Callable[[str], bytes], whole: Callable[[str], bytes] | None = None, limit: int = 500_000, special: dict[str, bytes] | None = None):
         self.encode_word, self.whole, self.special = encode_word, whole, special or {}
         self._specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if special else None
-        self.pieces, self.words = Memory(limit), Memory(limit // 2)
+        self.pieces, self.words = Memory(limit), Memory(limit // 4)
 
     def chunks(self, chunks: list[str]) -> list[bytes]:
-        """Ids of chunks, each cut by the pattern. A word of letters after a space is a piece, and kept with the pieces alone."""
+        """Ids of chunks, each cut by the pattern. Words of letters after a space are kept with the pieces alone, whatever follows them."""
         self.words.make_room(len(chunks))
         self.pieces.make_room(len(chunks))
         new, old, encode, whole, out = self.words.new, self.words.old, self.encode_word, self.whole, []
@@ -83,33 +84,37 @@ class PieceEncoder:
                 words = _SPLIT.findall(c)
             ids = b""
             for w in words:
-                if (v := new.get(w)) is None:
-                    if (v := old.get(w)) is None:
-                        v = encode(w)
-                    new[w] = v
+                if w[:1] == " " and (stem := w[1:]).isalpha():
+                    if (v := pieces.get(stem)) is None:
+                        v = pieces[stem] = before.get(stem) or encode(w)
+                elif (v := new.get(w)) is None:
+                    v = new[w] = old.get(w) or encode(w)
                 ids = ids + v if ids else v
             out.append(ids)
         return out
 
     def lookup(self, pieces: list[str]) -> list[bytes | None]:
-        """Ids of distinct pieces that follow a space; None if a piece starts or ends with white space or is empty."""
-        self.pieces.make_room(len(pieces))
-        new, old = self.pieces.new, self.pieces.old
-        out = list(map(new.get, pieces))
+        """Ids of distinct pieces that follow a space; None if a piece starts or ends with white space or is empty.
+
+        New words of Latin letters are encoded first, as other pieces often start with one of them.
+        """
+        out = list(map(self.pieces.new.get, pieces))
         holes = [i for i, v in enumerate(out) if v is None]
-        ask, at = [], []
+        self.pieces.make_room(2 * len(holes))  # a piece, and the word it starts with
+        new, old, encode, ask = self.pieces.new, self.pieces.old, self.encode_word, []
         for i in holes:
             p = pieces[i]
-            if (v := old.get(p)) is not None:
-                out[i] = v
-            elif p and not p[0].isspace() and not p[-1].isspace():
-                ask.append(f" {p}")
-                at.append(i)
-        for i, v in zip(at, self.chunks(ask)):
-            out[i] = v
-        for i in holes:
-            if out[i] is not None:
-                new[pieces[i]] = out[i]
+            if (v := old.get(p)) is None:
+                if not p.isalpha() or not (p.isascii() or max(p) <= "\u024f"):
+                    if p and not p[0].isspace() and not p[-1].isspace():
+                        ask.append(i)
+                    continue
+                v = encode(f" {p}")
+            out[i] = new[p] = v
+        found = self.chunks([f" {pieces[i]}" for i in ask])
+        new = self.pieces.new
+        for i, v in zip(ask, found):
+            out[i] = new[pieces[i]] = v
         return out
 
     def encode_array(self, texts: pa.Array) -> list[bytes]:
@@ -125,9 +130,9 @@ class PieceEncoder:
         ids = self.lookup(distinct)
         index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         heads = self.chunks([distinct[i] for i in index[offsets[:-1]].tolist()])
-        odd = np.array([v is None for v in ids])
         irregular = np.zeros(len(texts), bool)
-        if odd.any():
+        if None in ids:
+            odd = np.array([v is None for v in ids])
             irregular[np.searchsorted(offsets, np.flatnonzero(odd[index]), side="right") - 1] = True
         for special in self.special:
             irregular |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
@@ -183,6 +188,7 @@ def library_encoder(vocabulary: str, limit: int = 500_000) -> PieceEncoder:
     limit: pieces that are kept.
     """
     if (vocabulary, limit) not in _ENCODERS:
+        _ENCODERS.clear()  # what another operator kept
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(vocabulary)
@@ -190,16 +196,12 @@ def library_encoder(vocabulary: str, limit: int = 500_000) -> PieceEncoder:
         if any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
             raise ValueError("added tokens that take in their surroundings aren't supported")
         special = {t.content: little_endian([i]) for i, t in added.items()}
-        model, alphabet = tokenizer.model, byte_alphabet()
-
-        tokens, space = model.tokenize, alphabet[32]
+        model, shown = tokenizer.model, "".join(map(byte_alphabet().get, range(256)))
+        model._resize_cache(0)  # the library's own memory of words; the encoder keeps them, and asks for new ones only
+        tokens, decode = model.tokenize, codecs.charmap_decode
 
         def word(match: str) -> bytes:
-            if match.isascii() and match[1:].isalpha() and match[0] == " ":
-                shown = space + match[1:]
-            else:
-                shown = match.encode().decode("latin-1").translate(alphabet)
-            return little_endian([t.id for t in tokens(shown)])
+            return little_endian([t.id for t in tokens(decode(match.encode(), "strict", shown)[0])])
 
         def whole(text: str) -> bytes:
             return little_endian(tokenizer.encode(text, add_special_tokens=False).ids)
