@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -115,6 +116,20 @@ def test_gradient_and_marginals_by_enumeration():
     assert np.allclose(pair_sum, want_pairs) and not marginal[1, 3].any()
 
 
+def test_fitting_adds_features_up_in_blocks():
+    r = random.Random(1)
+    words = ["".join(r.choice("abcdef01=:") for _ in range(r.randint(1, 9))) for _ in range(300)]
+    sample = [([(r.choice(words), r.choice([0, 0, 0, 1, 2])) for _ in range(17)], (r.randrange(9), 9 + r.randrange(9))) for _ in range(3000)]
+    tracemalloc.start()
+    crf.fit(sample, crf.Settings(rounds=3))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 28e6  # 33 MB with all of them at once
+    g = np.random.default_rng(2)
+    to, of, values = g.integers(0, 500, crf.BLOCK + 9), g.integers(0, 70, crf.BLOCK + 9), g.normal(size=(70, 3))
+    assert (crf._gathered(to, of, values, 510) == np.stack([np.bincount(to, values[of, k], 510) for k in range(3)], axis=1)).all()
+
+
 def test_field_finds_further_forms_and_leaves_prose(model):
     import pyarrow as pa
 

@@ -17,9 +17,9 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
-from tidewater.llm.common import free_name, materialize, release, tune
+from tidewater.llm.common import free_name, let_go, materialize, release, tune
 from tidewater.llm.wordpieces import library_encoder
 
 WAITING, GAP, PLACED = 0, 1, 2
@@ -95,10 +95,13 @@ SELECT kind, row, sequence_id, if(kind = 1, size - used, size) AS size, if(kind
 WHERE slot = 1 AND (kind <> 1 OR size > used)
 """
 
-TOTALS = """
-SELECT count(CASE WHEN kind = 0 THEN 1 END), sum(CASE WHEN kind = 0 THEN size END), min(CASE WHEN kind = 0 THEN size END),
-  max(CASE WHEN kind = 1 THEN size END), sum(CASE WHEN kind = 1 THEN greatest(1, int(size / {upto})) END) FROM {state}
-"""
+TOTALS = {
+    "waiting": "count(CASE WHEN kind = 0 THEN 1 END)",
+    "volume": "sum(CASE WHEN kind = 0 THEN size END)",
+    "shortest": "min(CASE WHEN kind = 0 THEN size END)",
+    "widest": "max(CASE WHEN kind = 1 THEN size END)",
+    "places": "sum(CASE WHEN kind = 1 THEN greatest(1, int(size / {upto})) END)",
+}
 
 
 def sweep(state: DataFrame, upto: int, capacity: int, cells: int, number: int) -> DataFrame:
@@ -115,7 +118,7 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
 
     pieces: a written table with length from 1 to capacity; a length outside, or null, raises an error. Repeated rows
     are packed each; extra columns are kept; an empty table stays empty. Rows are numbered when they are written, so
-    equal ones are dealt out like any others. The driver gets a few totals for each sweep.
+    equal ones are dealt out like any others. The driver gets a few totals for each sweep, which are taken while the sweep before it is written.
     """
     spark = pieces.sparkSession
     row = free_name(pieces.columns, "_row")
@@ -132,20 +135,22 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
             gaps = gaps.unionByName(own.filter("size > 0"))
             continue
         small, state, before = gaps.filter(F.col("size") <= above), gaps.filter(F.col("size") > above).unionByName(docs), None
-        while True:
-            waiting, volume, shortest, widest, places = spark.sql(TOTALS, state=state, upto=upto).first()
-            if not waiting:
-                break
+        totals = [F.expr(x.format(upto=upto)).alias(name) for name, x in TOTALS.items()]
+        now = state.agg(*totals).first().asDict()
+        while now["waiting"]:
+            waiting, volume, shortest, widest, places = (now[name] for name in TOTALS)
             need = 0
             if (widest or 0) < shortest or (before and before - waiting < (FEW if above else FEW_SHORT) * before):
                 need = max(-(-volume // capacity), -(-waiting // (capacity // (above + 1))))
                 new = spark.range(opened + 1, opened + need + 1).select(F.lit(GAP).alias("kind"), nothing.alias("row"), (-F.col("id")).alias("sequence_id"), F.lit(capacity).cast("long").alias("size"), nothing.alias("offset"))
                 state, opened = state.unionByName(new), opened + need
             cells = -(-(waiting + (places or 0) + need * (capacity // upto)) // CELL)
-            after, number = materialize(sweep(state, upto, capacity, cells, number), "sweep"), number + 1
+            seen = Observation()
+            after, number = materialize(sweep(state, upto, capacity, cells, number).observe(seen, *totals), "sweep"), number + 1
             done.append(after.filter(f"kind = {PLACED}").select("row", "sequence_id", "offset"))
-            state, before = after.filter(f"kind <> {PLACED}"), waiting
+            state, before, now = after.filter(f"kind <> {PLACED}"), waiting, seen.get
         gaps = small.unionByName(state)
+        let_go(spark)
     placed = done[0]
     for d in done[1:]:
         placed = placed.unionByName(d)

@@ -64,6 +64,14 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have the driver's JVM collect its garbage, between the parts of a long job of many queries.
+
+    Only then does Spark delete shuffle files and broadcasts that no plan refers to any more, and the heap shrink.
+    """
+    spark._jvm.java.lang.System.gc()
+
+
 def release() -> None:
     """Give memory that a task no longer needs back to the system; Python workers live on between tasks."""
     pa.default_memory_pool().release_unused()

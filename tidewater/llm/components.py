@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
-from tidewater.llm.common import materialize
+from tidewater.llm.common import let_go, materialize
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -26,12 +26,14 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         smallest = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(smallest, "a")
         hung = small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(smallest.select("a", F.col("m").alias("b"))).distinct()
-        current = materialize(hung, "edges")
-        state = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        seen = Observation()
+        current = materialize(hung.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), "edges")
+        state = seen.get
         if state == before:
             break
         before = state
     else:
         raise RuntimeError("the components didn't settle")
+    let_go(current.sparkSession)
     roots = current.select(F.col("b").alias("node")).distinct().withColumn("root", F.col("node"))
     return current.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)

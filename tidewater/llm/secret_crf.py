@@ -281,11 +281,11 @@ def fit(sample: list[tuple[list[tuple[str, int]], tuple[int, ...]]], s: Settings
     gold_pairs = np.zeros((3, 3))
     np.add.at(gold_pairs, (gold[:, :-1][both], gold[:, 1:][both]), 1)
     for _ in range(s.rounds if n else 0):
-        e = np.stack([np.bincount(at, w[feature, k], n * width) for k in range(3)], axis=1).reshape(n, width, 3)
+        e = _gathered(at, feature, w, n * width).reshape(n, width, 3)
         e[~there] = 0
         marginal, pair_sum = _marginals(e, pairs, there)
         d = (marginal - gold_one).reshape(-1, 3)
-        gw = np.stack([np.bincount(feature, d[at, k], 4 * SIZE) for k in range(3)], axis=1) + s.l2 * w
+        gw = _gathered(feature, at, d, 4 * SIZE) + s.l2 * w
         gp = pair_sum - gold_pairs + s.l2 * pairs
         square_w += gw * gw
         square_p += gp * gp
@@ -294,6 +294,23 @@ def fit(sample: list[tuple[list[tuple[str, int]], tuple[int, ...]]], s: Settings
     return Model(lexicon, w[:SIZE], w[SIZE : 2 * SIZE], w[2 * SIZE : 3 * SIZE], w[3 * SIZE :], pairs)
 
 
+#: Features of words that are added up at a time, each with two numbers of eight bytes.
+BLOCK = 1 << 18
+
+
+def _gathered(to: np.ndarray, of: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """For each of size places the sum of the rows of values that `of` names where `to` names the place, added in that order."""
+    out = np.zeros((size, values.shape[1]))
+    for a in range(0, len(to), BLOCK):
+        t, o = to[a : a + BLOCK], of[a : a + BLOCK]
+        low = int(t.min())
+        places = np.concatenate([np.arange(int(t.max()) + 1 - low), t - low])
+        for k in range(values.shape[1]):
+            part = out[low : int(t.max()) + 1, k]
+            part[:] = np.bincount(places, np.concatenate([part, values[o, k]]), len(part))  # sums go on from where they stood
+    return out
+
+
 def _marginals(e: np.ndarray, pairs: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Forward-backward over all stretches at once: tag marginals and expected counts of tag pairs."""
     n, width, _ = e.shape

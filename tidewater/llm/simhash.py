@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewater.llm.common import free_name, materialize, tune
+from tidewater.llm.common import free_name, let_go, materialize, tune
 from tidewater.llm.components import components
 from tidewater.llm.similar import shingle_hashes, similar_links
 
@@ -259,6 +259,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     for end in ("a", "b"):
         near = near.join(reps.select(F.col("fp").alias(end), F.col("rep").alias(f"r{end}")), end)
     edges = materialize(same.unionByName(near.select(F.col("ra").alias("a"), F.col("rb").alias("b"))), "links")
+    let_go(docs.sparkSession)
     marked = numbered.select(h1.alias("h1"), h2.alias("h2"), "text").select(marks.alias("mark"), "text")
     roots = components(edges.unionByName(similar_links(marked, edges))).withColumnRenamed("node", "mark")
     groups = texts.select("mark", "first").join(roots, "mark", "left").groupBy(F.coalesce("root", "mark")).agg(F.min("first").alias("first"))

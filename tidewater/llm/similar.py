@@ -12,7 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tidewater.llm.common import materialize, release
+from tidewater.llm.common import discard, let_go, materialize, release
 from tidewater.llm.components import components
 
 SEED = 42
@@ -334,7 +334,7 @@ def picked(marks: DataFrame, marked: DataFrame, make, columns: str) -> DataFrame
 
 
 def checked(pairs: DataFrame, marked: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b), a written table without repeats, whose shingle sets are similar enough."""
+    """Those of the pairs (a, b), a written table without repeats, whose shingle sets are similar enough, as a written table."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("mark"))
 
     def similar(source):
@@ -349,7 +349,9 @@ def checked(pairs: DataFrame, marked: DataFrame) -> DataFrame:
 
     own = materialize(picked(ends, marked, lambda s: (s.tobytes(),), "shingles binary"), "sets")
     x, y = (own.select(F.col("mark").alias(e), F.col("shingles").alias(s)) for e, s in (("a", "x"), ("b", "y")))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(similar, "a long, b long")
+    out = materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(similar, "a long, b long"), "similar")
+    discard(own)
+    return out
 
 
 def similar_links(marked: DataFrame, known: DataFrame) -> DataFrame:
@@ -360,12 +362,15 @@ def similar_links(marked: DataFrame, known: DataFrame) -> DataFrame:
     """
     keyed = prefixes(marked).repartition("key").sortWithinPartitions("key", "mark")
     found = materialize(keyed.mapInArrow(_small_and_first, "a long, b long, key long, n long, pos long"), "candidates")
-    links = materialize(checked(materialize(found.filter("b is not null").select("a", "b").distinct(), "pairs"), marked), "similar")
+    links = checked(materialize(found.filter("b is not null").select("a", "b").distinct(), "pairs"), marked)
+    let_go(marked.sparkSession)
     later = found.filter("b is null").select("key", F.col("a").alias("mark"), "n", "pos")
     if later.isEmpty():
         return links
+    roots = components(known.unionByName(links))
     for salt in range(STRAY_ROUNDS):
-        more = materialize(stray_pairs(later, components(known.unionByName(links)), salt), "pairs")
+        more = materialize(stray_pairs(later, roots, salt), "pairs")
         if not more.isEmpty():
-            links = links.unionByName(materialize(checked(more, marked), "similar"))
-    return links.unionByName(materialize(cross_pairs(later, components(known.unionByName(links)), marked), "similar"))
+            new = checked(more, marked)
+            links, roots = links.unionByName(new), components(roots.toDF("a", "b").unionByName(new))
+    return links.unionByName(materialize(cross_pairs(later, roots, marked), "similar"))
