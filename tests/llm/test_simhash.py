@@ -1,5 +1,6 @@
 import random
 import re
+import sys
 
 import numpy as np
 import xxhash
@@ -114,6 +115,16 @@ def similar(seed=2, n=25):
     return rows
 
 
+def test_the_driver_collects_garbage_in_every_star_round(spark, few_partitions, monkeypatch):
+    module, calls = sys.modules["tidewater.llm.components"], []
+    write = module.materialize
+    monkeypatch.setattr(module, "materialize", lambda *a: calls.append("write") or write(*a))
+    monkeypatch.setattr(module, "let_go", lambda spark: calls.append("let go"))
+    got = {tuple(r) for r in components(spark.createDataFrame([(i, i + 1) for i in range(9)], "a long, b long")).collect()}
+    assert got == {(i, 0) for i in range(10)}
+    assert calls[0] == "write" and len(calls) > 4 and calls[1:] == ["write", "let go"] * (len(calls) // 2)
+
+
 def test_one_of_each_similar_group_stays(spark):
     rows = similar()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)

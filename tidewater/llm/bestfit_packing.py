@@ -149,8 +149,8 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
             after, number = materialize(sweep(state, upto, capacity, cells, number).observe(seen, *totals), "sweep"), number + 1
             done.append(after.filter(f"kind = {PLACED}").select("row", "sequence_id", "offset"))
             state, before, now = after.filter(f"kind <> {PLACED}"), waiting, seen.get
+            let_go(spark)
         gaps = small.unionByName(state)
-        let_go(spark)
     placed = done[0]
     for d in done[1:]:
         placed = placed.unionByName(d)

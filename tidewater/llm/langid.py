@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tidewater.llm.common import bounded_sample, release, tune
+from tidewater.llm.common import bounded_sample, let_go, release, tune
 
 #: Prediction for texts that are null or have no letter.
 UNDETERMINED = "und"
@@ -220,6 +220,7 @@ def train(docs: DataFrame, allowed: Column, s: Settings | None = None) -> Model:
     model = fit([(found[i], share_of[i], langs[i]) for i in order], s, df, n_texts)
     del sample, found, share_of
     release()
+    let_go(docs.sparkSession)
     return model
 
 

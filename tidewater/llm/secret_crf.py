@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from tidewater.llm.common import bounded_sample, release, tune
+from tidewater.llm.common import bounded_sample, let_go, release, tune
 
 #: The base patterns, and the least number of characters (of group 2 for assign).
 ASSIGN = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
@@ -261,7 +261,7 @@ def fit(sample: list[tuple[list[tuple[str, int]], tuple[int, ...]]], s: Settings
     n, width = len(sample), max((len(x[0]) for x in sample), default=1)
     gold, there = np.zeros((n, width), np.int64), np.zeros((n, width), bool)
     slots: dict[str, tuple[int, ...]] = {}
-    at, feature = array("i"), array("i")
+    count, feature = np.zeros(n * width, np.int32), array("h")
     for i, (words, file) in enumerate(sample):
         names = []
         for j, (w, tag) in enumerate(words):
@@ -271,9 +271,9 @@ def fit(sample: list[tuple[list[tuple[str, int]], tuple[int, ...]]], s: Settings
             gold[i, j], there[i, j] = tag, True
         for j in range(len(words)):
             mine = [*names[j], *(SIZE + x for x in (names[j - 1] if j else ())), *(2 * SIZE + x for x in (names[j + 1] if j + 1 < len(words) else ())), *(3 * SIZE + x for x in file)]
-            at.extend([i * width + j] * len(mine))
+            count[i * width + j] = len(mine)
             feature.extend(mine)
-    at, feature = np.frombuffer(at, np.int32), np.frombuffer(feature, np.int32)
+    feature, at = np.frombuffer(feature, np.int16), _Places(count)
     w, pairs = np.zeros((4 * SIZE, 3)), np.zeros((3, 3))
     square_w, square_p = np.full_like(w, 1e-6), np.full_like(pairs, 1e-6)
     gold_one = np.eye(3)[gold] * there[..., None]
@@ -298,7 +298,23 @@ def fit(sample: list[tuple[list[tuple[str, int]], tuple[int, ...]]], s: Settings
 BLOCK = 1 << 18
 
 
-def _gathered(to: np.ndarray, of: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+class _Places:
+    """The place of each feature: place i as often as count says, laid out only for the features that are asked for."""
+
+    def __init__(self, count: np.ndarray):
+        self.ends = np.cumsum(count)
+
+    def __len__(self) -> int:
+        return int(self.ends[-1]) if len(self.ends) else 0
+
+    def __getitem__(self, which: slice) -> np.ndarray:
+        a, b = which.start, min(which.stop, len(self))
+        low, high = np.searchsorted(self.ends, [a, b - 1], "right")
+        ends = np.minimum(self.ends[low : high + 1], b) - a
+        return np.repeat(np.arange(low, high + 1), np.diff(ends, prepend=0))
+
+
+def _gathered(to: np.ndarray | _Places, of: np.ndarray | _Places, values: np.ndarray, size: int) -> np.ndarray:
     """For each of size places the sum of the rows of values that `of` names where `to` names the place, added in that order."""
     out = np.zeros((size, values.shape[1]))
     for a in range(0, len(to), BLOCK):
@@ -333,6 +349,12 @@ def _marginals(e: np.ndarray, pairs: np.ndarray, there: np.ndarray) -> tuple[np.
     return np.where(there[..., None], marginal / np.where(total > 0, total, 1), 0), pair_sum
 
 
+def _rows(got: pa.Table) -> list[tuple]:
+    """The rows of a sample, some at a time, in which equal words are one object."""
+    same: dict[str, str] = {}
+    return [(doc, [same.setdefault(w, w) for w in words], *more) for part in got.to_batches(1000) for doc, words, *more in zip(*(c.to_pylist() for c in part.columns))]
+
+
 def train(docs: DataFrame, s: Settings | None = None) -> Model:
     """Fit on at most s.rows different documents (repeated ones count once); only bounded stretches of words come to the driver.
 
@@ -354,7 +376,7 @@ def train(docs: DataFrame, s: Settings | None = None) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.list_(pa.string())), pa.array(tags, pa.list_(pa.int32())), pa.array(files, pa.list_(pa.int32()))], ["doc_id", "words", "tags", "files"])
 
     got = chosen.mapInArrow(run, "doc_id long, words array<string>, tags array<int>, files array<int>").toArrow()
-    rows = sorted(zip(*(got.column(c).to_pylist() for c in ("doc_id", "words", "tags", "files"))), key=lambda x: (x[0] is None, x[0] or 0, x[1], x[2]))
+    rows = sorted(_rows(got), key=lambda x: (x[0] is None, x[0] or 0, x[1], x[2]))
     sample = [list(zip(w, t)) for _, w, t, _ in rows]
     files = [tuple(f) for *_, f in rows] or [file_slots("")]
     more = enrich(sample, s.seed)
@@ -362,6 +384,7 @@ def train(docs: DataFrame, s: Settings | None = None) -> Model:
     model = fit([(x, files[i % len(files)]) for i, x in enumerate(more)], s)
     del more, files
     release()
+    let_go(docs.sparkSession)
     return model
 
 
