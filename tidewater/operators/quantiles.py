@@ -9,6 +9,7 @@ from math import ceil, floor
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from tidewater.functions.moments import fma
 from tidewater.operators.ranks import free_name
 from tidewater.sources.shared import drop_written, written
 
@@ -40,6 +41,12 @@ class _Sought:
         return self.low if low < 0 else grid[low], self.high if high > STEPS else grid[high]
 
 
+def between(low: Column, high: Column, part: Column) -> Column:
+    """The value at a part of the way from low to high, with the bits that DuckDB gives it: windows of equal means are held against it."""
+    near = F.greatest(F.abs(low), F.abs(high)) < 1e300
+    return F.when(part == 0, low).when(near, fma(low, 1 - part, high * part)).otherwise(low + (high - low) * part)
+
+
 def exact_quantiles(df: DataFrame, values: dict[str, Column], wanted: dict[str, tuple[str, float]], keys: Sequence[str] = (), most_left: int = MOST_LEFT) -> DataFrame:
     """One row (with keys: one for each combination) of exact quantiles, interpolated between the two nearest values.
 
@@ -107,7 +114,8 @@ def exact_quantiles(df: DataFrame, values: dict[str, Column], wanted: dict[str,
             upto = F.sum("_n").over(Window.partitionBy("_g", "_name").orderBy("_v"))
             placed = counts.withColumn("_upto", upto).join(places, ["_g", "_name"])
             low, high = (F.min(F.when(F.col("_upto") > F.col(c), F.col("_v"))) for c in ("_first", "_second"))
-            each = placed.groupBy("_g", "_name").agg((low + (high - low) * F.first("_part")).alias("_q"))
+            ends = placed.groupBy("_g", "_name").agg(low.alias("_low"), high.alias("_high"), F.first("_part").alias("_part"))
+            each = ends.select("_g", "_name", between(F.col("_low"), F.col("_high"), F.col("_part")).alias("_q"))
             for r in each.collect():  # a row for each quantile and group
                 done.setdefault(r["_g"], {})[r["_name"]] = r["_q"]
     finally:
