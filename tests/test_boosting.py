@@ -165,3 +165,25 @@ def test_fallback_models_fit_the_logarithm(data):
         raw = model.forest.transform(models.assemble(data, ["x", "z"])).agg(F.max("prediction")).first()[0]
         assert raw < np.log1p(60) and model(data, "p").agg(F.max("p")).first()[0] > 10
     assert set(made) == {"lgbm", "xgb", "cat"} and made["lgbm"](data).errors
+
+
+def test_fits_of_classes_read_written_gradients(data, monkeypatch):
+    """A fit reads its rows several times: no score is turned into a probability there, and no table is left over."""
+    rows = models.assemble(data.select(F.col("k").alias("_y"), F.lit(1.0).alias("_w"), F.lit(False).alias("_valid"), "x", "z"), ["x", "z"])
+    plans, tables, gone = [], [], []
+    grown, write, drop = boosting._grown, boosting.written, boosting.drop_written
+
+    class Spy:
+        def __init__(self, made):
+            self.made = made
+
+        def fit(self, df):
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString().lower())
+            return self.made.fit(df)
+
+    monkeypatch.setattr(boosting, "_grown", lambda *a: Spy(grown(*a)))
+    monkeypatch.setattr(boosting, "written", lambda *a: tables.append(write(*a)) or tables[-1])
+    monkeypatch.setattr(boosting, "drop_written", lambda *t: gone.extend(t) or drop(*t))
+    boosting.softmax_boost(rows, [0.5, 0.3, 0.2], Trees(rounds=2, depth=1, rate=0.4))
+    assert len(plans) == 6 and not [p for p in plans if "lambda" in p or "exp(" in p or "relation" not in p]
+    assert len(tables) == 2 and {t.path_written for t in gone} == {t.path_written for t in tables}
